@@ -1,0 +1,7 @@
+"""Streaming.
+
+The analyses are batch reports over whole tables: none of them reads an
+unbounded source, keeps state across micro-batches or handles late data, so
+there is no streaming operator here.  A periodic refresh is a re-run of the
+batch plan (every operator is a lazy DataFrame over its sources).
+"""
