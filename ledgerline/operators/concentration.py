@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.money import RATIO_DEC, ratio, round_out
 from ledgerline.operators.revenue import orders_with_revenue
 from ledgerline.params import DEFAULTS, ConcentrationParams, WindowParams
-from ledgerline.plans.materialize import materialize
+from ledgerline.plans.materialize import materialize_counted
 from ledgerline.plans.ordered import WindowOutputs, ordered_window
 from ledgerline.sources.model import SalesTables
 
@@ -44,7 +44,11 @@ def customer_revenue(t: SalesTables) -> DataFrame:
 def concentration_frame(t: SalesTables, params: ConcentrationParams = DEFAULTS.concentration,
                         window: WindowParams = DEFAULTS.window, force: str | None = None) -> DataFrame:
     """Decimal working frame: shares, contributions, running share, tile, row number."""
-    cr = materialize(customer_revenue(t))
+    cr, n, bound = customer_revenue(t), None, None
+    if force is None:
+        bound = t.customers.count()          # at most one row per customer
+        if bound > window.single_task_rows:  # large: compute once, count exactly
+            cr, n = materialize_counted(cr)
     total = cr.select(F.sum("CustomerRevenue")).scalar()
     share = F.round(
         ((F.col("CustomerRevenue").cast("double") / F.nullif(total.cast("double"), F.lit(0.0)))
@@ -59,7 +63,7 @@ def concentration_frame(t: SalesTables, params: ConcentrationParams = DEFAULTS.c
         shares, order_keys=[("CustomerRevenue", False)], tiebreak=[("CustomerID", True)],
         outputs=WindowOutputs(row_number="_rn", running_sums={"_acc": "_share"},
                               ntile=("_tile", params.tiles)),
-        params=window, materialize_input=False, force=force)
+        params=window, materialize_input=False, known_rows=n, segment_bound=bound, force=force)
 
 
 def customer_concentration(t: SalesTables, params: ConcentrationParams = DEFAULTS.concentration,
@@ -91,7 +95,9 @@ def hhi_summary(t: SalesTables, params: ConcentrationParams = DEFAULTS.concentra
     The band is read from the unrounded HHI: with many customers most
     rounded contributions become 0 and their sum understates concentration.
     """
-    cr = materialize(customer_revenue(t))
+    cr = customer_revenue(t)
+    # The total is a scalar subquery over the same plan; adaptive execution
+    # reuses the customer-revenue exchanges instead of recomputing them.
     total = cr.select(F.sum("CustomerRevenue")).scalar()
     share = F.round(
         ((F.col("CustomerRevenue").cast("double") / F.nullif(total.cast("double"), F.lit(0.0)))

@@ -9,7 +9,6 @@ from ledgerline.functions.dates import days_between
 from ledgerline.functions.money import mean_round2, per_period_round2, ratio, round_out
 from ledgerline.operators.revenue import order_revenue, orders_with_revenue
 from ledgerline.params import DEFAULTS, ChurnParams, RfmParams, WindowParams
-from ledgerline.plans.materialize import materialize
 from ledgerline.plans.ordered import WindowOutputs, ordered_window
 from ledgerline.sources.model import SalesTables
 
@@ -70,18 +69,18 @@ def customer_rfm(t: SalesTables, params: RfmParams = DEFAULTS.rfm,
     The country ranking and totals run through ``ordered_window``, so a
     country holding most customers is split across tasks.
     """
-    stats = _customer_order_stats(t, params.min_orders)
-    customers = t.customers.select("CustomerID", "CompanyName", "Country")
-    base = materialize(
-        stats.join(customers, "CustomerID")
-        .withColumn("DaysSinceLastPurchase", days_between("LastPurchase", reference_date(t))))
-    rank_out = {"rank": "RevenueRank"} if params.rank_method == "rank" else {"dense_rank": "RevenueRank"}
     if params.rank_method not in ("rank", "dense_rank"):
         raise ValueError("rank_method must be 'rank' or 'dense_rank'")
+    stats = _customer_order_stats(t, params.min_orders)
+    customers = t.customers.select("CustomerID", "CompanyName", "Country")
+    base = (stats.join(customers, "CustomerID")
+            .withColumn("DaysSinceLastPurchase", days_between("LastPurchase", reference_date(t))))
+    # A country holds at most every customer once.
+    bound = t.customers.count() if force is None else None
     ranked = ordered_window(
         base, partition_by=["Country"], order_keys=[("_total", False)], tiebreak=[("CustomerID", True)],
-        outputs=WindowOutputs(segment_sums={"_ctot": "_total"}, **rank_out),
-        params=window, materialize_input=False, force=force)
+        outputs=WindowOutputs(segment_sums={"_ctot": "_total"}, **{params.rank_method: "RevenueRank"}),
+        params=window, segment_bound=bound, force=force)
     out = ranked.select(
         "CustomerID", "CompanyName", "Country",
         F.col("TotalOrders").cast("long").alias("TotalOrders"),

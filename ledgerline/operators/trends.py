@@ -103,10 +103,12 @@ def product_trend(t: SalesTables, params: TrendParams = DEFAULTS.trend,
     * the alert reads the rounded growth.
     """
     base = product_month_base(t, join)
+    # A (category, month) segment holds at most one row per product.
+    bound = t.products.count() if force is None else None
     ranked = ordered_window(
         base, partition_by=["CategoryName", "OrderMonth"], order_keys=[("MonthlyRevenue", False)],
         tiebreak=[("ProductName", True)], outputs=WindowOutputs(dense_rank="RevenueRankInCategory"),
-        params=window, force=force)
+        params=window, segment_bound=bound, force=force)
     w = Window.partitionBy("ProductName").orderBy(F.col("OrderMonth").asc_nulls_first(),
                                                   F.col("CategoryName").asc_nulls_first())
     ranked = ranked.withColumns({

@@ -88,6 +88,9 @@ class JoinParams:
 
     broadcast_max_rows: int = 2_000_000
     broadcast_max_bytes: int = 64 * 1024 * 1024
+    # An optimizer estimate this many times below the byte limit is trusted
+    # without a counting job (parquet rarely compresses more than ~10x).
+    estimate_safety_factor: int = 32
 
 
 @dataclass(frozen=True)

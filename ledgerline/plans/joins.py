@@ -1,9 +1,12 @@
 """Joins to dimension-like sides with an explicit, checked broadcast.
 
 ``join_dimension`` broadcasts the right side only when it is proven small:
-first the optimizer's size estimate must be under the byte limit (no job),
-then a bounded row count (``limit(max_rows + 1).count()``, which never reads
-more than ``max_rows + 1`` rows per task) must confirm it.  Beyond the limit
+first the optimizer's size estimate must be under the byte limit (no job);
+if the estimate is under the limit divided by a safety factor (covering
+columnar compression, so that an on-disk estimate still bounds the
+in-memory size), that suffices; otherwise a bounded row count
+(``limit(max_rows + 1).count()``, which never reads more than
+``max_rows + 1`` rows per task) must confirm it.  Beyond the limit
 the join is left to the planner: a shuffle join that AQE may still turn into
 a broadcast from runtime statistics, and whose hot keys AQE's skew-join
 handling splits.
@@ -41,6 +44,8 @@ def broadcast_fits(df: DataFrame, params: JoinParams = JoinParams()) -> bool:
     est = estimated_bytes(df)
     if est is not None and est > params.broadcast_max_bytes:
         return False
+    if est is not None and est * params.estimate_safety_factor <= params.broadcast_max_bytes:
+        return True   # far below the limit even if the estimate is compressed size
     n = df.limit(params.broadcast_max_rows + 1).count()
     return n <= params.broadcast_max_rows and n * row_width(df) <= params.broadcast_max_bytes
 

@@ -11,6 +11,8 @@ recomputation that could place rows differently.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.observation import Observation
 
 from ledgerline.session import ensure_checkpoint_dir
 
@@ -18,3 +20,15 @@ from ledgerline.session import ensure_checkpoint_dir
 def materialize(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """Checkpoint ``df`` and return it with its row count.
+
+    The count is an observed metric of the checkpoint job itself, so no
+    second pass over the data is needed.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    obs = Observation()
+    pinned = df.observe(obs, F.count(F.lit(1)).alias("rows")).checkpoint(eager=True)
+    return pinned, int(obs.get["rows"])

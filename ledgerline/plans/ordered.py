@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.params import JoinParams, WindowParams
 from ledgerline.plans.joins import join_dimension
-from ledgerline.plans.materialize import materialize
+from ledgerline.plans.materialize import materialize, materialize_counted
 
 Key = tuple[str, bool]  # (column, ascending)
 
@@ -79,21 +79,36 @@ def largest_segment(df: DataFrame, partition_by: Sequence[str]) -> int:
 def ordered_window(df: DataFrame, *, partition_by: Sequence[str] = (), order_keys: Sequence[Key],
                    tiebreak: Sequence[Key] = (), outputs: WindowOutputs,
                    params: WindowParams = WindowParams(), materialize_input: bool = True,
+                   known_rows: int | None = None, segment_bound: int | None = None,
                    force: str | None = None) -> DataFrame:
     """Add the requested ordered-window columns to ``df``.
 
-    ``materialize_input`` checkpoints ``df`` first so the size check and the
-    query read it once; pass False when ``df`` is already a cheap projection
-    of a checkpoint.  ``force`` ('single' or 'bucketed') overrides the
-    size-based choice (tests).
+    ``segment_bound`` is an upper bound on the largest segment known without
+    running ``df`` (for instance the size of a dimension the segment rows
+    are drawn from); when it is within ``single_task_rows`` the window runs
+    directly, with nothing materialized.  Otherwise ``materialize_input``
+    checkpoints ``df`` so the exact size check and the query read it once;
+    pass False when ``df`` is already a cheap projection of a checkpoint
+    (and ``known_rows`` if its row count is known).  ``force`` ('single' or
+    'bucketed') overrides the size-based choice.
     """
     part = list(partition_by)
-    base = materialize(df) if materialize_input else df
+    if force is None and segment_bound is not None and segment_bound <= params.single_task_rows:
+        return _single(df, part, list(order_keys), list(tiebreak), outputs)
+    if materialize_input:
+        base, total = materialize_counted(df)
+    else:
+        base, total = df, known_rows
     if force is None:
-        force = "single" if largest_segment(base, part) <= params.single_task_rows else "bucketed"
+        if total is None:
+            total = base.count()
+        small = total <= params.single_task_rows or (
+            bool(part) and largest_segment(base, part) <= params.single_task_rows)
+        force = "single" if small else "bucketed"
     if force == "single":
         return _single(base, part, list(order_keys), list(tiebreak), outputs)
-    total = base.count()
+    if total is None:
+        total = base.count()
     buckets = max(1, min(params.max_buckets, math.ceil(total / max(1, params.rows_per_bucket))))
     return _bucketed(base, part, list(order_keys), list(tiebreak), outputs, buckets)
 

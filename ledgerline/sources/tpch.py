@@ -26,15 +26,22 @@ from ledgerline.sources.model import SalesTables
 from ledgerline.sources.parquet import ParquetSource
 
 
+# Columns the adapter maps, with their parquet types.  Reading with an
+# explicit schema skips footer-based schema inference (a distributed job over
+# every file footer at scale) and limits each scan to these columns.
+TPCH_SCHEMAS = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_quantity double, l_extendedprice double, "
+                "l_discount double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz",
+    "part": "p_partkey bigint, p_name string, p_type string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string",
+}
+
+
 def tpch_tables(spark: SparkSession, base_dir: str) -> SalesTables:
     src = ParquetSource(spark, base_dir)
-    return tpch_from_frames(
-        lineitem=src.table("lineitem"),
-        orders=src.table("orders"),
-        part=src.table("part"),
-        customer=src.table("customer"),
-        nation=src.table("nation"),
-    )
+    return tpch_from_frames(**{name: src.table(name, schema) for name, schema in TPCH_SCHEMAS.items()})
 
 
 def tpch_from_frames(lineitem: DataFrame, orders: DataFrame, part: DataFrame,
