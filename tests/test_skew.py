@@ -1,0 +1,53 @@
+"""A hot order holding half of all lines is split across tasks, not run in one."""
+
+from __future__ import annotations
+
+import datetime as dt
+from decimal import Decimal
+
+from pyspark.sql import functions as F
+
+from ledgerline import operators as ops
+from ledgerline.sources.model import SalesTables
+
+SMALL = {
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+}
+
+
+def _hot_order_tables(spark, n=100_000):
+    lines = spark.range(n).select(
+        F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise(F.col("id")).alias("OrderID"),
+        F.pmod(F.xxhash64("id"), F.lit(50)).alias("ProductID"),
+        F.lit(1).cast("long").alias("Quantity"), F.lit(1.0).alias("UnitPrice"),
+        F.lit(Decimal("0.05")).cast("decimal(4,2)").alias("Discount"),
+        (F.pmod(F.xxhash64(F.col("id") * 7), F.lit(10 ** 9)) / 100).cast("decimal(18,2)").alias("GrossAmount"))
+    orders = spark.range(n).select(
+        F.col("id").alias("OrderID"), (F.col("id") % 97).cast("string").alias("CustomerID"),
+        F.date_add(F.lit(dt.date(2020, 1, 1)), (F.col("id") % 300).cast("int")).alias("OrderDate"))
+    products = spark.range(50).select(F.col("id").alias("ProductID"),
+                                      F.concat(F.lit("P"), F.col("id").cast("string")).alias("ProductName"),
+                                      (F.col("id") % 3).alias("CategoryID"))
+    cats = spark.range(3).select(F.col("id").alias("CategoryID"), F.col("id").cast("string").alias("CategoryName"))
+    cust = spark.range(97).select(F.col("id").cast("string").alias("CustomerID"), F.lit("c").alias("CompanyName"),
+                                  F.lit("X").alias("Country"), F.lit("t").alias("City"))
+    return SalesTables(lines, orders, products, cats, cust)
+
+
+def test_hot_order_join_is_split_and_results_unchanged(spark):
+    t = _hot_order_tables(spark)
+    baseline = sorted(tuple(r) for r in ops.product_month_base(t).collect())
+    old = {k: spark.conf.get(k, None) for k in SMALL}
+    try:
+        for k, v in SMALL.items():
+            spark.conf.set(k, v)
+        df = ops.product_month_base(t)
+        rows = sorted(tuple(r) for r in df.collect())
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert "skew=true" in plan
+    assert rows == baseline
