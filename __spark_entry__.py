@@ -85,17 +85,18 @@ od AS (
   SELECT l_orderkey AS OrderID, l_partkey AS ProductID,
          CAST(l_quantity AS BIGINT) AS Quantity,
          l_extendedprice / l_quantity AS UnitPrice,
-         CAST(l_discount AS DECIMAL(4,2)) AS Discount,
-         CAST(l_extendedprice AS DECIMAL(18,2)) AS GrossAmount,
-         CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) AS Net
+         CAST(FLOOR(l_extendedprice * 100 + 0.5) AS BIGINT) AS cents,
+         CAST(FLOOR(l_discount * 100 + 0.5) AS BIGINT) AS pct
   FROM lineitem),
+odn AS (SELECT *, CAST(pct AS DOUBLE) / 100 AS Discount, CAST(cents AS DECIMAL(18,0)) * 0.01 AS GrossAmount,
+               CAST(cents * (100 - pct) AS DECIMAL(18,0)) * 0.0001 AS Net FROM od),
 o AS (SELECT o_orderkey AS OrderID, o_custkey AS CustomerID, CAST(o_orderdate AS DATE) AS OrderDate FROM orders),
 p AS (SELECT p_partkey AS ProductID, p_name || ' #' || CAST(p_partkey AS VARCHAR) AS ProductName,
              p_type AS CategoryID FROM part),
 cat AS (SELECT DISTINCT p_type AS CategoryID, p_type AS CategoryName FROM part WHERE p_type IS NOT NULL),
 cu AS (SELECT c_custkey AS CustomerID, c_name AS CompanyName, n_name AS Country, c_mktsegment AS City
        FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey),
-rbo AS (SELECT OrderID, SUM(Net) AS rev FROM od GROUP BY OrderID)
+rbo AS (SELECT OrderID, SUM(Net) AS rev FROM odn GROUP BY OrderID)
 """
 
 
@@ -151,7 +152,7 @@ _TREND_BASE = """
 base AS (
   SELECT CAST(date_trunc('month', o.OrderDate) AS DATE) AS OrderMonth, c.CategoryName, p.ProductName,
          SUM(od.Net) AS rev, CAST(COUNT(DISTINCT od.OrderID) AS BIGINT) AS MonthlyOrders
-  FROM od JOIN o ON od.OrderID = o.OrderID
+  FROM odn od JOIN o ON od.OrderID = o.OrderID
           JOIN p ON od.ProductID = p.ProductID
           JOIN cat c ON p.CategoryID = c.CategoryID
   GROUP BY 1, 2, 3)
@@ -197,7 +198,7 @@ _ORDER = "ORDER BY CR DESC, CustomerID ASC"
 _FACT = """
 fact AS (SELECT od.OrderID, o.CustomerID, od.ProductID, p.CategoryID, o.OrderDate, od.Quantity,
                 od.UnitPrice, od.Discount, od.Net
-         FROM od JOIN o ON od.OrderID = o.OrderID JOIN p ON od.ProductID = p.ProductID)
+         FROM odn od JOIN o ON od.OrderID = o.OrderID JOIN p ON od.ProductID = p.ProductID)
 """
 _DIMCUST = """
 dc AS (SELECT CustomerID, CompanyName,
@@ -231,8 +232,8 @@ def oracle_sql() -> dict[str, str]:
     fact_cols = "OrderID, CustomerID, ProductID, CategoryID, OrderDate, Quantity"
     return {
         "net_revenue_lines": _with() + """
-SELECT OrderID, ProductID, Quantity, CAST(Discount AS DOUBLE) AS Discount,
-       CAST(GrossAmount AS DOUBLE) AS GrossAmount, CAST(Net AS DOUBLE) AS NetRevenue FROM od""",
+SELECT OrderID, ProductID, Quantity, Discount,
+       CAST(GrossAmount AS DOUBLE) AS GrossAmount, CAST(Net AS DOUBLE) AS NetRevenue FROM odn""",
         "revenue_by_order": _with() + "SELECT OrderID, CAST(rev AS DOUBLE) AS OrderRevenue FROM rbo",
         "customer_order_stats": _with(_STATS) + f"""
 SELECT CustomerID, CAST(TotalOrders AS BIGINT) AS TotalOrders, CAST(ROUND(total, 2) AS DOUBLE) AS TotalRevenue,
@@ -294,7 +295,7 @@ SELECT a.CustomerID, cu.CompanyName, cu.Country, F AS FirstPurchaseDate, L AS La
             ELSE 'ACTIVE' END AS ChurnRisk
 FROM act a JOIN cu ON a.CustomerID = cu.CustomerID""",
         "fact_sales": _with(_FACT) + f"""
-SELECT {fact_cols}, UnitPrice, CAST(Discount AS DOUBLE) AS Discount, CAST(Net AS DOUBLE) AS NetRevenue FROM fact""",
+SELECT {fact_cols}, UnitPrice, Discount, CAST(Net AS DOUBLE) AS NetRevenue FROM fact""",
         "fact_sales_load": _with(_FACT) + f"SELECT {fact_cols}, CAST(Net AS DOUBLE) AS NetRevenue FROM fact",
         "dim_customer": _with(_DIMCUST) + "SELECT CustomerID, CompanyName, Country, City FROM dc",
         "dim_product": _with() + "SELECT ProductID, ProductName, CategoryID FROM p",

@@ -14,6 +14,8 @@ from ledgerline.functions.dates import (
 from ledgerline.functions.money import (
     as_money,
     as_rate,
+    cents,
+    cents_exact,
     exact_double,
     gross_amount,
     mean_round2,
@@ -25,7 +27,7 @@ from ledgerline.functions.money import (
 
 __all__ = [
     "as_date", "day_abbrev", "day_of_week", "days_between", "month_abbrev",
-    "month_of", "month_start", "quarter_of", "year_of", "as_money", "as_rate",
+    "month_of", "month_start", "quarter_of", "year_of", "as_money", "as_rate", "cents", "cents_exact",
     "exact_double", "gross_amount", "mean_round2", "net_amount",
     "per_period_round2", "ratio", "round_out",
 ]

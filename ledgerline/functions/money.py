@@ -23,10 +23,6 @@ RATE = "decimal(4,2)"
 RATIO_DEC = "decimal(38,10)"
 
 
-def _one() -> Column:
-    return F.lit(Decimal("1"))
-
-
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -41,17 +37,35 @@ def as_rate(c: Column | str) -> Column:
     return _col(c).cast(RATE)
 
 
-def net_amount(gross: Column | str, discount: Column | str) -> Column:
-    """Net line revenue: gross (unit price x quantity) x (1 - discount).
+def cents(c: Column | str) -> Column:
+    """A DOUBLE amount as whole hundredths (BIGINT), rounded half up.
+
+    Exact for amounts recorded to the cent (a binary double is within a few
+    ulps of the cent).  Integer arithmetic avoids a BigDecimal per row.
+    Also turns a discount fraction into hundredths (0.05 -> 5).
+    """
+    return F.floor(_col(c) * F.lit(100.0) + F.lit(0.5)).cast("long")
+
+
+def cents_exact(c: Column | str) -> Column:
+    """A DECIMAL amount as whole hundredths (BIGINT), rounded half up."""
+    return (F.round(_col(c), 2) * F.lit(100)).cast("long")
+
+
+def net_amount(gross_cents: Column | str, discount_pct: Column | str) -> Column:
+    """Net line revenue: gross x (1 - discount), exact, as DECIMAL(23,4).
 
-    DECIMAL(18,2) x DECIMAL(5,2) -> DECIMAL(24,4), exact.
+    ``gross_cents`` is unit price x quantity in cents and ``discount_pct``
+    the discount in hundredths, both BIGINT: their product counts
+    ten-thousandths exactly, and is scaled once into a decimal.
     """
-    return as_money(gross) * (_one() - as_rate(discount))
+    units = _col(gross_cents) * (F.lit(100) - _col(discount_pct))
+    return units.cast("decimal(18,0)") * F.lit(Decimal("0.0001"))
 
 
 def gross_amount(unit_price: Column | str, quantity: Column | str) -> Column:
-    """Gross line amount from a unit price and a quantity, exact."""
-    return (as_money(unit_price) * _col(quantity).cast("decimal(10,0)")).cast(MONEY)
+    """Gross line amount in cents from a DECIMAL unit price and a quantity."""
+    return cents_exact(unit_price) * _col(quantity).cast("long")
 
 
 def round_out(c: Column | str, scale: int = 2) -> Column:

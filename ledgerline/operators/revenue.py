@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,10 +12,12 @@ from ledgerline.sources.model import SalesTables
 
 
 def net_revenue_lines(t: SalesTables) -> DataFrame:
-    """One row per order line with its exact net revenue (DECIMAL(24,4))."""
+    """One row per order line with its exact net revenue (DECIMAL(23,4))."""
     return t.order_details.select(
-        "OrderID", "ProductID", "Quantity", "Discount", "GrossAmount",
-        net_amount("GrossAmount", "Discount").alias("NetRevenue"),
+        "OrderID", "ProductID", "Quantity",
+        (F.col("DiscountPct") / F.lit(100.0)).alias("Discount"),
+        (F.col("GrossCents").cast("decimal(18,0)") * F.lit(Decimal("0.01"))).alias("GrossAmount"),
+        net_amount("GrossCents", "DiscountPct").alias("NetRevenue"),
     )
 
 
@@ -26,7 +30,7 @@ def order_revenue(t: SalesTables) -> DataFrame:
     """
     return (t.order_details
             .groupBy("OrderID")
-            .agg(F.sum(net_amount("GrossAmount", "Discount")).alias("OrderRevenue")))
+            .agg(F.sum(net_amount("GrossCents", "DiscountPct")).alias("OrderRevenue")))
 
 
 def orders_with_revenue(t: SalesTables, how: str = "inner") -> DataFrame:

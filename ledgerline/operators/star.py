@@ -20,15 +20,17 @@ def fact_sales(t: SalesTables, join: JoinParams = DEFAULTS.join) -> DataFrame:
     """One row per order line that has an order and a product.
 
     Lines without a category are kept (CategoryID comes from the product).
-    NetRevenue is exact (DECIMAL(24,4)).  Orders are joined by a shuffle on
-    OrderID; products through a checked broadcast.  No join to the category
-    table: it would add no column and cannot drop a line.
+    NetRevenue is exact (DECIMAL(23,4)); Discount is the fraction as DOUBLE.
+    Orders are joined by a shuffle on OrderID; products through a checked
+    broadcast.  No join to the category table: it would add no column and
+    cannot drop a line.
     """
-    lines = t.order_details.select("OrderID", "ProductID", "Quantity", "UnitPrice", "Discount", "GrossAmount")
+    lines = t.order_details.select("OrderID", "ProductID", "Quantity", "UnitPrice", "GrossCents", "DiscountPct")
     x = lines.join(t.orders.select("OrderID", "CustomerID", "OrderDate"), "OrderID")
     x = join_dimension(x, t.products.select("ProductID", "CategoryID"), on="ProductID", params=join)
     return x.select("OrderID", "CustomerID", "ProductID", "CategoryID", "OrderDate", "Quantity",
-                    "UnitPrice", "Discount", net_amount("GrossAmount", "Discount").alias("NetRevenue"))
+                    "UnitPrice", (F.col("DiscountPct") / F.lit(100.0)).alias("Discount"),
+                    net_amount("GrossCents", "DiscountPct").alias("NetRevenue"))
 
 
 def fact_sales_load(t: SalesTables, join: JoinParams = DEFAULTS.join) -> DataFrame:

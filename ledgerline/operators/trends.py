@@ -71,7 +71,7 @@ def product_month_base(t: SalesTables, join: JoinParams = DEFAULTS.join) -> Data
     partitioning; only the month-grain result is shuffled again.
     """
     lines = t.order_details.select("OrderID", "ProductID",
-                                   net_amount("GrossAmount", "Discount").alias("_net"))
+                                   net_amount("GrossCents", "DiscountPct").alias("_net"))
     orders = t.orders.select("OrderID", month_start("OrderDate").alias("OrderMonth"))
     x = join_dimension(lines.join(orders, "OrderID"), product_dimension(t, join), on="ProductID",
                        params=join)

@@ -4,8 +4,8 @@ Five relations, named by role rather than by any particular database:
 
 =============  ==============================================================
 order_details  OrderID, ProductID, Quantity (long), UnitPrice (double,
-               display only), Discount (decimal(4,2) fraction),
-               GrossAmount (decimal(18,2) = unit price x quantity)
+               display only), GrossCents (long: unit price x quantity in
+               cents), DiscountPct (long: the discount in hundredths)
 orders         OrderID, CustomerID, OrderDate (date)
 products       ProductID, ProductName, CategoryID
 categories     CategoryID, CategoryName
@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.dates import as_date
-from ledgerline.functions.money import as_rate, gross_amount
+from ledgerline.functions.money import cents, gross_amount
 
-ORDER_DETAILS_COLUMNS = ("OrderID", "ProductID", "Quantity", "UnitPrice", "Discount", "GrossAmount")
+ORDER_DETAILS_COLUMNS = ("OrderID", "ProductID", "Quantity", "UnitPrice", "GrossCents", "DiscountPct")
 ORDERS_COLUMNS = ("OrderID", "CustomerID", "OrderDate")
 PRODUCTS_COLUMNS = ("ProductID", "ProductName", "CategoryID")
 CATEGORIES_COLUMNS = ("CategoryID", "CategoryName")
@@ -70,8 +70,8 @@ def from_classic(read: Callable[[str], DataFrame]) -> SalesTables:
             "OrderID", "ProductID",
             F.col("Quantity").cast("long").alias("Quantity"),
             F.col("UnitPrice").cast("double").alias("UnitPrice"),
-            as_rate("Discount").alias("Discount"),
-            gross_amount("UnitPrice", "Quantity").alias("GrossAmount"),
+            gross_amount("UnitPrice", "Quantity").alias("GrossCents"),
+            cents(F.col("Discount").cast("double")).alias("DiscountPct"),
         ),
         orders=read("Orders").select("OrderID", "CustomerID", as_date("OrderDate").alias("OrderDate")),
         products=read("Products").select(*PRODUCTS_COLUMNS),

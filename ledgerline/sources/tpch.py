@@ -3,9 +3,9 @@
 Role mapping (a choice; documented in the README):
 
 * order line  <- ``lineitem``: OrderID=l_orderkey, ProductID=l_partkey,
-  Quantity=l_quantity, Discount=l_discount, GrossAmount=l_extendedprice
-  (extended price is already unit price x quantity), UnitPrice =
-  l_extendedprice / l_quantity (display only).
+  Quantity=l_quantity, GrossCents=l_extendedprice in cents (extended price
+  is already unit price x quantity), DiscountPct=l_discount in hundredths,
+  UnitPrice = l_extendedprice / l_quantity (display only).
 * order       <- ``orders``: o_orderkey, o_custkey, o_orderdate (as date).
 * product     <- ``part``: ProductName = p_name || ' #' || p_partkey because
   part names are not unique; CategoryID = p_type.
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions.dates import as_date
-from ledgerline.functions.money import as_money, as_rate
+from ledgerline.functions.money import cents
 from ledgerline.plans.joins import join_dimension
 from ledgerline.sources.model import SalesTables
 from ledgerline.sources.parquet import ParquetSource
@@ -51,8 +51,8 @@ def tpch_from_frames(lineitem: DataFrame, orders: DataFrame, part: DataFrame,
         F.col("l_partkey").alias("ProductID"),
         F.col("l_quantity").cast("long").alias("Quantity"),
         F.try_divide(F.col("l_extendedprice"), F.col("l_quantity")).alias("UnitPrice"),
-        as_rate("l_discount").alias("Discount"),
-        as_money("l_extendedprice").alias("GrossAmount"),
+        cents("l_extendedprice").alias("GrossCents"),
+        cents("l_discount").alias("DiscountPct"),
     )
     orders_c = orders.select(
         F.col("o_orderkey").alias("OrderID"),

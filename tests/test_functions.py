@@ -9,10 +9,17 @@ from ledgerline.functions import money as M
 
 
 def test_net_amount_is_exact_decimal(spark):
-    df = spark.createDataFrame([(1.1, 0.05)], "g double, disc double")
-    row = df.select(M.net_amount("g", "disc").alias("n")).first()
-    assert row.n == Decimal("1.0450")
-    assert df.select(M.net_amount("g", "disc")).schema.fields[0].dataType.simpleString() == "decimal(24,4)"
+    df = spark.createDataFrame([(1.1, 0.05), (68423.46, 0.07), (0.29, 0.0)], "g double, disc double")
+    net = M.net_amount(M.cents("g"), M.cents("disc"))
+    got = [r.n for r in df.select(net.alias("n")).collect()]
+    assert got == [Decimal("1.0450"), Decimal("63633.8178"), Decimal("0.2900")]
+    assert df.select(net).schema.fields[0].dataType.simpleString() == "decimal(23,4)"
+
+
+def test_cents_match_decimal_cast_for_cent_amounts(spark):
+    df = spark.range(100000).select((F.col("id") * 7919 % 10000000 / 100.0).alias("x"))
+    bad = df.where(M.cents("x") != (F.col("x").cast("decimal(18,2)") * 100).cast("long")).count()
+    assert bad == 0
 
 
 def test_round_out_half_away_from_zero(spark):
