@@ -68,7 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dim_customer": _run(lambda s, t: ops.dim_customer(t)),
         "dim_product": _run(lambda s, t: ops.dim_product(t)),
         "dim_category": _run(lambda s, t: ops.dim_category(t)),
-        "dim_date": _run(lambda s, t: ops.dim_date(ops.fact_sales_load(t))),
+        "dim_date": _run(lambda s, t: ops.calendar_for(t)),
         "orphan_customers": _run(lambda s, t: ops.orphan_customers(t)),
         "star_rollup": _run(lambda s, t: ops.star_rollup(t)),
         "star_rollup_sql": _run(lambda s, t: ops.star_rollup_sql(s, t, prefix="ledgerline_")),

@@ -1,6 +1,6 @@
 """User-level operators of the sales analyses."""
 
-from ledgerline.operators.calendar import dim_date
+from ledgerline.operators.calendar import calendar_between, calendar_for, dim_date, fact_date_range
 from ledgerline.operators.concentration import (
     concentration_frame,
     customer_concentration,
@@ -36,7 +36,8 @@ from ledgerline.operators.trends import (
 )
 
 __all__ = [
-    "dim_date", "concentration_frame", "customer_concentration", "customer_revenue", "hhi_summary",
+    "dim_date", "calendar_for", "calendar_between", "fact_date_range", "concentration_frame",
+    "customer_concentration", "customer_revenue", "hhi_summary",
     "pareto_cutoff", "customer_activity", "customer_churn", "customer_order_stats", "customer_rfm",
     "orphan_customers", "reference_date", "net_revenue_lines", "order_revenue", "orders_with_revenue",
     "dim_category", "dim_customer", "dim_product", "fact_sales", "fact_sales_load",

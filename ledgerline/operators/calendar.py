@@ -14,7 +14,9 @@ from ledgerline.functions.dates import (
     quarter_of,
     year_of,
 )
-from ledgerline.params import DEFAULTS, CalendarParams
+from ledgerline.params import DEFAULTS, CalendarParams, JoinParams
+from ledgerline.plans.joins import join_dimension
+from ledgerline.sources.model import SalesTables
 
 
 def dim_date(fact: DataFrame, params: CalendarParams = DEFAULTS.calendar,
@@ -27,7 +29,36 @@ def dim_date(fact: DataFrame, params: CalendarParams = DEFAULTS.calendar,
     the fact's size.  An empty fact gives an empty calendar.
     """
     bounds = fact.agg(F.min(as_date(date_col)).alias("_lo"), F.max(as_date(date_col)).alias("_hi"))
-    days = bounds.select(F.explode(F.sequence("_lo", "_hi")).alias("Date"))
+    return calendar_between(bounds, params)
+
+
+def fact_date_range(t: SalesTables, join: JoinParams = DEFAULTS.join) -> DataFrame:
+    """(_lo, _hi): first and last order date of the sales fact, computed
+    without building the fact.
+
+    The fact holds a line when its order and its product exist.  Min and
+    max ignore duplicates, so semi-joins suffice: the distinct order ids of
+    lines with a known product (deduplicated map-side, about one row per
+    order crosses the shuffle instead of one per line), then the orders
+    having one of them.
+    """
+    products = t.products.select("ProductID")
+    with_product = (join_dimension(t.order_details.select("OrderID", "ProductID"), products,
+                                   on="ProductID", how="left_semi", params=join)
+                    .select("OrderID").distinct())
+    dated = t.orders.select("OrderID", "OrderDate").join(with_product, "OrderID", "left_semi")
+    return dated.agg(F.min("OrderDate").alias("_lo"), F.max("OrderDate").alias("_hi"))
+
+
+def calendar_for(t: SalesTables, params: CalendarParams = DEFAULTS.calendar) -> DataFrame:
+    """The calendar of the sales fact of ``t`` (same rows as
+    ``dim_date(fact_sales_load(t))``)."""
+    return calendar_between(fact_date_range(t), params)
+
+
+def calendar_between(bounds: DataFrame, params: CalendarParams = DEFAULTS.calendar) -> DataFrame:
+    """Calendar rows for the one-row frame of dates ``_lo`` .. ``_hi``."""
+    days = bounds.select(F.explode(F.sequence(as_date("_lo"), as_date("_hi"))).alias("Date"))
     d = F.col("Date")
     return days.select(
         d,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.dates import days_between
 from ledgerline.functions.money import mean_round2, per_period_round2, ratio, round_out
-from ledgerline.operators.revenue import order_revenue, orders_with_revenue
+from ledgerline.operators.revenue import orders_with_revenue
 from ledgerline.params import DEFAULTS, ChurnParams, RfmParams, WindowParams
 from ledgerline.plans.ordered import WindowOutputs, ordered_window
 from ledgerline.sources.model import SalesTables
@@ -144,4 +144,4 @@ def orphan_customers(t: SalesTables) -> DataFrame:
 
 
 __all__ = ["customer_order_stats", "customer_rfm", "customer_activity", "customer_churn",
-           "orphan_customers", "reference_date", "order_revenue"]
+           "orphan_customers", "reference_date"]

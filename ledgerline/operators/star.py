@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.dates import quarter_of, year_of
 from ledgerline.functions.money import net_amount
-from ledgerline.operators.calendar import dim_date
+from ledgerline.operators.calendar import calendar_for
 from ledgerline.params import DEFAULTS, CalendarParams, JoinParams
 from ledgerline.plans.joins import join_dimension
 from ledgerline.sources.model import SalesTables
@@ -74,7 +74,7 @@ def register_star_views(spark: SparkSession, t: SalesTables, prefix: str = "",
         "DimCustomer": dim_customer(t),
         "DimProduct": dim_product(t),
         "DimCategory": dim_category(t),
-        "DimDate": dim_date(fact, calendar),
+        "DimDate": calendar_for(t, calendar),
     }
     for name, df in frames.items():
         df.createOrReplaceTempView(prefix + name)

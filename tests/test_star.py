@@ -34,6 +34,7 @@ def test_calendar_spans_fact_range_with_leap_day(spark):
                     [(1, "A", d("2024-02-27")), (2, "A", d("2024-03-02"))])
     cal = ops.dim_date(ops.fact_sales_load(t)).collect()
     assert [r.Date for r in cal] == [dt.date(2024, 2, 27) + dt.timedelta(days=i) for i in range(5)]
+    assert [tuple(r) for r in ops.calendar_for(t).collect()] == [tuple(r) for r in cal]
     feb29 = cal[2]
     assert (feb29["Month Name"], feb29["Quarter Name"], feb29["Day Name"], feb29["Day of Week"]) == \
         ("Feb", "Q1", "Thu", 4)
@@ -42,6 +43,14 @@ def test_calendar_spans_fact_range_with_leap_day(spark):
 def test_calendar_of_empty_fact_is_empty(spark):
     t = make_tables(spark, [line(1, 1, 1, 1)], [(2, "A", d("2020-01-01"))])   # no line has an order
     assert ops.dim_date(ops.fact_sales_load(t)).count() == 0
+    assert ops.calendar_for(t).count() == 0
+
+
+def test_calendar_range_ignores_lines_without_product(spark):
+    lines = [line(1, 1, 1, 1), line(2, 99, 1, 1)]          # product 99 unknown
+    orders = [(1, "A", d("2021-01-10")), (2, "A", d("2021-03-01"))]
+    t = make_tables(spark, lines, orders)
+    assert ops.calendar_for(t).count() == 1
 
 
 def test_views_registered_idempotently_and_rollup_sql_matches(spark):
