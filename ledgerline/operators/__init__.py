@@ -16,6 +16,7 @@ from ledgerline.operators.customers import (
     orphan_customers,
     reference_date,
 )
+from ledgerline.operators.reports import REPORTS, export_reports
 from ledgerline.operators.revenue import net_revenue_lines, order_revenue, orders_with_revenue
 from ledgerline.operators.star import (
     dim_category,
@@ -42,5 +43,5 @@ __all__ = [
     "orphan_customers", "reference_date", "net_revenue_lines", "order_revenue", "orders_with_revenue",
     "dim_category", "dim_customer", "dim_product", "fact_sales", "fact_sales_load",
     "register_star_views", "star_rollup", "star_rollup_sql", "monthly_growth", "monthly_revenue",
-    "product_month_base", "product_top", "product_trend",
+    "product_month_base", "product_top", "product_trend", "REPORTS", "export_reports",
 ]

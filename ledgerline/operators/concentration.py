@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.money import RATIO_DEC, ratio, round_out
@@ -30,6 +30,14 @@ from ledgerline.sources.model import SalesTables
 SHARE = "decimal(9,4)"
 
 
+def revenue_share(revenue: Column, total: Column) -> Column:
+    """Percent of ``total``, rounded to 4 decimals, as DECIMAL(9,4); NULL if
+    the total is 0.  Same rule as ``functions.money.ratio``, kept decimal so
+    squares and running sums of it are exact."""
+    q = (revenue.cast("double") / F.nullif(total.cast("double"), F.lit(0.0))) * F.lit(100.0)
+    return F.round(q.cast(RATIO_DEC), 4).cast(SHARE)
+
+
 def customer_revenue(t: SalesTables) -> DataFrame:
     """(CustomerID, CompanyName, CustomerRevenue DECIMAL(18,2)) for customers
     with order lines and a customer row."""
@@ -50,9 +58,7 @@ def concentration_frame(t: SalesTables, params: ConcentrationParams = DEFAULTS.c
         if bound > window.single_task_rows:  # large: compute once, count exactly
             cr, n = materialize_counted(cr)
     total = cr.select(F.sum("CustomerRevenue")).scalar()
-    share = F.round(
-        ((F.col("CustomerRevenue").cast("double") / F.nullif(total.cast("double"), F.lit(0.0)))
-         * F.lit(100.0)).cast(RATIO_DEC), 4).cast(SHARE)
+    share = revenue_share(F.col("CustomerRevenue"), total)
     shares = cr.select("CustomerID", "CompanyName", "CustomerRevenue",
                        total.alias("TotalRevenue"), share.alias("_share"))
     shares = shares.withColumns({
@@ -99,9 +105,7 @@ def hhi_summary(t: SalesTables, params: ConcentrationParams = DEFAULTS.concentra
     # The total is a scalar subquery over the same plan; adaptive execution
     # reuses the customer-revenue exchanges instead of recomputing them.
     total = cr.select(F.sum("CustomerRevenue")).scalar()
-    share = F.round(
-        ((F.col("CustomerRevenue").cast("double") / F.nullif(total.cast("double"), F.lit(0.0)))
-         * F.lit(100.0)).cast(RATIO_DEC), 4).cast(SHARE)
+    share = revenue_share(F.col("CustomerRevenue"), total)
     frac = F.col("CustomerRevenue").cast("double") / F.nullif(total.cast("double"), F.lit(0.0))
     sums = cr.agg(
         F.count(F.lit(1)).cast("long").alias("Customers"),

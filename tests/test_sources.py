@@ -66,3 +66,16 @@ def test_tpch_adapter_reads_only_mapped_columns(spark):
     t = tpch_tables(spark, f"{TESTDATA}/sf0.001")
     plan = t.order_details._jdf.queryExecution().executedPlan().toString()
     assert "l_shipdate" not in plan and "l_comment" not in plan
+
+
+@pytest.mark.skipif(not os.path.exists(f"{TESTDATA}/sf0.001"), reason="driver data absent")
+def test_export_reports_writes_every_analysis(spark):
+    t = tpch_tables(spark, f"{TESTDATA}/sf0.001")
+    out = tempfile.mkdtemp(prefix="ledgerline-reports-")
+    written = ops.export_reports(t, out)
+    assert set(written) == set(ops.REPORTS)
+    growth = read_csv(spark, written["monthly_growth"],
+                      "Year long, Month long, MonthlyRevenue double, PrevMonthRevenue double, "
+                      "RevenueGrowthPct double, CumulativeRevenue double, MovingAvg3Months double")
+    assert growth.count() == 80
+    assert growth.where("PrevMonthRevenue IS NULL").count() == 1
