@@ -1,0 +1,77 @@
+"""Scale-independent invariants on the driver data (sf 0.01)."""
+
+from __future__ import annotations
+
+import os
+from collections import Counter, defaultdict
+
+import pytest
+
+from ledgerline import operators as ops
+from ledgerline.params import RfmParams
+from ledgerline.sources.tpch import tpch_tables
+
+from .conftest import TESTDATA
+
+SF = f"{TESTDATA}/sf0.01"
+pytestmark = pytest.mark.skipif(not os.path.exists(SF), reason="driver data absent")
+
+
+@pytest.fixture(scope="module")
+def t(spark):
+    return tpch_tables(spark, SF)
+
+
+def test_rfm_ranks_start_at_one_and_stay_within_country(t):
+    rows = ops.customer_rfm(t).collect()
+    by_country = defaultdict(list)
+    for r in rows:
+        by_country[r.Country].append(r)
+    for members in by_country.values():
+        ranks = sorted(r.RevenueRank for r in members)
+        assert ranks[0] == 1 and ranks[-1] <= len(members)
+        assert len({r.CountryTotalRevenue for r in members}) == 1
+        assert abs(sum(r.PctOfCountryRevenue for r in members) - 100) < 0.01 * len(members)
+    assert all(r.TotalOrders >= 2 for r in rows)
+    dense = ops.customer_rfm(t, RfmParams(rank_method="dense_rank")).collect()
+    for country, members in by_country.items():
+        distinct = len({r.TotalRevenue for r in members})
+        top = max(r.RevenueRank for r in dense if r.Country == country)
+        assert top <= distinct + 1   # ties are on unrounded revenue
+
+
+def test_calendar_has_one_row_per_day(t):
+    cal = ops.calendar_for(t).collect()
+    days = [r.Date for r in cal]
+    assert len(days) == (max(days) - min(days)).days + 1 == len(set(days))
+
+
+def test_exact_hhi_equals_sum_of_squared_shares(t):
+    rows = ops.customer_concentration(t).collect()
+    total = sum(r.CustomerRevenue for r in rows)
+    expected = sum((r.CustomerRevenue / total) ** 2 for r in rows) * 10000
+    summary = ops.hhi_summary(t).first()
+    assert abs(summary.ExactHHI - expected) < 1e-3
+    assert abs(summary.TotalHHI - sum(r.HHI_Contribution for r in rows)) < 1e-6
+    assert summary.Customers == len(rows)
+
+
+def test_churn_labels_partition_customers(t):
+    rows = ops.customer_churn(t).collect()
+    labels = Counter(r.ChurnRisk for r in rows)
+    assert sum(labels.values()) == len(rows) == len({r.CustomerID for r in rows})
+    for r in rows:
+        d = r.DaysSinceLastPurchase
+        assert r.ChurnRisk == ("LOST" if d >= 180 else "AT RISK" if d >= 90 else "ACTIVE")
+
+
+def test_trend_running_revenue_ends_at_product_total(t):
+    rows = ops.product_trend(t).collect()
+    last, total = {}, defaultdict(float)
+    for r in rows:                      # rows come sorted by category, product, year, month
+        last[r.ProductName] = r.RunningRevenueByProduct
+        total[r.ProductName] += r.MonthlyRevenue
+        assert r.MonthlyOrders >= 1 and r.RevenueRankInCategory >= 1
+        assert (r.Top3Flag == "TOP 3") == (r.RevenueRankInCategory <= 3)
+    for name, run in last.items():
+        assert abs(run - total[name]) < 0.01 * 80
