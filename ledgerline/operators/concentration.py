@@ -112,14 +112,18 @@ def hhi_summary(t: SalesTables, params: ConcentrationParams = DEFAULTS.concentra
         F.sum(F.round(share * share, 4)).alias("_hhi"),
         F.sum(frac * frac).alias("_hhi_exact"),
     )
+    if params.band_from not in ("exact", "reported"):
+        raise ValueError("band_from must be 'exact' or 'reported'")
     exact = F.round((F.col("_hhi_exact") * F.lit(10000.0)).cast(RATIO_DEC), 4).cast("double")
+    reported = F.col("_hhi").cast("double")
+    hhi = exact if params.band_from == "exact" else reported
     return sums.select(
         "Customers", total.cast("double").alias("TotalRevenue"),
-        F.col("_hhi").cast("double").alias("TotalHHI"),
+        reported.alias("TotalHHI"),
         exact.alias("ExactHHI"),
-        F.when(exact < params.healthy_below, F.lit("HEALTHY"))
-         .when(exact <= params.critical_above, F.lit("MODERATE"))
-         .when(exact.isNotNull(), F.lit("CRITICAL")).alias("HHIBand"),
+        F.when(hhi < params.healthy_below, F.lit("HEALTHY"))
+         .when(hhi <= params.critical_above, F.lit("MODERATE"))
+         .when(hhi.isNotNull(), F.lit("CRITICAL")).alias("HHIBand"),
     )
 
 

@@ -56,6 +56,9 @@ class ConcentrationParams:
     bottom_label: str = "BOTTOM 50%"
     healthy_below: float = 1500.0
     critical_above: float = 2500.0
+    # Which HHI the band reads: "exact" (from unrounded shares) or
+    # "reported" (the sum of the rounded per-customer contributions).
+    band_from: str = "exact"
     pareto_thresholds: tuple[float, ...] = (50.0, 80.0, 90.0)
 
 
