@@ -10,7 +10,7 @@ from ledgerline.functions.dates import quarter_of, year_of
 from ledgerline.functions.money import net_amount
 from ledgerline.operators.calendar import calendar_for
 from ledgerline.params import DEFAULTS, CalendarParams, JoinParams
-from ledgerline.plans.joins import join_dimension
+from ledgerline.plans.joins import broadcast_fits, join_dimension
 from ledgerline.sources.model import SalesTables
 
 FACT_LOAD_COLUMNS = ("OrderID", "CustomerID", "ProductID", "CategoryID", "OrderDate", "Quantity", "NetRevenue")
@@ -85,20 +85,31 @@ def star_rollup(t: SalesTables, join: JoinParams = DEFAULTS.join, aliases: dict
     """Net revenue, quantity and line count by category, year, quarter and
     (normalised) country.
 
-    Eager aggregation: the fact is first reduced to (customer, category,
-    year, quarter) -- combined map-side -- and only that is joined to the
-    customer dimension, so the customer join never sees line-level rows.
-    Year and quarter are derived from the order date directly (the calendar
-    table would return the same attributes).
+    A customer dimension proven small enough to broadcast is attached to
+    each line in the scan stage and the fact is aggregated once.  Otherwise
+    the fact is first reduced to (customer, category, year, quarter) --
+    combined map-side -- and only that is joined to the customers, so the
+    shuffled customer join never sees line-level rows.  Year and quarter
+    are derived from the order date directly (the calendar table would
+    return the same attributes).
     """
-    fact = fact_sales_load(t, join)
-    g = (fact.groupBy("CustomerID", "CategoryID",
-                      year_of("OrderDate").alias("Year"), quarter_of("OrderDate").alias("Quarter"))
-         .agg(F.sum("NetRevenue").alias("_rev"), F.sum("Quantity").alias("_qty"),
-              F.count(F.lit(1)).alias("_lines")))
-    g = g.join(dim_customer(t, aliases).select("CustomerID", "Country"), "CustomerID", "left")
+    fact = fact_sales_load(t, join).select(
+        "CustomerID", "CategoryID", year_of("OrderDate").alias("Year"),
+        quarter_of("OrderDate").alias("Quarter"), "NetRevenue", "Quantity")
+    customers = dim_customer(t, aliases).select("CustomerID", "Country")
+    keys = ["CategoryName", "Year", "Quarter", "Country"]
+    if broadcast_fits(customers, join):
+        # Small customer dimension: attach it to each line inside the scan
+        # stage and aggregate once.
+        g = fact.join(F.broadcast(customers), "CustomerID", "left").withColumns(
+            {"_rev": F.col("NetRevenue"), "_qty": F.col("Quantity"), "_lines": F.lit(1)})
+    else:
+        g = (fact.groupBy("CustomerID", "CategoryID", "Year", "Quarter")
+             .agg(F.sum("NetRevenue").alias("_rev"), F.sum("Quantity").alias("_qty"),
+                  F.count(F.lit(1)).alias("_lines"))
+             .join(customers, "CustomerID", "left"))
     g = join_dimension(g, dim_category(t), on="CategoryID", how="left", params=join)
-    return (g.groupBy("CategoryName", "Year", "Quarter", "Country")
+    return (g.groupBy(*keys)
             .agg(F.round(F.sum("_rev"), 2).cast("double").alias("NetRevenue"),
                  F.sum("_qty").cast("long").alias("Quantity"),
                  F.sum("_lines").cast("long").alias("Lines")))

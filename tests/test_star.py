@@ -67,3 +67,17 @@ def test_views_registered_idempotently_and_rollup_sql_matches(spark):
     b = sorted(tuple(r) for r in ops.star_rollup_sql(spark, t, prefix="t_").collect())
     assert a == b
     assert ("Drink", 2020, 1, "United States", 10.0, 2, 1) in a
+
+
+def test_rollup_same_with_and_without_customer_broadcast(spark):
+    from ledgerline.params import JoinParams
+    products = [(1, "P1", 1), (2, "P2", 2)]
+    categories = [(1, "Food"), (2, "Drink")]
+    customers = [("A", "a", "USA", "x"), ("B", "b", "UK", "y")]
+    lines = [line(1, 1, 10, 1), line(1, 2, 5, 2), line(2, 2, 3, 1), line(3, 1, 7, 3)]
+    orders = [(1, "A", d("2020-01-05")), (2, "B", d("2020-05-05")), (3, "GHOST", d("2020-05-06"))]
+    t = make_tables(spark, lines, orders, products=products, categories=categories, customers=customers)
+    small = sorted(tuple(r) for r in ops.star_rollup(t).collect())
+    no_bc = JoinParams(broadcast_max_rows=0, broadcast_max_bytes=0)
+    assert sorted(tuple(r) for r in ops.star_rollup(t, join=no_bc).collect()) == small
+    assert ("Food", 2020, 2, None, 21.0, 3, 1) in small       # order of an unknown customer kept
