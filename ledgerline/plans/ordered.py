@@ -142,8 +142,8 @@ def _single(df: DataFrame, part: list[str], keys: list[Key], tie: list[Key],
 def _bucketed(df: DataFrame, part: list[str], keys: list[Key], tie: list[Key],
               out: WindowOutputs, buckets: int) -> DataFrame:
     key_cols = [c for c, _ in keys]
-    sums = {**{f"__rs_{i}": c for i, c in enumerate(out.running_sums.values())}}
-    seg_sums = {**{f"__ss_{i}": c for i, c in enumerate(out.segment_sums.values())}}
+    sums = {f"__rs_{i}": c for i, c in enumerate(out.running_sums.values())}
+    seg_sums = {f"__ss_{i}": c for i, c in enumerate(out.segment_sums.values())}
 
     # 1. Range buckets over (segment, keys, tiebreak); local window per bucket.
     ranged = (df.repartitionByRange(buckets, *[F.col(p).asc() for p in part], *_sort(keys + tie))
@@ -169,7 +169,11 @@ def _bucketed(df: DataFrame, part: list[str], keys: list[Key], tie: list[Key],
         aggs.append(F.sum(src).alias(f"__tot{tmp}"))
     stats = local.groupBy("__b", *part).agg(*aggs)
 
-    # 3. Offsets: exclusive prefix over the buckets of each segment.
+    # 3. Offsets: exclusive prefix over the buckets of each segment.  A tie
+    #    group (equal keys) may continue from the previous bucket ("cont"):
+    #    its rows keep the rank of the row where the group started ("carry":
+    #    the rank of the previous bucket's last row, carried through buckets
+    #    that hold nothing but that group) and do not open a new dense rank.
     seg = Window.partitionBy(*part).orderBy("__b") if part else Window.orderBy("__b")
     before = seg.rowsBetween(Window.unboundedPreceding, -1)
     upto = seg.rowsBetween(Window.unboundedPreceding, Window.currentRow)
