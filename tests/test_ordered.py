@@ -79,3 +79,24 @@ def test_bucketed_plan_has_no_single_partition_exchange(spark):
                          params=WindowParams(rows_per_bucket=10), materialize_input=False, force="bucketed")
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+try:
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+except ImportError:  # pragma: no cover
+    given = None
+
+if given is not None:
+    row = st.tuples(st.sampled_from(["a", "b", None]), st.one_of(st.none(), st.integers(0, 5)),
+                    st.integers(0, 99))
+
+    @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(rows=st.lists(row, min_size=1, max_size=60), per_bucket=st.integers(1, 9),
+           segmented=st.booleans())
+    def test_property_bucketed_equals_single(spark, rows, per_bucket, segmented):
+        data = [(i, s, k, Decimal(v) / 10) for i, (s, k, v) in enumerate(rows)]
+        df = spark.createDataFrame(data, "id long, seg string, k long, v decimal(10,1)")
+        part = ["seg"] if segmented else []
+        s, b = _both(df if segmented else df.drop("seg"), part, per_bucket)
+        assert s == b
