@@ -12,11 +12,8 @@ from ledgerline.functions.dates import (
     year_of,
 )
 from ledgerline.functions.money import (
-    as_money,
-    as_rate,
     cents,
     cents_exact,
-    exact_double,
     gross_amount,
     mean_round2,
     net_amount,
@@ -27,7 +24,7 @@ from ledgerline.functions.money import (
 
 __all__ = [
     "as_date", "day_abbrev", "day_of_week", "days_between", "month_abbrev",
-    "month_of", "month_start", "quarter_of", "year_of", "as_money", "as_rate", "cents", "cents_exact",
-    "exact_double", "gross_amount", "mean_round2", "net_amount",
+    "month_of", "month_start", "quarter_of", "year_of", "cents", "cents_exact",
+    "gross_amount", "mean_round2", "net_amount",
     "per_period_round2", "ratio", "round_out",
 ]

@@ -15,8 +15,6 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MONEY = "decimal(18,2)"
-RATE = "decimal(4,2)"
 # Intermediate type used to round a DOUBLE ratio: going through a fixed
 # 10-digit decimal makes the final half-up rounding independent of how an
 # engine rounds binary doubles.
@@ -27,16 +25,6 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def as_money(c: Column | str) -> Column:
-    """Cast an amount to DECIMAL(18,2)."""
-    return _col(c).cast(MONEY)
-
-
-def as_rate(c: Column | str) -> Column:
-    """Cast a fraction (e.g. a discount of 0.05) to DECIMAL(4,2)."""
-    return _col(c).cast(RATE)
-
-
 def cents(c: Column | str) -> Column:
     """A DOUBLE amount as whole hundredths (BIGINT), rounded half up.
 
@@ -73,11 +61,6 @@ def round_out(c: Column | str, scale: int = 2) -> Column:
     return F.round(_col(c), scale).cast("double")
 
 
-def exact_double(c: Column | str) -> Column:
-    """An unrounded decimal emitted as DOUBLE."""
-    return _col(c).cast("double")
-
-
 def ratio(num: Column | str, den: Column | str, scale: int,
           factor: float | None = None, factor_first: bool = False) -> Column:
     """Round ``num / den`` (times ``factor``) to ``scale`` digits; NULL if den = 0.
