@@ -52,6 +52,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "8g")
     )
+    if "spark.sql.warehouse.dir" not in extra:   # keep catalog files out of the working folder
+        builder = builder.config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="ledgerline-warehouse-"))
     for key, value in {**CORE_CONF, **extra}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()

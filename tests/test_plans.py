@@ -75,3 +75,20 @@ def test_month_window_is_the_only_single_partition_step(t):
     plan = _plan(ops.monthly_growth(t, ordered=False))
     singles = [e for e in _exchanges(plan) if e == "SinglePartition"]
     assert len(singles) <= 1    # the month-grain window (one row per month)
+
+
+def test_bucketed_storage_removes_the_order_shuffles(spark, t):
+    import tempfile
+
+    from ledgerline.sources import store_bucketed
+    loc = tempfile.mkdtemp(prefix="ledgerline-bucketed-")
+    bt = store_bucketed(spark, t, "ledgerline_test_bucketed", loc, buckets=8)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for fn in (ops.customer_churn, ops.product_month_base, ops.monthly_growth):
+            plain, stored = fn(t), fn(bt)
+            assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, stored.collect()))
+            order_shuffles = [e for e in _exchanges(_plan(stored)) if "OrderID" in e]
+            assert order_shuffles == [], fn.__name__
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
