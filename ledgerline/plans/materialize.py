@@ -26,7 +26,9 @@ def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:
     """Checkpoint ``df`` and return it with its row count.
 
     The count is an observed metric of the checkpoint job itself, so no
-    second pass over the data is needed.
+    second pass over the data is needed.  It only steers a plan choice
+    (single task or buckets, bucket count), never a result, so a stage
+    re-run after executor loss that counted twice could not change output.
     """
     ensure_checkpoint_dir(df.sparkSession)
     obs = Observation()
