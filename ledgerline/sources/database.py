@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 class DatabaseSource:
     spark: SparkSession
     server: str = "localhost"
-    database: str = "Northwind"
+    database: str = "sales"
     url_template: str = "jdbc:sqlserver://{server};databaseName={database};encrypt=false"
     properties: dict = field(default_factory=dict)   # user, password, driver, fetchsize ...
 

@@ -33,16 +33,16 @@ def test_classic_schema_adapter(spark):
         "Order Details": spark.createDataFrame(
             [(1, 1, Decimal("18.00"), 2, 0.1)], "OrderID long, ProductID long, UnitPrice decimal(10,2), "
                                                 "Quantity int, Discount float"),
-        "Orders": spark.createDataFrame([(1, "ALFKI", dt.datetime(1997, 8, 25, 0, 0))],
+        "Orders": spark.createDataFrame([(1, "CU001", dt.datetime(2021, 8, 25, 0, 0))],
                                         "OrderID long, CustomerID string, OrderDate timestamp"),
-        "Products": spark.createDataFrame([(1, "Chai", 1)], "ProductID long, ProductName string, CategoryID long"),
-        "Categories": spark.createDataFrame([(1, "Beverages")], "CategoryID long, CategoryName string"),
-        "Customers": spark.createDataFrame([("ALFKI", "Alfreds", "Germany", "Berlin")],
+        "Products": spark.createDataFrame([(1, "Green tea", 1)], "ProductID long, ProductName string, CategoryID long"),
+        "Categories": spark.createDataFrame([(1, "Drinks")], "CategoryID long, CategoryName string"),
+        "Customers": spark.createDataFrame([("CU001", "Corner Shop", "Landia", "Town")],
                                            "CustomerID string, CompanyName string, Country string, City string"),
     }
     t = from_classic(frames.__getitem__)
     r = ops.fact_sales(t).first()
-    assert r.NetRevenue == Decimal("32.4000") and r.OrderDate == dt.date(1997, 8, 25)
+    assert r.NetRevenue == Decimal("32.4000") and r.OrderDate == dt.date(2021, 8, 25)
 
 
 def test_csv_export_round_trip_with_nulls(spark):
