@@ -28,6 +28,10 @@ SKEW_CONF = {
 }
 
 CORE_CONF = {
+    # Checkpoints pin intermediate results; let Spark delete them once the
+    # checkpointed data is no longer referenced, so repeated runs do not
+    # leak files into the shared checkpoint folder.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
