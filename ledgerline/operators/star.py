@@ -67,14 +67,19 @@ STAR_VIEWS = ("FactSales", "DimCustomer", "DimProduct", "DimCategory", "DimDate"
 
 def register_star_views(spark: SparkSession, t: SalesTables, prefix: str = "",
                         calendar: CalendarParams = DEFAULTS.calendar) -> dict[str, DataFrame]:
-    """(Re)create the star schema as temporary views; safe to call repeatedly."""
+    """(Re)create the star schema as temporary views; safe to call repeatedly.
+
+    DimDate carries a broadcast hint: it has one row per day of the fact's
+    span (a bound set by the calendar, about 365 rows a year, not by data
+    volume), so SQL joining the fact to it never shuffles the fact by date.
+    """
     fact = fact_sales_load(t)
     frames = {
         "FactSales": fact,
         "DimCustomer": dim_customer(t),
         "DimProduct": dim_product(t),
         "DimCategory": dim_category(t),
-        "DimDate": calendar_for(t, calendar),
+        "DimDate": calendar_for(t, calendar).hint("broadcast"),
     }
     for name, df in frames.items():
         df.createOrReplaceTempView(prefix + name)
