@@ -83,8 +83,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _BASE = """
 od AS (
   SELECT l_orderkey AS OrderID, l_partkey AS ProductID,
-         CAST(l_quantity AS BIGINT) AS Quantity,
-         l_extendedprice / l_quantity AS UnitPrice,
+         CAST(FLOOR(l_quantity + 0.5) AS BIGINT) AS Quantity,
+         l_extendedprice / NULLIF(l_quantity, 0) AS UnitPrice,
          CAST(FLOOR(l_extendedprice * 100 + 0.5) AS BIGINT) AS cents,
          CAST(FLOOR(l_discount * 100 + 0.5) AS BIGINT) AS pct
   FROM lineitem),

@@ -49,7 +49,7 @@ def tpch_from_frames(lineitem: DataFrame, orders: DataFrame, part: DataFrame,
     order_details = lineitem.select(
         F.col("l_orderkey").alias("OrderID"),
         F.col("l_partkey").alias("ProductID"),
-        F.col("l_quantity").cast("long").alias("Quantity"),
+        F.floor(F.col("l_quantity") + F.lit(0.5)).cast("long").alias("Quantity"),
         F.try_divide(F.col("l_extendedprice"), F.col("l_quantity")).alias("UnitPrice"),
         cents("l_extendedprice").alias("GrossCents"),
         cents("l_discount").alias("DiscountPct"),
