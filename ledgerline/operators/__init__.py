@@ -17,7 +17,12 @@ from ledgerline.operators.customers import (
     reference_date,
 )
 from ledgerline.operators.reports import REPORTS, export_reports
-from ledgerline.operators.revenue import net_revenue_lines, order_revenue, orders_with_revenue
+from ledgerline.operators.revenue import (
+    net_revenue_lines,
+    order_revenue,
+    orders_with_revenue,
+    share_order_revenue,
+)
 from ledgerline.operators.star import (
     dim_category,
     dim_customer,
@@ -41,6 +46,7 @@ __all__ = [
     "customer_concentration", "customer_revenue", "hhi_summary",
     "pareto_cutoff", "customer_activity", "customer_churn", "customer_order_stats", "customer_rfm",
     "orphan_customers", "reference_date", "net_revenue_lines", "order_revenue", "orders_with_revenue",
+    "share_order_revenue",
     "dim_category", "dim_customer", "dim_product", "fact_sales", "fact_sales_load",
     "register_star_views", "star_rollup", "star_rollup_sql", "monthly_growth", "monthly_revenue",
     "product_month_base", "product_top", "product_trend", "REPORTS", "export_reports",

@@ -6,6 +6,7 @@ import os
 
 from ledgerline.operators.concentration import customer_concentration
 from ledgerline.operators.customers import customer_churn, customer_rfm
+from ledgerline.operators.revenue import share_order_revenue
 from ledgerline.operators.trends import monthly_growth, product_trend
 from ledgerline.sources.csv import export_csv
 from ledgerline.sources.model import SalesTables
@@ -24,8 +25,10 @@ def export_reports(t: SalesTables, out_dir: str, names: tuple[str, ...] | None =
 
     Each report is written by all tasks in parallel into its own folder of
     part files (headered, UTF-8, ``NULL`` for nulls); nothing passes through
-    the driver.  Returns report name -> folder.
+    the driver.  Revenue per order is computed once and shared by the
+    reports that start from it.  Returns report name -> folder.
     """
+    t = share_order_revenue(t) if t.order_revenue is None else t
     written = {}
     for name in names or tuple(REPORTS):
         path = os.path.join(out_dir, name)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.money import net_amount
+from ledgerline.plans.materialize import materialize
 from ledgerline.sources.model import SalesTables
 
 
@@ -26,13 +28,27 @@ def order_revenue(t: SalesTables) -> DataFrame:
 
     Aggregated before any join: partial aggregation collapses the lines of an
     order inside each input split, so the shuffle by OrderID moves about one
-    row per order and a hot order is combined map-side.
+    row per order and a hot order is combined map-side.  A shared result
+    carried by ``t`` (``share_order_revenue``) is used as is.
     """
+    if t.order_revenue is not None:
+        return t.order_revenue
     return (t.order_details
             .groupBy("OrderID")
             .agg(F.sum(net_amount("GrossCents", "DiscountPct")).alias("OrderRevenue")))
 
 
+def share_order_revenue(t: SalesTables) -> SalesTables:
+    """``t`` carrying its per-order revenue, computed once and checkpointed.
+
+    The customer analyses, the concentration and the monthly growth all start
+    from revenue per order; run together (a report export, a dashboard
+    refresh) they then read one order-grain result instead of each scanning
+    and shuffling every order line again.
+    """
+    return replace(t, order_revenue=materialize(order_revenue(t)))
+
+
 def orders_with_revenue(t: SalesTables, how: str = "inner") -> DataFrame:
     """Orders joined to their revenue on OrderID.
 
