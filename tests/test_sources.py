@@ -79,3 +79,16 @@ def test_export_reports_writes_every_analysis(spark):
                       "RevenueGrowthPct double, CumulativeRevenue double, MovingAvg3Months double")
     assert growth.count() == 80
     assert growth.where("PrevMonthRevenue IS NULL").count() == 1
+
+
+@pytest.mark.skipif(not os.path.exists(f"{TESTDATA}/sf0.001"), reason="driver data absent")
+def test_command_line_reports_and_views(spark):
+    from ledgerline.__main__ import main
+    out = tempfile.mkdtemp(prefix="ledgerline-cli-")
+    assert main(["reports", "--tpch", f"{TESTDATA}/sf0.001", "--out", out, "--only", "customer_churn"]) == 0
+    churn = read_csv(spark, os.path.join(out, "customer_churn"), "CustomerID long, CompanyName string")
+    assert churn.count() == 150
+    sql = "SELECT d.Year, COUNT(*) AS lines FROM FactSales f JOIN DimDate d ON f.OrderDate = d.Date GROUP BY d.Year"
+    assert main(["views", "--tpch", f"{TESTDATA}/sf0.001", "--sql", sql, "--out", os.path.join(out, "by_year")]) == 0
+    by_year = read_csv(spark, os.path.join(out, "by_year"), "Year long, lines long")
+    assert sum(r.lines for r in by_year.collect()) == 6000
