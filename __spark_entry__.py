@@ -273,8 +273,8 @@ FROM sh""",
         "hhi_total": _with(*_CONC, """h AS (
   SELECT CAST(COUNT(*) AS BIGINT) AS Customers, CAST((SELECT T FROM tot) AS DOUBLE) AS TotalRevenue,
          CAST(SUM(ROUND(share * share, 4)) AS DOUBLE) AS TotalHHI,
-         CAST(ROUND(CAST(SUM((CAST(CR AS DOUBLE) / NULLIF(CAST(T AS DOUBLE), 0))
-                             * (CAST(CR AS DOUBLE) / NULLIF(CAST(T AS DOUBLE), 0))) * 10000.0
+         CAST(ROUND(CAST((CAST(SUM(CR * CR) AS DOUBLE)
+                          / NULLIF(CAST(MAX(T) AS DOUBLE) * CAST(MAX(T) AS DOUBLE), 0)) * 10000.0
                          AS DECIMAL(38,10)), 4) AS DOUBLE) AS ExactHHI
   FROM sh)""") + """
 SELECT Customers, TotalRevenue, TotalHHI, ExactHHI,

@@ -106,15 +106,18 @@ def hhi_summary(t: SalesTables, params: ConcentrationParams = DEFAULTS.concentra
     # reuses the customer-revenue exchanges instead of recomputing them.
     total = cr.select(F.sum("CustomerRevenue")).scalar()
     share = revenue_share(F.col("CustomerRevenue"), total)
-    frac = F.col("CustomerRevenue").cast("double") / F.nullif(total.cast("double"), F.lit(0.0))
     sums = cr.agg(
         F.count(F.lit(1)).cast("long").alias("Customers"),
         F.sum(F.round(share * share, 4)).alias("_hhi"),
-        F.sum(frac * frac).alias("_hhi_exact"),
+        # exact sum of squared revenues, so the result does not depend on
+        # the order rows are added in
+        F.sum(F.col("CustomerRevenue") * F.col("CustomerRevenue")).alias("_sumsq"),
     )
     if params.band_from not in ("exact", "reported"):
         raise ValueError("band_from must be 'exact' or 'reported'")
-    exact = F.round((F.col("_hhi_exact") * F.lit(10000.0)).cast(RATIO_DEC), 4).cast("double")
+    t2 = total.cast("double") * total.cast("double")
+    exact_q = (F.col("_sumsq").cast("double") / F.nullif(t2, F.lit(0.0))) * F.lit(10000.0)
+    exact = F.round(exact_q.cast(RATIO_DEC), 4).cast("double")
     reported = F.col("_hhi").cast("double")
     hhi = exact if params.band_from == "exact" else reported
     return sums.select(
