@@ -95,8 +95,9 @@ def product_trend(t: SalesTables, params: TrendParams = DEFAULTS.trend,
     """Monthly product revenue with growth, running revenue, rank in category
     and month, a top-N flag and a trend alert.
 
-    * previous month and running revenue: per product name, in month order
-      (a product's rows are bounded by the number of months);
+    * previous month and running revenue: per product name (or per
+      category and name, ``TrendParams.series_by``), in month order (a
+      series is bounded by the number of months);
     * rank: dense rank of revenue inside (category, month), via
       ``ordered_window`` because a category-month can hold any number of
       products;
@@ -109,8 +110,10 @@ def product_trend(t: SalesTables, params: TrendParams = DEFAULTS.trend,
         base, partition_by=["CategoryName", "OrderMonth"], order_keys=[("MonthlyRevenue", False)],
         tiebreak=[("ProductName", True)], outputs=WindowOutputs(dense_rank="RevenueRankInCategory"),
         params=window, segment_bound=bound, force=force)
-    w = Window.partitionBy("ProductName").orderBy(F.col("OrderMonth").asc_nulls_first(),
-                                                  F.col("CategoryName").asc_nulls_first())
+    if not set(params.series_by) <= {"ProductName", "CategoryName"} or "ProductName" not in params.series_by:
+        raise ValueError("series_by must be ('ProductName',) or ('CategoryName', 'ProductName')")
+    w = Window.partitionBy(*params.series_by).orderBy(F.col("OrderMonth").asc_nulls_first(),
+                                                      F.col("CategoryName").asc_nulls_first())
     ranked = ranked.withColumns({
         "_prev": F.lag("MonthlyRevenue").over(w),
         "_run": F.sum("MonthlyRevenue").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)),

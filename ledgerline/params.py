@@ -37,6 +37,10 @@ class TrendParams:
     growing_above: float = 20.0
     top_n: int = 3
     top_label: str = "TOP 3"
+    # Rows that form one product's series for the previous month and the
+    # running revenue: ("ProductName",) as the analysis defines it, or
+    # ("CategoryName", "ProductName") when a name recurs across categories.
+    series_by: tuple[str, ...] = ("ProductName",)
 
 
 @dataclass(frozen=True)

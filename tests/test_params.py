@@ -57,3 +57,17 @@ def test_week_start_is_a_parameter(spark):
     sunday = ops.calendar_for(t).first()
     monday = ops.calendar_for(t, CalendarParams(week_start="monday")).first()
     assert (sunday["Day of Week"], monday["Day of Week"]) == (0, 6)
+
+
+def test_trend_series_by_category_and_name(spark):
+    # one product name in two categories: by name alone the series interleave
+    products = [(1, "Mug", 1), (2, "Mug", 2)]
+    categories = [(1, "Kitchen"), (2, "Office")]
+    lines = [line(1, 1, 10, 1), line(2, 2, 50, 1), line(3, 1, 20, 1)]
+    orders = [(1, "A", d("2021-01-05")), (2, "A", d("2021-02-05")), (3, "A", d("2021-03-05"))]
+    t = make_tables(spark, lines, orders, products=products, categories=categories)
+    by_name = {(r.CategoryName, r.Month): r.PrevMonthRevenue for r in ops.product_trend(t).collect()}
+    assert by_name == {("Kitchen", 1): None, ("Office", 2): 10.0, ("Kitchen", 3): 50.0}
+    split = {(r.CategoryName, r.Month): r.PrevMonthRevenue
+             for r in ops.product_trend(t, TrendParams(series_by=("CategoryName", "ProductName"))).collect()}
+    assert split == {("Kitchen", 1): None, ("Office", 2): None, ("Kitchen", 3): 10.0}
