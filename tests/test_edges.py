@@ -29,3 +29,12 @@ def test_zero_revenue_gives_null_shares(spark):
     assert ops.hhi_summary(t).first().HHIBand is None
     growth = ops.monthly_growth(t).collect()
     assert [r.RevenueGrowthPct for r in growth] == [None, None]
+
+
+def test_bucketed_window_on_empty_input(spark):
+    from ledgerline.params import WindowParams
+    t = make_tables(spark, [], [], products=[], categories=[], customers=[])
+    wp = WindowParams(single_task_rows=0, rows_per_bucket=1)
+    assert ops.customer_concentration(t, window=wp, force="bucketed").count() == 0
+    assert ops.customer_rfm(t, window=wp, force="bucketed").count() == 0
+    assert ops.product_trend(t, window=wp, force="bucketed").count() == 0
