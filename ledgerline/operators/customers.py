@@ -19,7 +19,8 @@ def reference_date(t: SalesTables):
     The analyses' "today" comes from the data, never from the clock, so a
     rerun gives the same answer.  Spark computes the subquery once.
     """
-    return t.orders.select(F.max("OrderDate")).scalar()
+    orders = t.order_facts if t.order_facts is not None else t.orders
+    return orders.select(F.max("OrderDate")).scalar()
 
 
 def _customer_order_stats(t: SalesTables, min_orders: int) -> DataFrame:

@@ -25,10 +25,10 @@ def export_reports(t: SalesTables, out_dir: str, names: tuple[str, ...] | None =
 
     Each report is written by all tasks in parallel into its own folder of
     part files (headered, UTF-8, ``NULL`` for nulls); nothing passes through
-    the driver.  Revenue per order is computed once and shared by the
-    reports that start from it.  Returns report name -> folder.
+    the driver.  Order facts (revenue per order) are computed once and
+    shared by the reports that start from them.  Returns report name -> folder.
     """
-    t = share_order_revenue(t) if t.order_revenue is None else t
+    t = share_order_revenue(t) if t.order_facts is None else t
     written = {}
     for name in names or tuple(REPORTS):
         path = os.path.join(out_dir, name)

@@ -28,25 +28,29 @@ def order_revenue(t: SalesTables) -> DataFrame:
 
     Aggregated before any join: partial aggregation collapses the lines of an
     order inside each input split, so the shuffle by OrderID moves about one
-    row per order and a hot order is combined map-side.  A shared result
-    carried by ``t`` (``share_order_revenue``) is used as is.
+    row per order and a hot order is combined map-side.
     """
-    if t.order_revenue is not None:
-        return t.order_revenue
     return (t.order_details
             .groupBy("OrderID")
             .agg(F.sum(net_amount("GrossCents", "DiscountPct")).alias("OrderRevenue")))
 
 
 def share_order_revenue(t: SalesTables) -> SalesTables:
-    """``t`` carrying its per-order revenue, computed once and checkpointed.
+    """``t`` carrying its order facts, computed once and checkpointed.
 
-    The customer analyses, the concentration and the monthly growth all start
-    from revenue per order; run together (a report export, a dashboard
-    refresh) they then read one order-grain result instead of each scanning
-    and shuffling every order line again.
+    The facts are every order with its revenue and its number of lines (0
+    when it has none).  The customer analyses, the concentration and the
+    monthly growth all start from revenue per order; run together (a report
+    export, a dashboard refresh) they then read this one order-grain result
+    instead of each scanning the order lines and shuffling both tables again.
     """
-    return replace(t, order_revenue=materialize(order_revenue(t)))
+    per_order = (t.order_details.groupBy("OrderID")
+                 .agg(F.sum(net_amount("GrossCents", "DiscountPct")).alias("OrderRevenue"),
+                      F.count(F.lit(1)).alias("LineCount")))
+    facts = (t.orders.select("OrderID", "CustomerID", "OrderDate")
+             .join(per_order, "OrderID", "left")
+             .withColumn("LineCount", F.coalesce(F.col("LineCount"), F.lit(0))))
+    return replace(t, order_facts=materialize(facts))
 
 
 def orders_with_revenue(t: SalesTables, how: str = "inner") -> DataFrame:
@@ -57,5 +61,10 @@ def orders_with_revenue(t: SalesTables, how: str = "inner") -> DataFrame:
     on OrderID, and the output stays so partitioned, which later per-order
     groupings reuse without another shuffle.
     """
+    if t.order_facts is not None:
+        facts = t.order_facts if how == "left" else t.order_facts.where(F.col("LineCount") > 0)
+        return facts.select("OrderID", "CustomerID", "OrderDate", "OrderRevenue")
+    if how not in ("left", "inner"):
+        raise ValueError("how must be 'left' or 'inner'")
     orders = t.orders.select("OrderID", "CustomerID", "OrderDate")
     return orders.join(order_revenue(t), "OrderID", how)

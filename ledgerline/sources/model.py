@@ -42,9 +42,10 @@ class SalesTables:
     products: DataFrame
     categories: DataFrame
     customers: DataFrame
-    # Optional precomputed (OrderID, OrderRevenue): net revenue per order,
-    # shared by analyses run together (see operators.revenue.share_order_revenue).
-    order_revenue: DataFrame | None = None
+    # Optional precomputed order facts (OrderID, CustomerID, OrderDate,
+    # OrderRevenue, LineCount) for every order, shared by analyses run
+    # together (see operators.revenue.share_order_revenue).
+    order_facts: DataFrame | None = None
 
     def validate(self) -> SalesTables:
         """Check that every relation carries its canonical columns."""
@@ -57,8 +58,9 @@ class SalesTables:
             missing = [c for c in cols if c not in have]
             if missing:
                 raise ValueError(f"{name} lacks columns {missing}")
-        if self.order_revenue is not None and not {"OrderID", "OrderRevenue"} <= set(self.order_revenue.columns):
-            raise ValueError("order_revenue needs OrderID and OrderRevenue")
+        facts = {"OrderID", "CustomerID", "OrderDate", "OrderRevenue", "LineCount"}
+        if self.order_facts is not None and not facts <= set(self.order_facts.columns):
+            raise ValueError(f"order_facts needs columns {sorted(facts)}")
         return self
 
 

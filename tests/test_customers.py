@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pytest
+
 from ledgerline import operators as ops
 from ledgerline.params import RfmParams
 
@@ -12,12 +14,15 @@ def _by_id(df, key="CustomerID"):
     return {r[key]: r for r in df.collect()}
 
 
-def test_order_without_lines_counts_in_rfm_but_not_in_churn(spark):
+@pytest.mark.parametrize("shared", [False, True])
+def test_order_without_lines_counts_in_rfm_but_not_in_churn(spark, shared):
     lines = [line(1, 1, 10, 1), line(2, 1, 20, 1), line(3, 1, 5, 2)]
     orders = [(1, "A", d("2020-01-01")), (2, "A", d("2020-02-01")), (3, "B", d("2020-01-15")),
               (4, "B", d("2020-03-01")),          # B's newest order has no lines
               (5, "A", d("2020-01-10"))]          # A: order without lines too
     t = make_tables(spark, lines, orders)
+    if shared:
+        t = ops.share_order_revenue(t)
     rfm = _by_id(ops.customer_rfm(t))
     assert rfm["A"].TotalOrders == 3 and rfm["A"].TotalRevenue == 30.0
     assert rfm["A"].AvgOrderValue == 10.0             # 30 / 3 orders (one of them empty)
