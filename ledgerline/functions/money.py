@@ -36,8 +36,10 @@ def cents(c: Column | str) -> Column:
 
 
 def cents_exact(c: Column | str) -> Column:
-    """A DECIMAL amount as whole hundredths (BIGINT), rounded half up."""
-    return (F.round(_col(c), 2) * F.lit(100)).cast("long")
+    """A DECIMAL (or DOUBLE) amount as whole hundredths (BIGINT), rounded
+    half up.  The value is scaled in DECIMAL, so a double such as 0.29 gives
+    29, not the 28 a binary 28.999... would truncate to."""
+    return F.round(_col(c).cast("decimal(38,6)") * F.lit(100), 0).cast("long")
 
 
 def net_amount(gross_cents: Column | str, discount_pct: Column | str) -> Column:

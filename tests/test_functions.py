@@ -63,3 +63,11 @@ def test_calendar_attributes(spark):
                   D.day_of_week("d").alias("w"), D.day_of_week("d", "monday").alias("wm"),
                   D.quarter_of("d").alias("q")).first()
     assert (r.m, r.a, r.w, r.wm, r.q) == ("May", "Sun", 0, 6, 2)
+
+
+def test_cents_exact_for_decimal_and_double_prices(spark):
+    df = spark.createDataFrame([(Decimal("0.29"), 0.29, 3), (Decimal("18.005"), 18.005, 1)],
+                               "dp decimal(10,3), fp double, q int")
+    got = [(r.a, r.b) for r in df.select(M.gross_amount("dp", "q").alias("a"),
+                                         M.gross_amount("fp", "q").alias("b")).collect()]
+    assert got == [(87, 87), (1801, 1801)]
