@@ -54,8 +54,11 @@ def net_amount(gross_cents: Column | str, discount_pct: Column | str) -> Column:
 
 
 def gross_amount(unit_price: Column | str, quantity: Column | str) -> Column:
-    """Gross line amount in cents from a DECIMAL unit price and a quantity."""
-    return cents_exact(unit_price) * _col(quantity).cast("long")
+    """Gross line amount in cents: unit price x quantity, multiplied exactly
+    in DECIMAL and then rounded half up to the cent (line amounts are kept
+    to the cent, the precision of every money output)."""
+    exact = _col(unit_price).cast("decimal(38,6)") * _col(quantity).cast("decimal(18,0)")
+    return cents_exact(exact)
 
 
 def round_out(c: Column | str, scale: int = 2) -> Column:

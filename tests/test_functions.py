@@ -66,8 +66,9 @@ def test_calendar_attributes(spark):
 
 
 def test_cents_exact_for_decimal_and_double_prices(spark):
-    df = spark.createDataFrame([(Decimal("0.29"), 0.29, 3), (Decimal("18.005"), 18.005, 1)],
+    df = spark.createDataFrame([(Decimal("0.29"), 0.29, 3), (Decimal("18.005"), 18.005, 1),
+                                (Decimal("0.125"), 0.125, 8)],
                                "dp decimal(10,3), fp double, q int")
     got = [(r.a, r.b) for r in df.select(M.gross_amount("dp", "q").alias("a"),
                                          M.gross_amount("fp", "q").alias("b")).collect()]
-    assert got == [(87, 87), (1801, 1801)]
+    assert got == [(87, 87), (1801, 1801), (100, 100)]   # price x quantity first, then the cent
