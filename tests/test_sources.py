@@ -92,3 +92,30 @@ def test_command_line_reports_and_views(spark):
     assert main(["views", "--tpch", f"{TESTDATA}/sf0.001", "--sql", sql, "--out", os.path.join(out, "by_year")]) == 0
     by_year = read_csv(spark, os.path.join(out, "by_year"), "Year long, lines long")
     assert sum(r.lines for r in by_year.collect()) == 6000
+
+
+def test_classic_parquet_folder_through_the_command_line(spark):
+    from ledgerline.__main__ import main
+    src = tempfile.mkdtemp(prefix="ledgerline-classic-")
+    tables = {
+        "Order Details": ([(1, 1, Decimal("18.00"), 2, 0.0), (2, 1, Decimal("18.00"), 1, 0.15),
+                           (3, 2, Decimal("9.50"), 4, 0.05)],
+                          "OrderID int, ProductID int, UnitPrice decimal(19,4), Quantity smallint, Discount float"),
+        "Orders": ([(1, "AAA01", dt.datetime(2021, 1, 10)), (2, "AAA01", dt.datetime(2021, 3, 5)),
+                    (3, "BBB02", dt.datetime(2021, 3, 6))],
+                   "OrderID int, CustomerID string, OrderDate timestamp"),
+        "Products": ([(1, "Green tea", 1), (2, "Rye bread", 2)], "ProductID int, ProductName string, CategoryID int"),
+        "Categories": ([(1, "Drinks"), (2, "Bakery")], "CategoryID int, CategoryName string"),
+        "Customers": ([("AAA01", "Corner Shop", "UK", "Town"), ("BBB02", "Big Store", " USA", "City")],
+                      "CustomerID string, CompanyName string, Country string, City string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(os.path.join(src, f"{name}.parquet"))
+    out = tempfile.mkdtemp(prefix="ledgerline-classic-out-")
+    assert main(["reports", "--classic", src, "--out", out, "--only", "customer_rfm", "monthly_growth"]) == 0
+    rfm = read_csv(spark, os.path.join(out, "customer_rfm"),
+                   "CustomerID string, CompanyName string, Country string, TotalOrders long, TotalRevenue double")
+    assert [(r.CustomerID, r.Country, r.TotalOrders, r.TotalRevenue) for r in rfm.collect()] == \
+        [("AAA01", "UK", 2, 51.3)]                       # 36.00 + 18.00 x 0.85; raw country kept
+    growth = read_csv(spark, os.path.join(out, "monthly_growth"), "Year long, Month long, MonthlyRevenue double")
+    assert sorted((r.Month, r.MonthlyRevenue) for r in growth.collect()) == [(1, 36.0), (3, 51.4)]
