@@ -100,3 +100,11 @@ def test_shared_order_revenue_is_reused_not_recomputed(spark, t):
         assert [tuple(r) for r in fn(shared).collect()] == [tuple(r) for r in fn(t).collect()], fn.__name__
         plan = _plan(fn(shared))
         assert "lineitem" not in plan and "orders.parquet" not in plan, fn.__name__
+
+
+def test_no_python_evaluation_in_any_query(spark):
+    import __spark_entry__ as E
+    for name, fn in E.queries().items():
+        plan = _plan(fn(spark, f"{TESTDATA}/sf0.001"))
+        assert "EvalPython" not in plan and "PythonUDF" not in plan and "MapInPandas" not in plan, name
+        assert "WholeStageCodegen" in plan or "*(" in plan, name
