@@ -20,7 +20,7 @@ from pyspark.sql import SparkSession
 
 from ledgerline.operators.reports import REPORTS, export_reports
 from ledgerline.operators.star import register_star_views
-from ledgerline.session import apply_skew_conf, ensure_checkpoint_dir
+from ledgerline.session import apply_skew_conf, configure_shuffle, ensure_checkpoint_dir
 from ledgerline.sources.csv import export_csv
 from ledgerline.sources.model import from_classic
 from ledgerline.sources.parquet import ParquetSource
@@ -42,6 +42,8 @@ def main(argv: list[str] | None = None) -> int:
         src.add_argument("--tpch", help="folder of TPC-H style parquet tables")
         src.add_argument("--classic", help="folder of the five classic order tables as parquet")
         p.add_argument("--out", required=True, help="output folder")
+        p.add_argument("--keep-shuffle-conf", action="store_true",
+                       help="do not size shuffle partitions from the line table")
     sub.choices["reports"].add_argument("--only", nargs="*", choices=sorted(REPORTS), help="reports to write")
     sub.choices["views"].add_argument("--sql", required=True, help="query over the star views")
     args = parser.parse_args(argv)
@@ -50,6 +52,8 @@ def main(argv: list[str] | None = None) -> int:
     ensure_checkpoint_dir(spark)
     apply_skew_conf(spark)
     t = _tables(spark, args)
+    if not args.keep_shuffle_conf:
+        configure_shuffle(spark, t)
     if args.command == "reports":
         for name, path in export_reports(t, args.out, tuple(args.only) if args.only else None).items():
             print(f"{name}: {path}")

@@ -8,6 +8,7 @@ folder to write to before an operator cuts lineage.
 
 from __future__ import annotations
 
+import math
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -91,3 +92,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
             "spark.checkpoint.dir is not set; point it at shared storage "
             "(HDFS/S3/ABFS) so checkpointed stages survive executor loss")
     return sc.getCheckpointDir()
+
+
+def shuffle_partitions_for(input_bytes: int, target_bytes: int = 128 * 1024 * 1024,
+                           minimum: int = 1, maximum: int = 200_000) -> int:
+    """Partitions so that a shuffle of about ``input_bytes`` gives pieces of
+    about ``target_bytes``."""
+    return max(minimum, min(maximum, math.ceil(max(input_bytes, 0) / max(target_bytes, 1))))
+
+
+def configure_shuffle(spark: SparkSession, tables, target_bytes: int = 128 * 1024 * 1024) -> int:
+    """Size the shuffles from the line table, the largest input.
+
+    AQE merges small shuffle partitions but never splits large ones (apart
+    from skewed joins), so the initial count must be large enough for the
+    biggest shuffle: about one partition per ``target_bytes`` of line data,
+    at least the cluster's parallelism.  Uses the scan's size estimate (file
+    sizes), so no job runs.  Returns the partition count that was set.
+    """
+    from ledgerline.plans.joins import estimated_bytes
+
+    est = estimated_bytes(tables.order_details) or 0
+    parallelism = spark.sparkContext.defaultParallelism
+    n = shuffle_partitions_for(est, target_bytes, minimum=parallelism)
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(n))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_bytes))
+    return n

@@ -119,3 +119,20 @@ def test_classic_parquet_folder_through_the_command_line(spark):
         [("AAA01", "UK", 2, 51.3)]                       # 36.00 + 18.00 x 0.85; raw country kept
     growth = read_csv(spark, os.path.join(out, "monthly_growth"), "Year long, Month long, MonthlyRevenue double")
     assert sorted((r.Month, r.MonthlyRevenue) for r in growth.collect()) == [(1, 36.0), (3, 51.4)]
+
+
+def test_shuffle_sizing_from_the_line_table(spark):
+    from ledgerline.session import configure_shuffle, shuffle_partitions_for
+    assert shuffle_partitions_for(100 * 2**40) == 200_000          # capped
+    assert shuffle_partitions_for(10 * 2**30) == 80 and shuffle_partitions_for(0, minimum=8) == 8
+    keys = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.initialPartitionNum",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes"]
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        t = tpch_tables(spark, f"{TESTDATA}/sf0.01")
+        n = configure_shuffle(spark, t, target_bytes=64 * 1024)
+        assert n >= spark.sparkContext.defaultParallelism
+        assert spark.conf.get("spark.sql.shuffle.partitions") == str(n)
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
