@@ -51,14 +51,23 @@ def broadcast_fits(df: DataFrame, params: JoinParams = JoinParams()) -> bool:
 
 
 def join_dimension(left: DataFrame, dim: DataFrame, on: str | Sequence[str], how: str = "inner",
-                   params: JoinParams = JoinParams(), null_safe: bool = False) -> DataFrame:
+                   params: JoinParams = JoinParams(), null_safe: bool = False,
+                   known_rows: int | None = None) -> DataFrame:
     """Join ``left`` to ``dim`` on equally named key columns.
 
     The result keeps ``left``'s key columns and ``dim``'s other columns.
     ``null_safe`` matches NULL keys to each other (grouping semantics).
+    ``known_rows`` is the exact row count of ``dim`` when the caller has it
+    (e.g. from a counted checkpoint, whose inherited size estimate can be far
+    off); the broadcast decision then rests on it alone.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    right = F.broadcast(dim) if broadcast_fits(dim, params) else dim
+    if known_rows is not None:
+        fits = (known_rows <= params.broadcast_max_rows
+                and known_rows * row_width(dim) <= params.broadcast_max_bytes)
+    else:
+        fits = broadcast_fits(dim, params)
+    right = F.broadcast(dim) if fits else dim
     if not null_safe:
         return left.join(right, keys, how)
     renamed = right.select(*[F.col(c).alias(f"__dimkey_{c}") if c in keys else F.col(c)

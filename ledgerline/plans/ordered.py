@@ -199,13 +199,15 @@ def _bucketed(df: DataFrame, part: list[str], keys: list[Key], tie: list[Key],
         **{f"__segtot{tmp}": F.sum(f"__tot{tmp}").over(whole) for tmp in seg_sums},
     })
     stats = stats.withColumn("__carry", F.coalesce(F.max("__carry_v").over(before), F.lit(0)).cast("long"))
-    offsets = materialize(stats.select(
+    offsets, n_offsets = materialize_counted(stats.select(
         "__b", *part, "__cont", "__off_cnt", "__off_dense", "__carry", "__seg_cnt",
         *[f"__off{t}" for t in sums], *[f"__segtot{t}" for t in seg_sums]))
 
-    # 4. Stitch: the offsets table has at most buckets + segments rows.
+    # 4. Stitch: the offsets table has at most buckets + segments rows; its
+    #    exact size decides the broadcast.
     j = join_dimension(local, offsets, on=["__b", *part], how="inner",
-                       params=JoinParams(broadcast_max_rows=1_000_000), null_safe=True)
+                       params=JoinParams(broadcast_max_rows=1_000_000), null_safe=True,
+                       known_rows=n_offsets)
     rn = F.col("__off_cnt") + F.col("__lrn")
     cols: dict[str, Column] = {}
     if out.row_number:
