@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.money import RATIO_DEC, ratio, round_out
@@ -57,7 +57,13 @@ def concentration_frame(t: SalesTables, params: ConcentrationParams = DEFAULTS.c
         bound = t.customers.count()          # at most one row per customer
         if bound > window.single_task_rows:  # large: compute once, count exactly
             cr, n = materialize_counted(cr)
-    total = cr.select(F.sum("CustomerRevenue")).scalar()
+    if force == "single" or (force is None and bound <= window.single_task_rows):
+        # The ordered window will run in one task anyway: take the total in
+        # that same partition instead of a separate subquery pass.
+        force = "single"
+        total = F.sum("CustomerRevenue").over(Window.partitionBy())
+    else:
+        total = cr.select(F.sum("CustomerRevenue")).scalar()
     share = revenue_share(F.col("CustomerRevenue"), total)
     shares = cr.select("CustomerID", "CompanyName", "CustomerRevenue",
                        total.alias("TotalRevenue"), share.alias("_share"))
