@@ -9,7 +9,7 @@ from ledgerline.functions.dates import month_of, month_start, year_of
 from ledgerline.functions.money import mean_round2, net_amount, ratio, round_out
 from ledgerline.operators.revenue import orders_with_revenue
 from ledgerline.params import DEFAULTS, JoinParams, TrendParams, WindowParams
-from ledgerline.plans.joins import join_dimension
+from ledgerline.plans.joins import broadcast_fits, join_dimension
 from ledgerline.plans.ordered import WindowOutputs, ordered_window
 from ledgerline.sources.model import SalesTables
 
@@ -62,20 +62,36 @@ def product_dimension(t: SalesTables, join: JoinParams = DEFAULTS.join) -> DataF
                           on="CategoryID", params=join).drop("CategoryID")
 
 
+def _names_identify_products(products: DataFrame) -> bool:
+    """True when no two products share a (category, name) pair."""
+    return products.groupBy("CategoryName", "ProductName").count().where("count > 1").limit(1).count() == 0
+
+
 def product_month_base(t: SalesTables, join: JoinParams = DEFAULTS.join) -> DataFrame:
     """One row per (month, category, product name): revenue and distinct orders.
 
-    Lines join orders on OrderID (both shuffled by OrderID once), then the
-    product dimension (broadcast when proven small).  The per-order
-    grouping that makes the order count distinct reuses the OrderID
-    partitioning; only the month-grain result is shuffled again.
+    Lines join orders on OrderID (both shuffled by OrderID once).  The
+    per-order grouping that makes the order count distinct reuses the
+    OrderID partitioning.  The product dimension is attached
+
+    * by broadcast when proven small;
+    * otherwise, when every (category, name) pair is one product, after
+      aggregating to (month, product): the dimension then meets
+      month-grain rows, not lines;
+    * otherwise by a shuffle join at line grain.
     """
     lines = t.order_details.select("OrderID", "ProductID",
                                    net_amount("GrossCents", "DiscountPct").alias("_net"))
     orders = t.orders.select("OrderID", month_start("OrderDate").alias("OrderMonth"))
-    x = join_dimension(lines.join(orders, "OrderID"), product_dimension(t, join), on="ProductID",
-                       params=join)
+    dims = product_dimension(t, join)
     keys = ["OrderMonth", "CategoryName", "ProductName"]
+    x = lines.join(orders, "OrderID")
+    if not broadcast_fits(dims, join) and _names_identify_products(dims):
+        per_order = x.groupBy("OrderMonth", "ProductID", "OrderID").agg(F.sum("_net").alias("_rev"))
+        per_month = per_order.groupBy("OrderMonth", "ProductID").agg(
+            F.sum("_rev").alias("MonthlyRevenue"), F.count("OrderID").cast("long").alias("MonthlyOrders"))
+        return per_month.join(dims, "ProductID").select(*keys, "MonthlyRevenue", "MonthlyOrders")
+    x = join_dimension(x, dims, on="ProductID", params=join)
     per_order = x.groupBy(*keys, "OrderID").agg(F.sum("_net").alias("_rev"))
     return per_order.groupBy(*keys).agg(F.sum("_rev").alias("MonthlyRevenue"),
                                         F.count("OrderID").cast("long").alias("MonthlyOrders"))

@@ -94,3 +94,21 @@ def test_monthly_growth_moving_average_window(spark):
     assert [r.MovingAvg3Months for r in rows] == [10.0, 15.0, 20.0, 30.0]
     assert [r.CumulativeRevenue for r in rows] == [10.0, 30.0, 60.0, 100.0]
     assert [r.RevenueGrowthPct for r in rows] == [None, 100.0, 50.0, 33.33]
+
+
+def test_product_base_same_when_products_cannot_be_broadcast(spark):
+    from ledgerline.params import JoinParams
+    no_bc = JoinParams(broadcast_max_rows=0, broadcast_max_bytes=0)
+    products = [(1, "P1", 1), (2, "P2", 1), (3, "P3", 2), (4, "P4", None)]
+    categories = [(1, "C1"), (2, "C2")]
+    lines = [line(1, 1, 10, 1), line(1, 2, 5, 2), line(1, 1, 3, 1), line(2, 3, 7, 1), line(3, 4, 9, 1),
+             line(3, 2, 1, 4)]
+    orders = [(1, "A", d("2021-01-05")), (2, "A", d("2021-01-20")), (3, "B", d("2021-02-01"))]
+    t = make_tables(spark, lines, orders, products=products, categories=categories)
+    small = sorted(map(tuple, ops.product_month_base(t).collect()))
+    assert sorted(map(tuple, ops.product_month_base(t, join=no_bc).collect())) == small
+    # a shared (category, name) pair falls back to the line-grain join
+    dup = make_tables(spark, lines, orders, products=[(1, "P1", 1), (2, "P1", 1), (3, "P3", 2)],
+                      categories=categories)
+    assert sorted(map(tuple, ops.product_month_base(dup, join=no_bc).collect())) == \
+        sorted(map(tuple, ops.product_month_base(dup).collect()))
