@@ -113,7 +113,10 @@ def configure_shuffle(spark: SparkSession, tables, target_bytes: int = 128 * 102
     from ledgerline.plans.joins import estimated_bytes
 
     est = estimated_bytes(tables.order_details) or 0
-    parallelism = spark.sparkContext.defaultParallelism
+    try:
+        parallelism = spark.sparkContext.defaultParallelism
+    except Exception:  # remote session: no SparkContext on the client
+        parallelism = int(spark.conf.get("spark.default.parallelism", "200"))
     n = shuffle_partitions_for(est, target_bytes, minimum=parallelism)
     spark.conf.set("spark.sql.shuffle.partitions", str(n))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(n))
