@@ -81,7 +81,7 @@ def customer_rfm(t: SalesTables, params: RfmParams = DEFAULTS.rfm,
     ranked = ordered_window(
         base, partition_by=["Country"], order_keys=[("_total", False)], tiebreak=[("CustomerID", True)],
         outputs=WindowOutputs(segment_sums={"_ctot": "_total"}, **{params.rank_method: "RevenueRank"}),
-        params=window, segment_bound=bound, force=force)
+        params=window, segment_bound=bound, range_segments=ordered, force=force)
     out = ranked.select(
         "CustomerID", "CompanyName", "Country",
         F.col("TotalOrders").cast("long").alias("TotalOrders"),

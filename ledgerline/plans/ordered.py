@@ -80,7 +80,7 @@ def ordered_window(df: DataFrame, *, partition_by: Sequence[str] = (), order_key
                    tiebreak: Sequence[Key] = (), outputs: WindowOutputs,
                    params: WindowParams = WindowParams(), materialize_input: bool = True,
                    known_rows: int | None = None, segment_bound: int | None = None,
-                   force: str | None = None) -> DataFrame:
+                   range_segments: bool = False, force: str | None = None) -> DataFrame:
     """Add the requested ordered-window columns to ``df``.
 
     ``segment_bound`` is an upper bound on the largest segment known without
@@ -90,11 +90,14 @@ def ordered_window(df: DataFrame, *, partition_by: Sequence[str] = (), order_key
     checkpoints ``df`` so the exact size check and the query read it once;
     pass False when ``df`` is already a cheap projection of a checkpoint
     (and ``known_rows`` if its row count is known).  ``force`` ('single' or
-    'bucketed') overrides the size-based choice.
+    'bucketed') overrides the size-based choice.  ``range_segments`` (single
+    task path) range-partitions by the segment columns instead of hashing
+    them: each segment still lands in one task, and a later global sort that
+    starts with the segment columns needs no further exchange.
     """
     part = list(partition_by)
     if force is None and segment_bound is not None and segment_bound <= params.single_task_rows:
-        return _single(df, part, list(order_keys), list(tiebreak), outputs)
+        return _single(df, part, list(order_keys), list(tiebreak), outputs, range_segments)
     if materialize_input:
         base, total = materialize_counted(df)
     else:
@@ -106,7 +109,7 @@ def ordered_window(df: DataFrame, *, partition_by: Sequence[str] = (), order_key
             bool(part) and largest_segment(base, part) <= params.single_task_rows)
         force = "single" if small else "bucketed"
     if force == "single":
-        return _single(base, part, list(order_keys), list(tiebreak), outputs)
+        return _single(base, part, list(order_keys), list(tiebreak), outputs, range_segments)
     if total is None:
         total = base.count()
     buckets = max(1, min(params.max_buckets, math.ceil(total / max(1, params.rows_per_bucket))))
@@ -114,7 +117,9 @@ def ordered_window(df: DataFrame, *, partition_by: Sequence[str] = (), order_key
 
 
 def _single(df: DataFrame, part: list[str], keys: list[Key], tie: list[Key],
-            out: WindowOutputs) -> DataFrame:
+            out: WindowOutputs, range_segments: bool = False) -> DataFrame:
+    if range_segments and part:
+        df = df.repartitionByRange(*[F.col(p).asc() for p in part])
     full = Window.partitionBy(*part).orderBy(*_sort(keys + tie)) if part else \
         Window.orderBy(*_sort(keys + tie))
     by_key = Window.partitionBy(*part).orderBy(*_sort(keys)) if part else Window.orderBy(*_sort(keys))

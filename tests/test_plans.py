@@ -110,3 +110,11 @@ def test_no_python_evaluation_in_any_query(spark):
         plan = _plan(df)
         assert "EvalPython" not in plan and "PythonUDF" not in plan and "MapInPandas" not in plan, name
         assert "*(" in plan or "EmptyRelation" in plan, name   # generated code, unless AQE emptied it
+
+
+def test_rfm_window_and_final_sort_share_one_exchange(spark, t):
+    df = ops.customer_rfm(t)
+    df.collect()
+    plan = _plan(df).split("== Initial Plan ==")[0]
+    country = [e for e in _exchanges(plan) if "Country" in e]
+    assert len(country) == 1 and country[0].startswith("rangepartitioning(Country"), country
