@@ -119,17 +119,31 @@ def product_trend(t: SalesTables, params: TrendParams = DEFAULTS.trend,
       products;
     * the alert reads the rounded growth.
     """
+    if not set(params.series_by) <= {"ProductName", "CategoryName"} or "ProductName" not in params.series_by:
+        raise ValueError("series_by must be ('ProductName',) or ('CategoryName', 'ProductName')")
     base = product_month_base(t, join)
-    # A (category, month) segment holds at most one row per product.
-    bound = t.products.count() if force is None else None
+    series = list(params.series_by)
+    bound = None
+    if force is None:
+        # One pass over the product dimension: its size bounds a (category,
+        # month) segment (one row per product at most), and whether any name
+        # spans several categories.
+        per_name = product_dimension(t, join).groupBy("ProductName").agg(
+            F.count(F.lit(1)).alias("_n"), F.count_distinct("CategoryName").alias("_c"))
+        bound, max_categories = per_name.agg(F.sum("_n"), F.max("_c")).first()
+        bound = int(bound or 0)
+        if series == ["ProductName"] and (max_categories or 0) <= 1:
+            series = ["CategoryName", "ProductName"]     # the same series: each name has one category
     ranked = ordered_window(
         base, partition_by=["CategoryName", "OrderMonth"], order_keys=[("MonthlyRevenue", False)],
         tiebreak=[("ProductName", True)], outputs=WindowOutputs(dense_rank="RevenueRankInCategory"),
         params=window, segment_bound=bound, force=force)
-    if not set(params.series_by) <= {"ProductName", "CategoryName"} or "ProductName" not in params.series_by:
-        raise ValueError("series_by must be ('ProductName',) or ('CategoryName', 'ProductName')")
-    w = Window.partitionBy(*params.series_by).orderBy(F.col("OrderMonth").asc_nulls_first(),
-                                                      F.col("CategoryName").asc_nulls_first())
+    if ordered and series == ["CategoryName", "ProductName"]:
+        # Range-partitioned series also satisfy the final ordering: no
+        # separate sort shuffle.
+        ranked = ranked.repartitionByRange(F.col("CategoryName").asc(), F.col("ProductName").asc())
+    w = Window.partitionBy(*series).orderBy(F.col("OrderMonth").asc_nulls_first(),
+                                            F.col("CategoryName").asc_nulls_first())
     ranked = ranked.withColumns({
         "_prev": F.lag("MonthlyRevenue").over(w),
         "_run": F.sum("MonthlyRevenue").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)),

@@ -118,3 +118,13 @@ def test_rfm_window_and_final_sort_share_one_exchange(spark, t):
     plan = _plan(df).split("== Initial Plan ==")[0]
     country = [e for e in _exchanges(plan) if "Country" in e]
     assert len(country) == 1 and country[0].startswith("rangepartitioning(Country"), country
+
+
+def test_trend_series_and_final_sort_share_one_exchange(spark, t):
+    df = ops.product_trend(t)
+    df.collect()
+    plan = _plan(df).split("== Initial Plan ==")[0]
+    exchanges = _exchanges(plan)
+    ranges = [e for e in exchanges if e.startswith("rangepartitioning")]
+    assert ranges and all(e.startswith("rangepartitioning(CategoryName") for e in ranges), exchanges
+    assert not [e for e in exchanges if e.startswith("hashpartitioning(ProductName")], exchanges
