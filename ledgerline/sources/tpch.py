@@ -39,9 +39,20 @@ TPCH_SCHEMAS = {
 }
 
 
-def tpch_tables(spark: SparkSession, base_dir: str) -> SalesTables:
+def tpch_tables(spark: SparkSession, base_dir: str, infer_schema: bool = False) -> SalesTables:
+    """The canonical model over TPC-H style parquet tables in ``base_dir``.
+
+    By default each table is read with ``TPCH_SCHEMAS`` (no inference job).
+    ``infer_schema=True`` takes the column types from the files instead
+    (e.g. DECIMAL prices from another generator); the same columns are used.
+    """
     src = ParquetSource(spark, base_dir)
-    return tpch_from_frames(**{name: src.table(name, schema) for name, schema in TPCH_SCHEMAS.items()})
+    if infer_schema:
+        frames = {name: src.table(name).select(*[c.split()[0] for c in schema.split(", ")])
+                  for name, schema in TPCH_SCHEMAS.items()}
+    else:
+        frames = {name: src.table(name, schema) for name, schema in TPCH_SCHEMAS.items()}
+    return tpch_from_frames(**frames)
 
 
 def tpch_from_frames(lineitem: DataFrame, orders: DataFrame, part: DataFrame,

@@ -136,3 +136,25 @@ def test_shuffle_sizing_from_the_line_table(spark):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@pytest.mark.skipif(not os.path.exists(f"{TESTDATA}/sf0.001"), reason="driver data absent")
+def test_inferred_and_declared_schemas_give_the_same_results(spark):
+    declared = tpch_tables(spark, f"{TESTDATA}/sf0.001")
+    inferred = tpch_tables(spark, f"{TESTDATA}/sf0.001", infer_schema=True)
+    for fn in (ops.customer_churn, ops.monthly_growth):
+        assert [tuple(r) for r in fn(declared).collect()] == [tuple(r) for r in fn(inferred).collect()]
+
+
+def test_decimal_prices_from_another_generator(spark):
+    from ledgerline.sources.tpch import tpch_from_frames
+    li = spark.createDataFrame([(1, 1, Decimal("2"), Decimal("10.05"), Decimal("0.10"))],
+                               "l_orderkey long, l_partkey long, l_quantity decimal(15,2), "
+                               "l_extendedprice decimal(15,2), l_discount decimal(15,2)")
+    orders = spark.createDataFrame([(1, 7, dt.datetime(2021, 1, 1))], "o_orderkey long, o_custkey long, o_orderdate timestamp")
+    part = spark.createDataFrame([(1, "bolt", "SMALL")], "p_partkey long, p_name string, p_type string")
+    customer = spark.createDataFrame([(7, "C7", 1, "AUTO")], "c_custkey long, c_name string, c_nationkey int, c_mktsegment string")
+    nation = spark.createDataFrame([(1, "N1")], "n_nationkey int, n_name string")
+    t = tpch_from_frames(li, orders, part, customer, nation)
+    r = ops.net_revenue_lines(t).first()
+    assert (r.Quantity, r.GrossAmount, r.NetRevenue) == (2, Decimal("10.05"), Decimal("9.0450"))
