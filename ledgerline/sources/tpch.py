@@ -61,7 +61,7 @@ def tpch_from_frames(lineitem: DataFrame, orders: DataFrame, part: DataFrame,
         F.col("l_orderkey").alias("OrderID"),
         F.col("l_partkey").alias("ProductID"),
         F.floor(F.col("l_quantity") + F.lit(0.5)).cast("long").alias("Quantity"),
-        F.try_divide(F.col("l_extendedprice"), F.col("l_quantity")).alias("UnitPrice"),
+        F.try_divide(F.col("l_extendedprice").cast("double"), F.col("l_quantity").cast("double")).alias("UnitPrice"),
         cents("l_extendedprice").alias("GrossCents"),
         cents("l_discount").alias("DiscountPct"),
     )
