@@ -90,7 +90,9 @@ def mean_round2(total: Column | str, count: Column | str, total_scale: int = 4)
 
     Uses integer arithmetic: floor((200 * units + count * 10^s) / (2 * count * 10^s))
     where units = total * 10^s, so an exact half cent always rounds up and no
-    binary division is involved.  NULL when count is 0 or NULL.
+    binary division is involved.  NULL when count is 0 or NULL.  (For a
+    negative total a half cent would round toward +infinity; revenue totals
+    here are never negative.)
     """
     pow10 = 10 ** total_scale
     units = (_col(total) * F.lit(pow10)).cast("decimal(38,0)")
@@ -104,7 +106,8 @@ def per_period_round2(total2: Column | str, days: Column | str, days_per_period:
     """``round(total / (days / days_per_period), 2)`` exactly, NULL when days = 0.
 
     ``total2`` has two decimals (cents).  Equals
-    floor((2 * P * cents + days) / (2 * days)) / 100 for non-negative totals.
+    floor((2 * P * cents + days) / (2 * days)) / 100, i.e. half up, for the
+    non-negative totals it is used with.
     """
     cents = (_col(total2) * F.lit(100)).cast("decimal(38,0)")
     d = F.nullif(_col(days).cast("decimal(38,0)"), F.lit(Decimal(0)))

@@ -158,3 +158,11 @@ def test_decimal_prices_from_another_generator(spark):
     t = tpch_from_frames(li, orders, part, customer, nation)
     r = ops.net_revenue_lines(t).first()
     assert (r.Quantity, r.GrossAmount, r.NetRevenue) == (2, Decimal("10.05"), Decimal("9.0450"))
+
+
+def test_database_reader_navigates_schema_and_item(spark):
+    src = DatabaseSource(spark, server="srv", database="shop")
+    assert src.qualified("sales", "Orders") == "sales.Orders"
+    assert src.qualified("dbo", "Order Details") == "dbo.[Order Details]"
+    assert callable(src.reader("sales"))
+    assert src.url == "jdbc:sqlserver://srv;databaseName=shop;encrypt=false"
