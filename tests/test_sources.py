@@ -81,8 +81,18 @@ def test_export_reports_writes_every_analysis(spark):
     assert growth.where("PrevMonthRevenue IS NULL").count() == 1
 
 
+@pytest.fixture
+def restore_shuffle_conf(spark):
+    keys = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.initialPartitionNum",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes"]
+    old = {k: spark.conf.get(k, None) for k in keys}
+    yield
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 @pytest.mark.skipif(not os.path.exists(f"{TESTDATA}/sf0.001"), reason="driver data absent")
-def test_command_line_reports_and_views(spark):
+def test_command_line_reports_and_views(spark, restore_shuffle_conf):
     from ledgerline.__main__ import main
     out = tempfile.mkdtemp(prefix="ledgerline-cli-")
     assert main(["reports", "--tpch", f"{TESTDATA}/sf0.001", "--out", out, "--only", "customer_churn"]) == 0
@@ -94,7 +104,7 @@ def test_command_line_reports_and_views(spark):
     assert sum(r.lines for r in by_year.collect()) == 6000
 
 
-def test_classic_parquet_folder_through_the_command_line(spark):
+def test_classic_parquet_folder_through_the_command_line(spark, restore_shuffle_conf):
     from ledgerline.__main__ import main
     src = tempfile.mkdtemp(prefix="ledgerline-classic-")
     tables = {
