@@ -3,7 +3,7 @@ registration and a roll-up of the fact by dimension attributes."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions.dates import quarter_of, year_of
@@ -38,7 +38,7 @@ def fact_sales_load(t: SalesTables, join: JoinParams = DEFAULTS.join) -> DataFra
     return fact_sales(t, join).select(*FACT_LOAD_COLUMNS)
 
 
-def normalized_country(col, aliases: dict) -> F.Column:
+def normalized_country(col: Column, aliases: dict) -> Column:
     """Trim spaces, then replace known abbreviations (case-sensitive)."""
     trimmed = F.trim(col)
     expr = None
