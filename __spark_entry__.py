@@ -78,7 +78,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 # ---------------------------------------------------------------------------
 # DuckDB oracle.  The CTEs below restate the role mapping of the adapter on
-# the raw tables; each query then restates its operator's rules.
+# the raw tables; each query then restates its operator's rules.  Engine
+# differences are spelled out rather than left to defaults:
+#   * window orders say NULLS FIRST/LAST (DuckDB sorts NULLs last by default);
+#   * divisions use NULLIF (DuckDB gives inf for x / 0.0);
+#   * ratios are DOUBLE divisions fixed to DECIMAL(38,10) before ROUND, and
+#     averages use HUGEINT integer division, as in functions/money.py;
+#   * every output is cast to BIGINT / DOUBLE / DATE / VARCHAR.
 # ---------------------------------------------------------------------------
 
 _BASE = """
