@@ -36,8 +36,10 @@ def _tables(spark: SparkSession, args):
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="ledgerline")
     sub = parser.add_subparsers(dest="command", required=True)
+    helps = {"reports": "write the five analyses as CSV report folders",
+             "views": "register the star schema views and write the result of a SQL query as CSV"}
     for name in ("reports", "views"):
-        p = sub.add_parser(name)
+        p = sub.add_parser(name, help=helps[name], description=helps[name])
         src = p.add_mutually_exclusive_group(required=True)
         src.add_argument("--tpch", help="folder of TPC-H style parquet tables")
         src.add_argument("--classic", help="folder of the five classic order tables as parquet")
