@@ -129,10 +129,11 @@ def product_trend(t: SalesTables, params: TrendParams = DEFAULTS.trend,
         # month) segment (one row per product at most), and whether any name
         # spans several categories.
         per_name = product_dimension(t, join).groupBy("ProductName").agg(
-            F.count(F.lit(1)).alias("_n"), F.count_distinct("CategoryName").alias("_c"))
-        bound, max_categories = per_name.agg(F.sum("_n"), F.max("_c")).first()
+            F.count(F.lit(1)).alias("_n"),
+            (F.min("CategoryName") != F.max("CategoryName")).cast("int").alias("_multi"))
+        bound, multi = per_name.agg(F.sum("_n"), F.max("_multi")).first()
         bound = int(bound or 0)
-        if series == ["ProductName"] and (max_categories or 0) <= 1:
+        if series == ["ProductName"] and not multi:
             series = ["CategoryName", "ProductName"]     # the same series: each name has one category
     ranked = ordered_window(
         base, partition_by=["CategoryName", "OrderMonth"], order_keys=[("MonthlyRevenue", False)],
