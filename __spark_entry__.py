@@ -25,6 +25,15 @@ from ledgerline.params import DEFAULTS, RfmParams  # noqa: E402
 from ledgerline.session import apply_skew_conf  # noqa: E402
 from ledgerline.sources.tpch import tpch_tables  # noqa: E402
 
+try:  # the training-data subpackage is optional
+    import corpus_pipeline
+    from ledgerline.llm.queries import ORACLE_SQL as LLM_ORACLE_SQL
+    from ledgerline.llm.queries import QUERIES as LLM_QUERIES
+
+    LLM_QUERIES = {**LLM_QUERIES, "pipeline": corpus_pipeline.run}
+except ImportError:
+    LLM_QUERIES, LLM_ORACLE_SQL = {}, {}
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 
@@ -73,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "orphan_customers": _run(lambda s, t: ops.orphan_customers(t)),
         "star_rollup": _run(lambda s, t: ops.star_rollup(t)),
         "star_rollup_sql": _run(lambda s, t: ops.star_rollup_sql(s, t, prefix="ledgerline_")),
+        **LLM_QUERIES,
     }
 
 
@@ -322,4 +332,5 @@ FROM o WHERE NOT EXISTS (SELECT 1 FROM cu WHERE cu.CustomerID = o.CustomerID)
 GROUP BY o.CustomerID""",
         "star_rollup": _ROLLUP,
         "star_rollup_sql": _ROLLUP,
+        **LLM_ORACLE_SQL,
     }
