@@ -7,16 +7,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import decontaminate
+from ledgerline.llm import decontaminate, simhash
 from ledgerline.llm.common import documents
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.query(documents(spark, sf_dir))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.query(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op10_benchmark_decontamination,)
+    f.__name__: f for f in (op4_simhash_near_dedup, op10_benchmark_decontamination)
 }
 
 ORACLE_SQL: dict[str, str] = {}
