@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import decontaminate, simhash
+from ledgerline.llm import decontaminate, simhash, token_counts, token_files
 from ledgerline.llm.common import documents
 
 
@@ -15,12 +15,20 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.query(documents(spark, sf_dir))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.query(documents(spark, sf_dir))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.query(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_simhash_near_dedup, op10_benchmark_decontamination)
+    f.__name__: f for f in (op4_simhash_near_dedup, op6_token_files, op9_token_counts, op10_benchmark_decontamination)
 }
 
 ORACLE_SQL: dict[str, str] = {}
