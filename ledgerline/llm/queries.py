@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import decontaminate, quality, simhash, token_counts, token_files
+from ledgerline.llm import decontaminate, licenses, quality, simhash, token_counts, token_files
 from ledgerline.llm.common import documents
 
 
@@ -19,6 +19,10 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.query(documents(spark, sf_dir))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.query(documents(spark, sf_dir))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.query(documents(spark, sf_dir))
 
@@ -32,7 +36,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op4_simhash_near_dedup, op6_token_files, op9_token_counts, op10_benchmark_decontamination)
+    f.__name__: f for f in (op1_quality_rules, op4_simhash_near_dedup, op5_license_scan, op6_token_files, op9_token_counts, op10_benchmark_decontamination)
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality.oracle_sql()}
