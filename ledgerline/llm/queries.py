@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import decontaminate, html_text, licenses, mixing, quality, simhash, token_counts, token_files
+from ledgerline.llm import decontaminate, html_text, licenses, mixing, ppm, quality, simhash, token_counts, token_files
 from ledgerline.llm.common import documents
 
 
@@ -31,6 +31,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.query(documents(spark, sf_dir))
 
 
+def op7_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.query(documents(spark, sf_dir))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.query(documents(spark, sf_dir))
 
@@ -44,7 +48,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op3_html_extraction, op4_simhash_near_dedup, op5_license_scan, op6_token_files, op8_source_mixing, op9_token_counts, op10_benchmark_decontamination)
+    f.__name__: f for f in (op1_quality_rules, op3_html_extraction, op4_simhash_near_dedup, op5_license_scan, op6_token_files, op7_ppm_scoring, op8_source_mixing, op9_token_counts, op10_benchmark_decontamination)
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality.oracle_sql()}
