@@ -34,13 +34,13 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def stash(df: DataFrame, what: str) -> DataFrame:
+def stash(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` once as Parquet to the shared checkpoint folder and read it
     back: lineage is cut, the data survives lost executors, and later reads
     prune columns."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

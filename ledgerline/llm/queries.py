@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import decontaminate, html_text, licenses, mixing, ppm, quality, simhash, token_counts, token_files
+from ledgerline.llm import decontaminate, html_text, licenses, mixing, ppm, quality, simhash, suffix_dedup, token_counts, token_files
 from ledgerline.llm.common import documents
 
 
@@ -15,6 +15,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.query(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.query(documents(spark, sf_dir))
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.query(documents(spark, sf_dir, "pages"))
 
@@ -48,7 +52,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op3_html_extraction, op4_simhash_near_dedup, op5_license_scan, op6_token_files, op7_ppm_scoring, op8_source_mixing, op9_token_counts, op10_benchmark_decontamination)
+    f.__name__: f for f in (op1_quality_rules, op2_suffix_array_dedup, op3_html_extraction, op4_simhash_near_dedup, op5_license_scan, op6_token_files, op7_ppm_scoring, op8_source_mixing, op9_token_counts, op10_benchmark_decontamination)
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality.oracle_sql()}
