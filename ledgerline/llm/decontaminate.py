@@ -67,7 +67,7 @@ def suffix_array(seq: np.ndarray) -> np.ndarray:
         second = np.full(n, 0, np.int64)
         second[:n - step] = rank[step:] + 1 if step < n else 0
         pair = rank * (n + 1) + second
-        order = np.argsort(pair, kind="stable")
+        order = np.argsort(pair)
         fresh = np.concatenate([[0], np.cumsum(np.diff(pair[order]) != 0)])
         rank = np.empty(n, np.int64)
         rank[order] = fresh

@@ -78,14 +78,9 @@ class Shard:
         self.words = np.ndarray(self.n + 16, ">u8", np.ascontiguousarray(raw.astype(">u2")), strides=(2,))
         # type of each suffix: S where the next different character is larger
         t = text
-        differs = np.flatnonzero(t[:-1] != t[1:])
-        s = np.zeros(self.n, bool)
-        s[-1] = True
-        if len(differs):
-            after = np.searchsorted(differs, np.arange(self.n - 1))
-            known = after < len(differs)
-            d = differs[np.minimum(after, len(differs) - 1)]
-            s[:-1] = known & (t[d] < t[d + 1])
+        differs = np.flatnonzero(t[:-1] != t[1:])          # the end differs from what stands before it
+        s = np.ones(self.n, bool)
+        s[:-1] = np.repeat(t[differs] < t[differs + 1], np.diff(np.concatenate([[-1], differs])))
         self.s = s
         lms = np.flatnonzero(s[1:] & ~s[:-1]) + 1
         self.lms = lms
@@ -121,10 +116,11 @@ class Shard:
                 if with_lcp:
                     pend[:] = np.minimum(pend, l.min())
                 continue
-            order = np.argsort(char.astype(np.uint8) if self.narrow else char, kind="stable")
-            where, char = where[order], char[order]
-            kinds, first = np.unique(char, return_index=True)
-            ends = np.append(first[1:], len(char))
+            where = where[np.argsort(char.astype(np.uint8) if self.narrow else char, kind="stable")]
+            counts = np.bincount(char, minlength=self.characters)
+            kinds = np.flatnonzero(counts)
+            ends = np.cumsum(counts[kinds])
+            first = ends - counts[kinds]
             least = int(l.min()) if with_lcp else 0
             if with_lcp:
                 quiet = np.ones(self.characters, bool)
@@ -242,7 +238,7 @@ def _doubling(names: np.ndarray) -> np.ndarray:
         second = np.zeros(n, np.int64)
         second[:max(0, n - step)] = rank[step:] + 1
         pair = rank * (n + 2) + second
-        order = np.argsort(pair, kind="stable")
+        order = np.argsort(pair)                          # ties share a rank, so their order doesn't matter
         fresh = np.concatenate([[0], np.cumsum(np.diff(pair[order]) != 0)])
         rank = np.empty(n, np.int64)
         rank[order] = fresh

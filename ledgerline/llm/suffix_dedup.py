@@ -1,7 +1,7 @@
 """Removal of byte strings that repeat, by suffix arrays of candidate shards.
 
 Two equal ``width``-byte windows have equal minimizers (the smallest hash of
-the 32-grams inside), so the windows of a text are cut into runs of one
+the 48-byte strings inside), so the windows of a text are cut into runs of one
 minimizer.  Only runs whose minimizer occurs in another run can hold a repeat.
 Which do is told by a bitmap of the repeated minimizers: its size is bounded,
 its false positives only cost work, and if there are too many minimizers for
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import id_text, pieces, stash, texts
 from ledgerline.llm.induced_sort import Shard
 
-GRAM = 32
+GRAM = 48
 RUN = 2048                 # windows of one run at most
 PIECE = 2 << 20            # bytes hashed at a time
 SHARD = 4 << 20            # bytes of a shard that isn't a single minimizer's
