@@ -206,8 +206,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, params: QualityParams = Qualit
                       F.col(stratum_col).cast("string").alias("_lang"))
     metrics = stash(add_metrics(own, "_text").drop("_text"), "quality-metrics")
     chosen = _chosen(metrics, labels, params, "doc_id", "_lang")
-    scored = add_metrics(docs.withColumn("_q_lang", F.col(stratum_col).cast("string")), text_col)
-    return _with_verdict(scored, chosen, params, "_q_lang").where("_q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # the row number keeps the optimizer from moving the filter below the metrics: it would write their
+    # expressions out at every place that uses them, inside lambda functions too, and compute them per word
+    scored = add_metrics(docs.withColumn("_q_lang", F.col(stratum_col).cast("string")), text_col) \
+        .withColumn("_q_row", F.monotonically_increasing_id())
+    return _with_verdict(scored, chosen, params, "_q_lang").where("_q_kept AND _q_row >= 0").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
