@@ -130,13 +130,13 @@ def _ratio(num: str, den: str, scale: int, factor_first: bool = False) -> str:
 
 def _mean2(total: str, n: str) -> str:
     """Mirror of functions.money.mean_round2 (total has 4 decimals)."""
-    return (f"CAST((CAST({total} * 10000 AS HUGEINT) * 200 + NULLIF({n}, 0) * 10000) "
+    return (f"sign({total}) * CAST((CAST(abs({total}) * 10000 AS HUGEINT) * 200 + NULLIF({n}, 0) * 10000) "
             f"// (NULLIF({n}, 0) * 20000) AS DOUBLE) / 100")
 
 
 def _per30(total2: str, days: str) -> str:
     """Mirror of functions.money.per_period_round2 with 30-day months."""
-    return (f"CAST((CAST({total2} * 100 AS HUGEINT) * 60 + NULLIF({days}, 0)) "
+    return (f"sign({total2}) * CAST((CAST(abs({total2}) * 100 AS HUGEINT) * 60 + NULLIF({days}, 0)) "
             f"// (2 * NULLIF({days}, 0)) AS DOUBLE) / 100")
 
 
@@ -268,7 +268,7 @@ SELECT OrderMonth, CategoryName, ProductName, CAST(rev AS DOUBLE) AS MonthlyReve
                 SUM(rev) OVER (ORDER BY OrderMonth ASC NULLS FIRST
                                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
                 SUM(rev) OVER (ORDER BY OrderMonth ASC NULLS FIRST ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS s3,
-                COUNT(*) OVER (ORDER BY OrderMonth ASC NULLS FIRST ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS n3
+                COUNT(rev) OVER (ORDER BY OrderMonth ASC NULLS FIRST ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS n3
          FROM m)""") + f"""
 SELECT CAST(year(OrderMonth) AS BIGINT) AS Year, CAST(month(OrderMonth) AS BIGINT) AS Month,
        CAST(ROUND(rev, 2) AS DOUBLE) AS MonthlyRevenue, CAST(ROUND(prev, 2) AS DOUBLE) AS PrevMonthRevenue,

@@ -86,34 +86,37 @@ def ratio(num: Column | str, den: Column | str, scale: int,
 
 
 def mean_round2(total: Column | str, count: Column | str, total_scale: int = 4) -> Column:
-    """``round(total / count, 2)`` for a non-negative decimal total, exactly.
+    """``round(total / count, 2)`` of a decimal total, half away from zero, exactly.
 
-    Uses integer arithmetic: floor((200 * units + count * 10^s) / (2 * count * 10^s))
-    where units = total * 10^s, so an exact half cent always rounds up and no
-    binary division is involved.  NULL when count is 0 or NULL.  (For a
-    negative total a half cent would round toward +infinity; revenue totals
-    here are never negative.)
+    Uses integer arithmetic on the absolute total: (200 * units + count * 10^s)
+    div (2 * count * 10^s) where units = |total| * 10^s, then the sign, so no
+    binary division is involved.  NULL when count is 0 or NULL.
     """
     pow10 = 10 ** total_scale
     units = (_col(total) * F.lit(pow10)).cast("decimal(38,0)")
     n = F.nullif(_col(count).cast("decimal(38,0)"), F.lit(Decimal(0)))
-    num = units * F.lit(200) + n * F.lit(pow10)
+    num = F.abs(units) * F.lit(200) + n * F.lit(pow10)
     den = n * F.lit(2 * pow10)
-    return _int_div(num, den).cast("double") / F.lit(100.0)
+    return _signed(_int_div(num, den).cast("double") / F.lit(100.0), units)
 
 
 def per_period_round2(total2: Column | str, days: Column | str, days_per_period: int) -> Column:
     """``round(total / (days / days_per_period), 2)`` exactly, NULL when days = 0.
 
     ``total2`` has two decimals (cents).  Equals
-    floor((2 * P * cents + days) / (2 * days)) / 100, i.e. half up, for the
-    non-negative totals it is used with.
+    (2 * P * |cents| + days) div (2 * days) / 100 with the total's sign, i.e.
+    half away from zero.
     """
     cents = (_col(total2) * F.lit(100)).cast("decimal(38,0)")
     d = F.nullif(_col(days).cast("decimal(38,0)"), F.lit(Decimal(0)))
-    num = cents * F.lit(2 * days_per_period) + d
+    num = F.abs(cents) * F.lit(2 * days_per_period) + d
     den = d * F.lit(2)
-    return _int_div(num, den).cast("double") / F.lit(100.0)
+    return _signed(_int_div(num, den).cast("double") / F.lit(100.0), cents)
+
+
+def _signed(size: Column, of: Column) -> Column:
+    """``size`` with the sign of ``of``."""
+    return F.when((of < 0) & (size != 0), -size).otherwise(size)
 
 
 def _int_div(num: Column, den: Column) -> Column:

@@ -38,7 +38,7 @@ def monthly_growth(t: SalesTables, ordered: bool = True) -> DataFrame:
         "_prev": F.lag("MonthlyRevenue").over(w),
         "_cum": F.sum("MonthlyRevenue").over(run),
         "_sum3": F.sum("MonthlyRevenue").over(last3),
-        "_n3": F.count(F.lit(1)).over(last3),
+        "_n3": F.count("MonthlyRevenue").over(last3),
     })
     out = m.select(
         year_of("OrderMonth").alias("Year"),
@@ -130,7 +130,8 @@ def product_trend(t: SalesTables, params: TrendParams = DEFAULTS.trend,
         # spans several categories.
         per_name = product_dimension(t, join).groupBy("ProductName").agg(
             F.count(F.lit(1)).alias("_n"),
-            (F.min("CategoryName") != F.max("CategoryName")).cast("int").alias("_multi"))
+            (F.coalesce(F.min("CategoryName") != F.max("CategoryName"), F.lit(False))
+             | F.count("CategoryName").between(1, F.count(F.lit(1)) - 1)).cast("int").alias("_multi"))   # NULL beside a name
         bound, multi = per_name.agg(F.sum("_n"), F.max("_multi")).first()
         bound = int(bound or 0)
         if series == ["ProductName"] and not multi:

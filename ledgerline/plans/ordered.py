@@ -223,7 +223,8 @@ def _bucketed(df: DataFrame, part: list[str], keys: list[Key], tie: list[Key],
     if out.dense_rank:
         cols[out.dense_rank] = F.col("__off_dense") + F.col("__ldense")
     for (name, _), tmp in zip(out.running_sums.items(), sums):
-        cols[name] = F.coalesce(F.col(f"__off{tmp}"), F.lit(0)) + F.col(tmp)
+        off, local = F.col(f"__off{tmp}"), F.col(tmp)      # NULL only before the first non-NULL value
+        cols[name] = F.coalesce(off + local, off, local)
     for (name, _), tmp in zip(out.segment_sums.items(), seg_sums):
         cols[name] = F.col(f"__segtot{tmp}")
     if out.segment_count:

@@ -20,7 +20,7 @@ class DatabaseSource:
     spark: SparkSession
     server: str = "localhost"
     database: str = "sales"
-    url_template: str = "jdbc:sqlserver://{server};databaseName={database};encrypt=false"
+    url_template: str = "jdbc:sqlserver://{server};databaseName={database};encrypt=true"
     properties: dict = field(default_factory=dict)   # user, password, driver, fetchsize ...
 
     @property
@@ -29,8 +29,8 @@ class DatabaseSource:
 
     @staticmethod
     def qualified(schema: str, item: str) -> str:
-        """``schema.[item]`` with the item bracketed (names may hold spaces)."""
-        return f"{schema}.[{item}]" if " " in item else f"{schema}.{item}"
+        """``schema.[item]``: a name that isn't plain is bracketed, ``]`` doubled."""
+        return f"{schema}.{item}" if item.replace("_", "a").isalnum() else f"{schema}.[{item.replace(']', ']]')}]"
 
     def options_for(self, schema: str, item: str, partition_column: str | None = None,
                     lower_bound: int | None = None, upper_bound: int | None = None,
@@ -46,6 +46,10 @@ class DatabaseSource:
     def table(self, schema: str, item: str, **partitioning) -> DataFrame:
         return self.spark.read.format("jdbc").options(**self.options_for(schema, item, **partitioning)).load()
 
-    def reader(self, schema: str = "dbo") -> Callable[[str], DataFrame]:
-        """A ``name -> DataFrame`` function for ``sources.model.from_classic``."""
-        return lambda item: self.table(schema, item)
+    def reader(self, schema: str = "dbo", partitioning: dict[str, dict] | None = None) -> Callable[[str], DataFrame]:
+        """A ``name -> DataFrame`` function for ``sources.model.from_classic``.
+
+        ``partitioning``: by table name, the partitioned-read options of
+        ``options_for``, so that a large table comes through several connections.
+        """
+        return lambda item: self.table(schema, item, **(partitioning or {}).get(item, {}))

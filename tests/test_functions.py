@@ -72,3 +72,11 @@ def test_cents_exact_for_decimal_and_double_prices(spark):
     got = [(r.a, r.b) for r in df.select(M.gross_amount("dp", "q").alias("a"),
                                          M.gross_amount("fp", "q").alias("b")).collect()]
     assert got == [(87, 87), (1801, 1801), (100, 100)]   # price x quantity first, then the cent
+
+
+def test_averages_of_negative_totals_round_away_from_zero(spark):
+    rows = [(Decimal("-1.0000"), 2), (Decimal("-10.0000"), 3), (Decimal("-0.0010"), 1), (Decimal("1.0000"), 2)]
+    df = spark.createDataFrame(rows, "t decimal(24,4), n long")
+    assert [r.m for r in df.select(M.mean_round2("t", "n").alias("m")).collect()] == [-0.5, -3.33, 0.0, 0.5]
+    df = spark.createDataFrame([(Decimal("-100.00"), 60)], "t decimal(24,2), d long")
+    assert df.select(M.per_period_round2("t", "d", 30).alias("m")).first().m == -50.0

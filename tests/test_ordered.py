@@ -100,3 +100,19 @@ if given is not None:
         part = ["seg"] if segmented else []
         s, b = _both(df if segmented else df.drop("seg"), part, per_bucket)
         assert s == b
+
+
+def test_running_sum_over_null_summands_equals_the_window(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from ledgerline.params import WindowParams
+    from ledgerline.plans.ordered import WindowOutputs, ordered_window
+
+    df = spark.range(30).select("id", F.when(F.col("id") % 3 != 0, F.col("id").cast("decimal(18,2)")).alias("x"))
+    df = df.withColumn("x", F.when(F.col("id") >= 4, F.col("x")))     # the first rows are NULL
+    w = Window.orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    want = [r.s for r in df.withColumn("s", F.sum("x").over(w)).orderBy("id").collect()]
+    out = ordered_window(df, partition_by=[], order_keys=[("id", True)], tiebreak=[], outputs=WindowOutputs(running_sums={"s": "x"}),
+                         params=WindowParams(), force="bucketed")
+    assert [r.s for r in out.orderBy("id").collect()] == want

@@ -175,4 +175,5 @@ def test_database_reader_navigates_schema_and_item(spark):
     assert src.qualified("sales", "Orders") == "sales.Orders"
     assert src.qualified("dbo", "Order Details") == "dbo.[Order Details]"
     assert callable(src.reader("sales"))
-    assert src.url == "jdbc:sqlserver://srv;databaseName=shop;encrypt=false"
+    assert src.url == "jdbc:sqlserver://srv;databaseName=shop;encrypt=true"
+    assert src.qualified("dbo", "a]b") == "dbo.[a]]b]"
