@@ -42,7 +42,7 @@ ESCAPE = 15
 BLOCK = 4096
 SEGMENT = 1 << 18        # a segment closes after the document that reaches so many ids
 ODD_SPACE = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\f", "\v")
-KEPT = 600_000           # words whose ids a worker remembers
+KEPT = 900_000           # words whose ids a worker remembers
 
 
 def _widths(ids: np.ndarray) -> np.ndarray:
@@ -174,21 +174,26 @@ class Encoder:
 
     def _learn(self, fresh: list[str]) -> None:
         """Ids of new units, by the library's model."""
-        split = [[u] if u[1:].isalpha() and u[0] == " " else self.pattern.findall(u) for u in fresh]
-        flat = list(chain.from_iterable(split))
+        plain, other = [], []
+        for u in fresh:
+            (plain if u[0] == " " and u[1:].isalpha() else other).append(u)
+        words = self.words
+        words.update(zip(plain, self._parts(plain), strict=True))      # a unit that is one pre-token
+        split = [self.pattern.findall(u) for u in other]
+        each = list(dict.fromkeys(chain.from_iterable(split)))
+        get = dict(zip(each, self._parts(each), strict=True)).__getitem__
+        words.update((u, b"".join(map(get, parts))) for u, parts in zip(other, split, strict=True))
+
+    def _parts(self, pretokens: list[str]) -> list[bytes]:
+        """Ids of single pre-tokens; one call of the model takes many."""
         out: list[bytes] = []
-        for at in range(0, len(flat), 500):
-            text = self.between_char.join(flat[at:at + 500]).encode().decode("latin-1").translate(self.table)
+        for at in range(0, len(pretokens), 1000):
+            text = self.between_char.join(pretokens[at:at + 1000]).encode().decode("latin-1").translate(self.table)
             ids = np.array([t.id for t in self.model.tokenize(text)], "<u4")
-            cut, raw, p = np.flatnonzero(ids == self.between_id).tolist(), ids.tobytes(), 0
-            for c in cut:
-                out.append(raw[4 * p:4 * c])
-                p = c + 1
-            out.append(raw[4 * p:])
-        p = 0
-        for u, parts in zip(fresh, split, strict=True):
-            self.words[u] = out[p] if len(parts) == 1 else b"".join(out[p:p + len(parts)])
-            p += len(parts)
+            cut = np.flatnonzero(ids == self.between_id)
+            raw, starts, stops = ids.tobytes(), [0, *(4 * cut + 4).tolist()], [*(4 * cut).tolist(), 4 * len(ids)]
+            out += [raw[p:q] for p, q in zip(starts, stops, strict=True)]
+        return out
 
     def _library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
