@@ -201,16 +201,15 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, params: QualityParams =
 
 def keep_good(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParams(),
               id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """The documents that the rules keep, with their columns as they were."""
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"),
-                      F.col(stratum_col).cast("string").alias("_lang"))
+    """The documents that the rules keep, with their columns as they were.
+
+    The documents are written once beside their metrics, so the metrics are
+    computed once, and the verdict's filter can't be moved below them."""
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).cast("long").alias("doc_id"),
+                      F.col(text_col).alias("_text"), F.col(stratum_col).cast("string").alias("_lang"))
     metrics = stash(add_metrics(own, "_text").drop("_text"), "quality-metrics")
     chosen = _chosen(metrics, labels, params, "doc_id", "_lang")
-    # the row number keeps the optimizer from moving the filter below the metrics: it would write their
-    # expressions out at every place that uses them, inside lambda functions too, and compute them per word
-    scored = add_metrics(docs.withColumn("_q_lang", F.col(stratum_col).cast("string")), text_col) \
-        .withColumn("_q_row", F.monotonically_increasing_id())
-    return _with_verdict(scored, chosen, params, "_q_lang").where("_q_kept AND _q_row >= 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _with_verdict(metrics, chosen, params, "_lang").where("_q_kept").select("_row.*")
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
