@@ -94,19 +94,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 #   * divisions use NULLIF (DuckDB gives inf for x / 0.0);
 #   * ratios are DOUBLE divisions fixed to DECIMAL(38,10) before ROUND, and
 #     averages use HUGEINT integer division, as in functions/money.py;
+#   * extended price x (1 - discount) in DECIMAL: the driver's tables hold both
+#     with two decimals, so a net has four and the casts round nothing; exact
+#     decimals settle the half cents that binary sums would leave to chance;
 #   * every output is cast to BIGINT / DOUBLE / DATE / VARCHAR.
 # ---------------------------------------------------------------------------
 
 _BASE = """
 od AS (
   SELECT l_orderkey AS OrderID, l_partkey AS ProductID,
-         CAST(FLOOR(l_quantity + 0.5) AS BIGINT) AS Quantity,
-         l_extendedprice / NULLIF(l_quantity, 0) AS UnitPrice,
-         CAST(FLOOR(l_extendedprice * 100 + 0.5) AS BIGINT) AS cents,
-         CAST(FLOOR(l_discount * 100 + 0.5) AS BIGINT) AS pct
+         l_quantity AS Quantity, l_discount AS Discount, l_extendedprice AS GrossAmount,
+         l_extendedprice / NULLIF(l_quantity, 0) AS UnitPrice
   FROM lineitem),
-odn AS (SELECT *, CAST(pct AS DOUBLE) / 100 AS Discount, CAST(cents AS DECIMAL(18,0)) * 0.01 AS GrossAmount,
-               CAST(cents * (100 - pct) AS DECIMAL(18,0)) * 0.0001 AS Net FROM od),
+odn AS (SELECT *, CAST(CAST(GrossAmount AS DECIMAL(15,2)) * (1 - CAST(Discount AS DECIMAL(4,2))) AS DECIMAL(18,4)) AS Net FROM od),
 o AS (SELECT o_orderkey AS OrderID, o_custkey AS CustomerID, CAST(o_orderdate AS DATE) AS OrderDate FROM orders),
 p AS (SELECT p_partkey AS ProductID, p_name || ' #' || CAST(p_partkey AS VARCHAR) AS ProductName,
              p_type AS CategoryID FROM part),
@@ -226,7 +226,7 @@ dc AS (SELECT CustomerID, CompanyName,
 _ROLLUP = _with(_FACT, _DIMCUST) + """
 SELECT c.CategoryName, CAST(year(f.OrderDate) AS BIGINT) AS Year, CAST(quarter(f.OrderDate) AS BIGINT) AS Quarter,
        dc.Country, CAST(ROUND(SUM(f.Net), 2) AS DOUBLE) AS NetRevenue,
-       CAST(SUM(f.Quantity) AS BIGINT) AS Quantity, CAST(COUNT(*) AS BIGINT) AS Lines
+       CAST(SUM(CAST(f.Quantity AS DECIMAL(18,6))) AS DOUBLE) AS Quantity, CAST(COUNT(*) AS BIGINT) AS Lines
 FROM fact f LEFT JOIN dc ON f.CustomerID = dc.CustomerID LEFT JOIN cat c ON f.CategoryID = c.CategoryID
 GROUP BY 1, 2, 3, 4
 """

@@ -12,9 +12,7 @@ from ledgerline.functions.dates import (
     year_of,
 )
 from ledgerline.functions.money import (
-    cents,
-    cents_exact,
-    gross_amount,
+    exact,
     mean_round2,
     net_amount,
     per_period_round2,
@@ -24,7 +22,7 @@ from ledgerline.functions.money import (
 
 __all__ = [
     "as_date", "day_abbrev", "day_of_week", "days_between", "month_abbrev",
-    "month_of", "month_start", "quarter_of", "year_of", "cents", "cents_exact",
-    "gross_amount", "mean_round2", "net_amount",
+    "month_of", "month_start", "quarter_of", "year_of", "exact",
+    "mean_round2", "net_amount",
     "per_period_round2", "ratio", "round_out",
 ]

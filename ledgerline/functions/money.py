@@ -12,53 +12,48 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, IntegralType
 
 # Intermediate type used to round a DOUBLE ratio: going through a fixed
 # 10-digit decimal makes the final half-up rounding independent of how an
 # engine rounds binary doubles.
 RATIO_DEC = "decimal(38,10)"
 
+BINARY = "decimal(16,6)"      # a price, quantity or discount held as FLOAT or DOUBLE
+INTEGERS = {"byte": "decimal(3,0)", "short": "decimal(5,0)", "integer": "decimal(10,0)"}
+NET_SCALE = 12
+NET = f"decimal(38,{NET_SCALE})"
+
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def cents(c: Column | str) -> Column:
-    """A DOUBLE amount as whole hundredths (BIGINT), rounded half up.
+def exact(df: DataFrame, name: str) -> Column:
+    """Column ``name`` of ``df`` as DECIMAL at the scale of its source.
 
-    Exact for amounts recorded to the cent (a binary double is within a few
-    ulps of the cent).  Integer arithmetic avoids a BigDecimal per row.
-    Also turns a discount fraction into hundredths (0.05 -> 5).
+    A DECIMAL column stays as it is, an integer gets scale 0, and a binary
+    FLOAT or DOUBLE is read as the decimal it was recorded as, to 6 places.
     """
-    return F.floor(_col(c) * F.lit(100.0) + F.lit(0.5)).cast("long")
-
-
-def cents_exact(c: Column | str) -> Column:
-    """A DECIMAL (or DOUBLE) amount as whole hundredths (BIGINT), rounded
-    half up.  The value is scaled in DECIMAL, so a double such as 0.29 gives
-    29, not the 28 a binary 28.999... would truncate to."""
-    return F.round(_col(c).cast("decimal(38,6)") * F.lit(100), 0).cast("long")
+    kind = df.schema[name].dataType
+    c = F.col(name)
+    if isinstance(kind, DecimalType):
+        return c
+    if isinstance(kind, IntegralType):
+        return c.cast(INTEGERS.get(kind.typeName(), "decimal(20,0)"))
+    return c.cast(BINARY)
 
 
-def net_amount(gross_cents: Column | str, discount_pct: Column | str) -> Column:
-    """Net line revenue: gross x (1 - discount), exact, as DECIMAL(23,4).
+def net_amount(gross: Column | str, discount: Column | str) -> Column:
+    """Net line revenue: gross x (1 - discount) as DECIMAL(38,12).
 
-    ``gross_cents`` is unit price x quantity in cents and ``discount_pct``
-    the discount in hundredths, both BIGINT: their product counts
-    ten-thousandths exactly, and is scaled once into a decimal.
+    Both are decimals at their source's scale (see ``exact``) and are
+    multiplied exactly; nothing is rounded before the output unless the two
+    scales add up to more than 12 places.
     """
-    units = _col(gross_cents) * (F.lit(100) - _col(discount_pct))
-    return units.cast("decimal(18,0)") * F.lit(Decimal("0.0001"))
-
-
-def gross_amount(unit_price: Column | str, quantity: Column | str) -> Column:
-    """Gross line amount in cents: unit price x quantity, multiplied exactly
-    in DECIMAL and then rounded half up to the cent (line amounts are kept
-    to the cent, the precision of every money output)."""
-    exact = _col(unit_price).cast("decimal(38,6)") * _col(quantity).cast("decimal(18,0)")
-    return cents_exact(exact)
+    return (_col(gross) * (F.lit(Decimal(1)) - _col(discount))).cast(NET)
 
 
 def round_out(c: Column | str, scale: int = 2) -> Column:
@@ -85,7 +80,7 @@ def ratio(num: Column | str, den: Column | str, scale: int,
     return F.round(q.cast(RATIO_DEC), scale).cast("double")
 
 
-def mean_round2(total: Column | str, count: Column | str, total_scale: int = 4) -> Column:
+def mean_round2(total: Column | str, count: Column | str, total_scale: int = NET_SCALE) -> Column:
     """``round(total / count, 2)`` of a decimal total, half away from zero, exactly.
 
     Uses integer arithmetic on the absolute total: (200 * units + count * 10^s)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import replace
-from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,12 +13,10 @@ from ledgerline.sources.model import SalesTables
 
 
 def net_revenue_lines(t: SalesTables) -> DataFrame:
-    """One row per order line with its exact net revenue (DECIMAL(23,4))."""
+    """One row per order line with its exact net revenue (DECIMAL(38,12))."""
     return t.order_details.select(
-        "OrderID", "ProductID", "Quantity",
-        (F.col("DiscountPct") / F.lit(100.0)).alias("Discount"),
-        (F.col("GrossCents").cast("decimal(18,0)") * F.lit(Decimal("0.01"))).alias("GrossAmount"),
-        net_amount("GrossCents", "DiscountPct").alias("NetRevenue"),
+        "OrderID", "ProductID", "Quantity", "Discount", "GrossAmount",
+        net_amount("GrossAmount", "Discount").alias("NetRevenue"),
     )
 
 
@@ -32,7 +29,7 @@ def order_revenue(t: SalesTables) -> DataFrame:
     """
     return (t.order_details
             .groupBy("OrderID")
-            .agg(F.sum(net_amount("GrossCents", "DiscountPct")).alias("OrderRevenue")))
+            .agg(F.sum(net_amount("GrossAmount", "Discount")).alias("OrderRevenue")))
 
 
 def share_order_revenue(t: SalesTables) -> SalesTables:
@@ -45,7 +42,7 @@ def share_order_revenue(t: SalesTables) -> SalesTables:
     instead of each scanning the order lines and shuffling both tables again.
     """
     per_order = (t.order_details.groupBy("OrderID")
-                 .agg(F.sum(net_amount("GrossCents", "DiscountPct")).alias("OrderRevenue"),
+                 .agg(F.sum(net_amount("GrossAmount", "Discount")).alias("OrderRevenue"),
                       F.count(F.lit(1)).alias("LineCount")))
     facts = (t.orders.select("OrderID", "CustomerID", "OrderDate")
              .join(per_order, "OrderID", "left")

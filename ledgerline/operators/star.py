@@ -14,23 +14,24 @@ from ledgerline.plans.joins import broadcast_fits, join_dimension
 from ledgerline.sources.model import SalesTables
 
 FACT_LOAD_COLUMNS = ("OrderID", "CustomerID", "ProductID", "CategoryID", "OrderDate", "Quantity", "NetRevenue")
+QUANTITY = "decimal(18,6)"    # exact sums of quantities that may be fractional
 
 
 def fact_sales(t: SalesTables, join: JoinParams = DEFAULTS.join) -> DataFrame:
     """One row per order line that has an order and a product.
 
     Lines without a category are kept (CategoryID comes from the product).
-    NetRevenue is exact (DECIMAL(23,4)); Discount is the fraction as DOUBLE.
+    NetRevenue is exact (DECIMAL(38,12)); Discount is the source's own fraction.
     Orders are joined by a shuffle on OrderID; products through a checked
     broadcast.  No join to the category table: it would add no column and
     cannot drop a line.
     """
-    lines = t.order_details.select("OrderID", "ProductID", "Quantity", "UnitPrice", "GrossCents", "DiscountPct")
+    lines = t.order_details.select("OrderID", "ProductID", "Quantity", "UnitPrice", "GrossAmount", "Discount")
     x = lines.join(t.orders.select("OrderID", "CustomerID", "OrderDate"), "OrderID")
     x = join_dimension(x, t.products.select("ProductID", "CategoryID"), on="ProductID", params=join)
     return x.select("OrderID", "CustomerID", "ProductID", "CategoryID", "OrderDate", "Quantity",
-                    "UnitPrice", (F.col("DiscountPct") / F.lit(100.0)).alias("Discount"),
-                    net_amount("GrossCents", "DiscountPct").alias("NetRevenue"))
+                    "UnitPrice", "Discount",
+                    net_amount("GrossAmount", "Discount").alias("NetRevenue"))
 
 
 def fact_sales_load(t: SalesTables, join: JoinParams = DEFAULTS.join) -> DataFrame:
@@ -102,7 +103,8 @@ def star_rollup(t: SalesTables, join: JoinParams = DEFAULTS.join, aliases: dict
     """
     fact = fact_sales_load(t, join).select(
         "CustomerID", "CategoryID", year_of("OrderDate").alias("Year"),
-        quarter_of("OrderDate").alias("Quarter"), "NetRevenue", "Quantity")
+        quarter_of("OrderDate").alias("Quarter"), "NetRevenue",
+        F.col("Quantity").cast(QUANTITY).alias("Quantity"))
     customers = dim_customer(t, aliases).select("CustomerID", "Country")
     keys = ["CategoryName", "Year", "Quarter", "Country"]
     if broadcast_fits(customers, join):
@@ -118,14 +120,14 @@ def star_rollup(t: SalesTables, join: JoinParams = DEFAULTS.join, aliases: dict
     g = join_dimension(g, dim_category(t), on="CategoryID", how="left", params=join)
     return (g.groupBy(*keys)
             .agg(F.round(F.sum("_rev"), 2).cast("double").alias("NetRevenue"),
-                 F.sum("_qty").cast("long").alias("Quantity"),
+                 F.sum("_qty").cast("double").alias("Quantity"),
                  F.sum("_lines").cast("long").alias("Lines")))
 
 
 ROLLUP_SQL = """
 SELECT c.CategoryName, d.Year, d.Quarter, cu.Country,
        CAST(ROUND(SUM(f.NetRevenue), 2) AS DOUBLE) AS NetRevenue,
-       CAST(SUM(f.Quantity) AS BIGINT) AS Quantity,
+       CAST(SUM(CAST(f.Quantity AS {qty})) AS DOUBLE) AS Quantity,
        CAST(COUNT(*) AS BIGINT) AS Lines
 FROM {p}FactSales f
 LEFT JOIN {p}DimDate d ON f.OrderDate = d.Date
@@ -138,4 +140,4 @@ GROUP BY c.CategoryName, d.Year, d.Quarter, cu.Country
 def star_rollup_sql(spark: SparkSession, t: SalesTables, prefix: str = "") -> DataFrame:
     """The same roll-up written in SQL against the registered star views."""
     register_star_views(spark, t, prefix)
-    return spark.sql(ROLLUP_SQL.format(p=prefix))
+    return spark.sql(ROLLUP_SQL.format(p=prefix, qty=QUANTITY))

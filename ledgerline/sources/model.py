@@ -3,9 +3,9 @@
 Five relations, named by role rather than by any particular database:
 
 =============  ==============================================================
-order_details  OrderID, ProductID, Quantity (long), UnitPrice (double,
-               display only), GrossCents (long: unit price x quantity in
-               cents), DiscountPct (long: the discount in hundredths)
+order_details  OrderID, ProductID, Quantity and UnitPrice (as the source has
+               them), GrossAmount (decimal: unit price x quantity) and
+               Discount (decimal fraction), both at the source's scale
 orders         OrderID, CustomerID, OrderDate (date)
 products       ProductID, ProductName, CategoryID
 categories     CategoryID, CategoryName
@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.dates import as_date
-from ledgerline.functions.money import cents, gross_amount
+from ledgerline.functions.money import exact
 
-ORDER_DETAILS_COLUMNS = ("OrderID", "ProductID", "Quantity", "UnitPrice", "GrossCents", "DiscountPct")
+ORDER_DETAILS_COLUMNS = ("OrderID", "ProductID", "Quantity", "UnitPrice", "GrossAmount", "Discount")
 ORDERS_COLUMNS = ("OrderID", "CustomerID", "OrderDate")
 PRODUCTS_COLUMNS = ("ProductID", "ProductName", "CategoryID")
 CATEGORIES_COLUMNS = ("CategoryID", "CategoryName")
@@ -74,11 +74,10 @@ def from_classic(read: Callable[[str], DataFrame]) -> SalesTables:
     od = read("Order Details")
     return SalesTables(
         order_details=od.select(
-            "OrderID", "ProductID",
-            F.col("Quantity").cast("long").alias("Quantity"),
+            "OrderID", "ProductID", "Quantity",
             F.col("UnitPrice").cast("double").alias("UnitPrice"),
-            gross_amount("UnitPrice", "Quantity").alias("GrossCents"),
-            cents(F.col("Discount").cast("double")).alias("DiscountPct"),
+            (exact(od, "UnitPrice") * exact(od, "Quantity")).alias("GrossAmount"),
+            exact(od, "Discount").alias("Discount"),
         ),
         orders=read("Orders").select("OrderID", "CustomerID", as_date("OrderDate").alias("OrderDate")),
         products=read("Products").select(*PRODUCTS_COLUMNS),

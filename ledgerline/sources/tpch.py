@@ -3,8 +3,8 @@
 Role mapping (a choice; documented in the README):
 
 * order line  <- ``lineitem``: OrderID=l_orderkey, ProductID=l_partkey,
-  Quantity=l_quantity, GrossCents=l_extendedprice in cents (extended price
-  is already unit price x quantity), DiscountPct=l_discount in hundredths,
+  Quantity=l_quantity, GrossAmount=l_extendedprice (it is already unit price
+  x quantity), Discount=l_discount, both exact decimals,
   UnitPrice = l_extendedprice / l_quantity (display only).
 * order       <- ``orders``: o_orderkey, o_custkey, o_orderdate (as date).
 * product     <- ``part``: ProductName = p_name || ' #' || p_partkey because
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions.dates import as_date
-from ledgerline.functions.money import cents
+from ledgerline.functions.money import exact
 from ledgerline.plans.joins import join_dimension
 from ledgerline.sources.model import SalesTables
 from ledgerline.sources.parquet import ParquetSource
@@ -60,10 +60,10 @@ def tpch_from_frames(lineitem: DataFrame, orders: DataFrame, part: DataFrame,
     order_details = lineitem.select(
         F.col("l_orderkey").alias("OrderID"),
         F.col("l_partkey").alias("ProductID"),
-        F.floor(F.col("l_quantity") + F.lit(0.5)).cast("long").alias("Quantity"),
+        F.col("l_quantity").alias("Quantity"),
         F.try_divide(F.col("l_extendedprice").cast("double"), F.col("l_quantity").cast("double")).alias("UnitPrice"),
-        cents("l_extendedprice").alias("GrossCents"),
-        cents("l_discount").alias("DiscountPct"),
+        exact(lineitem, "l_extendedprice").alias("GrossAmount"),
+        exact(lineitem, "l_discount").alias("Discount"),
     )
     orders_c = orders.select(
         F.col("o_orderkey").alias("OrderID"),

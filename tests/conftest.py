@@ -21,7 +21,7 @@ def spark():
     yield s
 
 
-OD_SCHEMA = "OrderID long, ProductID long, Quantity long, UnitPrice double, GrossCents long, DiscountPct long"
+OD_SCHEMA = "OrderID long, ProductID long, Quantity long, UnitPrice double, GrossAmount decimal(20,6), Discount decimal(9,6)"
 ORDERS_SCHEMA = "OrderID long, CustomerID string, OrderDate date"
 PRODUCTS_SCHEMA = "ProductID long, ProductName string, CategoryID long"
 CATEGORIES_SCHEMA = "CategoryID long, CategoryName string"
@@ -31,8 +31,7 @@ CUSTOMERS_SCHEMA = "CustomerID string, CompanyName string, Country string, City
 def line(order, product, price, qty, disc="0"):
     """An order line from unit price and quantity (gross = price x qty)."""
     p, q = Decimal(str(price)), int(qty)
-    return (order, product, q, float(p), int((p * q * 100).quantize(Decimal("1"))),
-            int((Decimal(disc) * 100).quantize(Decimal("1"))))
+    return (order, product, q, float(p), p * q, Decimal(disc))
 
 
 def make_tables(spark, lines, orders, products=None, categories=None, customers=None) -> SalesTables:

@@ -9,17 +9,18 @@ from ledgerline.functions import money as M
 
 
 def test_net_amount_is_exact_decimal(spark):
-    df = spark.createDataFrame([(1.1, 0.05), (68423.46, 0.07), (0.29, 0.0)], "g double, disc double")
-    net = M.net_amount(M.cents("g"), M.cents("disc"))
+    df = spark.createDataFrame([(1.1, 0.05), (68423.46, 0.07), (0.29, 0.0), (100.0, 0.125), (3.333, 0.0)], "g double, disc double")
+    net = M.net_amount(M.exact(df, "g"), M.exact(df, "disc"))
     got = [r.n for r in df.select(net.alias("n")).collect()]
-    assert got == [Decimal("1.0450"), Decimal("63633.8178"), Decimal("0.2900")]
-    assert df.select(net).schema.fields[0].dataType.simpleString() == "decimal(23,4)"
+    assert got == [Decimal(x) for x in ("1.0450", "63633.8178", "0.2900", "87.5", "3.333")]
+    assert df.select(net).schema.fields[0].dataType.simpleString() == "decimal(38,12)"
 
 
-def test_cents_match_decimal_cast_for_cent_amounts(spark):
-    df = spark.range(100000).select((F.col("id") * 7919 % 10000000 / 100.0).alias("x"))
-    bad = df.where(M.cents("x") != (F.col("x").cast("decimal(18,2)") * 100).cast("long")).count()
-    assert bad == 0
+def test_exact_keeps_the_scale_of_its_source(spark):
+    df = spark.createDataFrame([(Decimal("0.3333"), 3, 0.1, 2.5, None)], "d decimal(19,4), s smallint, f float, x double, n double")
+    row = df.select(*[M.exact(df, c).alias(c) for c in df.columns])
+    assert [f.dataType.simpleString() for f in row.schema.fields] == ["decimal(19,4)", "decimal(5,0)"] + ["decimal(16,6)"] * 3
+    assert tuple(row.first()) == (Decimal("0.3333"), Decimal(3), Decimal("0.1"), Decimal("2.5"), None)
 
 
 def test_round_out_half_away_from_zero(spark):
@@ -33,7 +34,7 @@ def test_mean_round2_exact_half_cents(spark):
     rows = [(Decimal("0.0250"), 2), (Decimal("0.0300"), 2), (Decimal("10.0050"), 2), (Decimal("1"), 3),
             (Decimal("5"), 0), (Decimal("5"), None)]
     df = spark.createDataFrame(rows, "t decimal(24,4), n long")
-    got = [r.m for r in df.select(M.mean_round2("t", "n").alias("m")).collect()]
+    got = [r.m for r in df.select(M.mean_round2("t", "n", 4).alias("m")).collect()]
     assert got == [0.01, 0.02, 5.0, 0.33, None, None]
 
 
@@ -65,18 +66,9 @@ def test_calendar_attributes(spark):
     assert (r.m, r.a, r.w, r.wm, r.q) == ("May", "Sun", 0, 6, 2)
 
 
-def test_cents_exact_for_decimal_and_double_prices(spark):
-    df = spark.createDataFrame([(Decimal("0.29"), 0.29, 3), (Decimal("18.005"), 18.005, 1),
-                                (Decimal("0.125"), 0.125, 8)],
-                               "dp decimal(10,3), fp double, q int")
-    got = [(r.a, r.b) for r in df.select(M.gross_amount("dp", "q").alias("a"),
-                                         M.gross_amount("fp", "q").alias("b")).collect()]
-    assert got == [(87, 87), (1801, 1801), (100, 100)]   # price x quantity first, then the cent
-
-
 def test_averages_of_negative_totals_round_away_from_zero(spark):
     rows = [(Decimal("-1.0000"), 2), (Decimal("-10.0000"), 3), (Decimal("-0.0010"), 1), (Decimal("1.0000"), 2)]
     df = spark.createDataFrame(rows, "t decimal(24,4), n long")
-    assert [r.m for r in df.select(M.mean_round2("t", "n").alias("m")).collect()] == [-0.5, -3.33, 0.0, 0.5]
+    assert [r.m for r in df.select(M.mean_round2("t", "n", 4).alias("m")).collect()] == [-0.5, -3.33, 0.0, 0.5]
     df = spark.createDataFrame([(Decimal("-100.00"), 60)], "t decimal(24,2), d long")
     assert df.select(M.per_period_round2("t", "d", 30).alias("m")).first().m == -50.0

@@ -20,8 +20,8 @@ def _hot_order_tables(spark, n=100_000):
         F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise(F.col("id")).alias("OrderID"),
         F.pmod(F.xxhash64("id"), F.lit(50)).alias("ProductID"),
         F.lit(1).cast("long").alias("Quantity"), F.lit(1.0).alias("UnitPrice"),
-        F.pmod(F.xxhash64(F.col("id") * 7), F.lit(10 ** 9)).alias("GrossCents"),
-        F.lit(5).cast("long").alias("DiscountPct"))
+        (F.pmod(F.xxhash64(F.col("id") * 7), F.lit(10 ** 9)).cast("decimal(18,0)") / 100).cast("decimal(18,2)").alias("GrossAmount"),
+        F.lit(0.05).cast("decimal(4,2)").alias("Discount"))
     orders = spark.range(n).select(
         F.col("id").alias("OrderID"), (F.col("id") % 97).cast("string").alias("CustomerID"),
         F.date_add(F.lit(dt.date(2020, 1, 1)), (F.col("id") % 300).cast("int")).alias("OrderDate"))

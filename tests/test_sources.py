@@ -45,6 +45,24 @@ def test_classic_schema_adapter(spark):
     assert r.NetRevenue == Decimal("32.4000") and r.OrderDate == dt.date(2021, 8, 25)
 
 
+def test_line_amounts_are_not_rounded_on_input(spark):
+    od = spark.createDataFrame(
+        [(1, 1, 10.0, 10.0, 0.125), (2, 1, 0.3333, 10.0, 0.0), (3, 1, 4.0, 2.5, 0.1), (4, 1, None, 1.0, 0.0)],
+        "OrderID long, ProductID long, UnitPrice double, Quantity double, Discount double")
+    frames = {
+        "Order Details": od,
+        "Orders": spark.createDataFrame([(k, "A", dt.date(2021, 8, 25)) for k in (1, 2, 3, 4)], "OrderID long, CustomerID string, OrderDate date"),
+        "Products": spark.createDataFrame([(1, "Green tea", 1)], "ProductID long, ProductName string, CategoryID long"),
+        "Categories": spark.createDataFrame([(1, "Drinks")], "CategoryID long, CategoryName string"),
+        "Customers": spark.createDataFrame([("A", "Corner Shop", "Landia", "Town")],
+                                           "CustomerID string, CompanyName string, Country string, City string"),
+    }
+    rows = ops.fact_sales(from_classic(frames.__getitem__)).orderBy("OrderID").collect()
+    assert [r.NetRevenue for r in rows] == [Decimal("87.50"), Decimal("3.333"), Decimal("9"), None]
+    assert [(r.Quantity, float(r.Discount)) for r in rows] == [(10.0, 0.125), (10.0, 0.0), (2.5, 0.1), (1.0, 0.0)]
+    assert ops.star_rollup(from_classic(frames.__getitem__)).first().Quantity == 23.5
+
+
 def test_csv_export_round_trip_with_nulls(spark):
     df = spark.createDataFrame([("Ñandú S.A.", None, 1.5), ("b", "x", None)], "name string, tag string, v double")
     out = os.path.join(tempfile.mkdtemp(prefix="ledgerline-csv-"), "report")
