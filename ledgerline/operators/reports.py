@@ -18,6 +18,7 @@ REPORTS = {
     "customer_concentration": customer_concentration,
     "customer_churn": customer_churn,
 }
+FROM_ORDERS = set(REPORTS) - {"product_trend"}    # start from the revenue per order
 
 
 def export_reports(t: SalesTables, out_dir: str, names: tuple[str, ...] | None = None) -> dict[str, str]:
@@ -26,11 +27,13 @@ def export_reports(t: SalesTables, out_dir: str, names: tuple[str, ...] | None =
     Each report is written by all tasks in parallel into its own folder of
     part files (headered, UTF-8, ``NULL`` for nulls); nothing passes through
     the driver.  Order facts (revenue per order) are computed once and
-    shared by the reports that start from them.  Returns report name -> folder.
+    shared when two or more of the reports start from them.  Returns report name -> folder.
     """
-    t = share_order_revenue(t) if t.order_facts is None else t
+    names = names or tuple(REPORTS)
+    if t.order_facts is None and len(FROM_ORDERS.intersection(names)) > 1:
+        t = share_order_revenue(t)
     written = {}
-    for name in names or tuple(REPORTS):
+    for name in names:
         path = os.path.join(out_dir, name)
         export_csv(REPORTS[name](t), path)
         written[name] = path

@@ -99,6 +99,19 @@ def test_export_reports_writes_every_analysis(spark):
     assert growth.where("PrevMonthRevenue IS NULL").count() == 1
 
 
+def test_export_of_one_report_shares_no_order_facts(spark, monkeypatch):
+    from ledgerline.operators import reports
+
+    shared = []
+    monkeypatch.setattr(reports, "share_order_revenue", lambda t: shared.append(1) or t)
+    t = tpch_tables(spark, f"{TESTDATA}/sf0.001")
+    out = tempfile.mkdtemp(prefix="ledgerline-reports-")
+    reports.export_reports(t, out, ("product_trend", "monthly_growth"))
+    assert not shared
+    reports.export_reports(t, out + "-two", ("monthly_growth", "customer_churn"))
+    assert shared
+
+
 @pytest.fixture
 def restore_shuffle_conf(spark):
     keys = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.initialPartitionNum",
