@@ -1,18 +1,26 @@
 """Language-model scoring by prediction by partial matching (PPM).
 
 The training documents' bytes (A-Z lower-cased, one end symbol per text) give
-counts of every symbol after every context of up to ``order`` bytes.  Spark
-sums them; the trie keeps the ``max_contexts`` most frequent contexts, which
-bounds the model's size (a context's suffix is at least as frequent, so the
-trie stays closed).  The probability of a symbol is that of PPM with method C
-escapes and full symbol exclusion: from the longest kept context to the
-shortest, then evenly over the symbols left.  As the model is pretrained, the
-probabilities of all symbols after all kept contexts are settled once, and a
-text's code length is a walk down the trie per byte, done for whole arrays.
-
-Beside it stands a smoothed unigram model of the words.  Documents are dealt
-to chunks of a bounded size by hash; a chunk's distinct words are counted and
-looked up once per chunk, so a very common word costs a row per chunk.
+counts of every symbol after every context of up to ``order`` bytes.  The
+probability of a symbol is that of PPM with method C escapes and full symbol
+exclusion: from the longest trained context to the shortest, then evenly over
+the symbols left.
+
+The counts of all contexts are Spark tables, one per length, and grow with the
+input.  They hold every (context, symbol) of the corpus, those that only stand
+in held-out texts with a count of 0.  A symbol seen after a context is also
+seen after the context's suffix, so what an escape excludes is exactly what
+the longer context has seen, and the probability of a row follows from the row
+of its suffix and a few sums over its own context.
+
+Documents are dealt to chunks of a bounded size by hash.  A chunk's distinct
+(context, symbol) codes and distinct words are counted and looked up once per
+chunk, so a very common one costs a row per chunk.  The words make a smoothed
+unigram model that stands beside the other.
+
+With ``max_contexts`` only the most frequent contexts are kept, in a trie that
+every task holds (a context's suffix is at least as frequent, so the trie
+stays closed); the registered query doesn't use it.
 
 Defined cases: a NULL text is empty (one end symbol, one end token); a NULL id
 is trained on; without training documents all symbols are equally likely.
@@ -20,10 +28,12 @@ is trained on; without training documents all symbols are equally likely.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,12 +42,13 @@ from ledgerline.llm.common import LOWER, id_text, pieces, stash, texts
 END = 256                      # symbol after the last byte of a text
 SYMBOLS = 257
 CHUNK_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20          # texts whose symbols are handled at a time (one text at least)
 
 
 @dataclass(frozen=True)
 class PpmParams:
     order: int = 4
-    max_contexts: int = 1 << 16
+    max_contexts: int | None = None
 
 
 def held_out(doc_id: Column) -> Column:
@@ -172,10 +183,37 @@ def _split(raw: list[bytes]) -> tuple[list[list[bytes]], list[bytes]]:
     return docs, sorted({b"", *(w for d in docs for w in d)})
 
 
-def word_counts(chunked: DataFrame) -> DataFrame:
-    """(chunk, place, c, lead) for every distinct word of every chunk: its
-    place in the chunk's sorted words, its count in all training documents;
-    lead marks one row of each word."""
+def _codes(raw: list[bytes], order: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For slices of the texts: first and last text, the code (context, then
+    symbol) of every place, and the first place of each text."""
+    ends = np.cumsum([len(t) for t in raw])
+    at = 0
+    while at < len(raw):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right")))
+        x, place, first = _symbols(raw[at:stop], order)
+        code = np.zeros(len(place), np.int64)
+        for k in range(order, 0, -1):
+            code = code << 8 | x[place - k]
+        yield at, stop, code << 9 | x[place], first
+        at = stop
+
+
+def _distinct_codes(raw: list[bytes], held: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' distinct codes in order, and their counts in the training texts."""
+    found, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at, stop, code, first in _codes(raw, order):
+        size = np.diff(np.append(first, len(code)))
+        marked, n = np.unique(code << 1 | np.repeat(held[at:stop], size), return_counts=True)
+        found.append(marked >> 1)
+        counts.append(np.where(marked & 1, 0, n))
+    codes, where = np.unique(np.concatenate(found), return_inverse=True)
+    return codes, np.bincount(where, np.concatenate(counts), len(codes)).astype(np.int64)
+
+
+def chunk_counts(chunked: DataFrame, order: int | None) -> DataFrame:
+    """(chunk, place, word, code, n) for every distinct word, then every
+    distinct code (none without an order) of every chunk: its place among the
+    chunk's sorted words or codes, its count in the chunk's training documents."""
 
     def run(table: pa.Table) -> pa.Table:
         raw = [t.translate(LOWER) for t in table.column("text").cast(pa.binary()).to_pylist()]
@@ -187,17 +225,65 @@ def word_counts(chunked: DataFrame) -> DataFrame:
                 n[b""] += 1
                 for w in d:
                     n[w] += 1
+        codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if order is not None:
+            codes, counts = _distinct_codes(raw, np.array(held, np.int64), order)
         chunk = table.column("chunk")[0].as_py()
-        return pa.table({"chunk": pa.array([chunk] * len(words), pa.int64()), "place": pa.array(range(len(words)), pa.int32()),
-                         "word": pa.array(words, pa.binary()), "n": pa.array([n[w] for w in words], pa.int64())})
+        rows = len(words) + len(codes)
+        return pa.table({"chunk": pa.array(np.full(rows, chunk, np.int64)),
+                         "place": pa.array(np.concatenate([np.arange(len(words)), np.arange(len(codes))]).astype(np.int32)),
+                         "word": pa.chunked_array([pa.array(words, pa.binary()), pa.nulls(len(codes), pa.binary())]).combine_chunks(),
+                         "code": pa.chunked_array([pa.nulls(len(words), pa.int64()), pa.array(codes)]).combine_chunks(),
+                         "n": pa.array(np.concatenate([np.array([n[w] for w in words], np.int64), counts]))})
+
+    return stash(chunked.groupBy("chunk").applyInArrow(run, "chunk long, place int, word binary, code long, n long"), "ppm-chunks")
+
 
-    each = chunked.groupBy("chunk").applyInArrow(run, "chunk long, place int, word binary, n long")
+def word_counts(found: DataFrame) -> DataFrame:
+    """(chunk, place, c, lead): the count of each chunk's words in all
+    training documents; lead marks one row of each word."""
     w = Window.partitionBy("word")
-    counted = each.select("chunk", "place", F.sum("n").over(w).alias("c"),
-                          (F.row_number().over(w.orderBy("chunk")) == 1).alias("lead"))
+    counted = found.where("word IS NOT NULL").select(
+        "chunk", "place", F.sum("n").over(w).alias("c"), (F.row_number().over(w.orderBy("chunk")) == 1).alias("lead"))
     return stash(counted, "ppm-words")
 
 
+def settled(found: DataFrame, order: int) -> DataFrame:
+    """(code, logp): natural logarithm of the probability of every code in ``found``.
+
+    Level by level from the empty context.  Of each (context, symbol) row:
+    n its count; total and kinds the sum and number of its context's symbols
+    with a count; logp the symbol's probability after the context; past, for
+    n = 0, its probability once the context has been escaped from."""
+    counts = {order: stash(found.where("code IS NOT NULL").groupBy((F.shiftright("code", 9)).alias("context"), F.col("code").bitwiseAND(511).cast("int").alias("symbol"))
+                           .agg(F.sum("n").alias("n")), "ppm-counts")}
+    for k in range(order - 1, -1, -1):
+        suffix = F.col("context").bitwiseAND(F.lit((1 << 8 * k) - 1))
+        counts[k] = stash(counts[k + 1].groupBy(suffix.alias("context"), "symbol").agg(F.sum("n").alias("n")), "ppm-counts")
+    w, n, total, kinds = Window.partitionBy("context"), F.col("n"), F.col("total"), F.col("kinds")
+    sums = [F.sum("n").over(w).alias("total"), F.sum((n > 0).cast("long")).over(w).alias("kinds")]
+    seen = F.log(n / (total + F.when(kinds < SYMBOLS, kinds).otherwise(0)))
+    escape = F.log(kinds / (total + kinds))
+    past = -F.log(F.lit(SYMBOLS) - kinds)
+    row = ["context", "symbol", "n", "total", "kinds"]
+    done = counts[0].select("context", "symbol", "n", *sums)
+    done = done.select(*row, F.when(kinds == 0, -F.log(F.lit(float(SYMBOLS)))).when(n > 0, seen).otherwise(escape + past).alias("logp"), past.alias("past"))
+    for k in range(1, order + 1):
+        shorter = stash(done, "ppm-settled").select(*[F.col(c).alias(f"s_{c}") for c in done.columns])
+        suffix = F.col("context").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1))
+        joined = counts[k].join(shorter, (suffix == F.col("s_context")) & (F.col("symbol") == F.col("s_symbol")))
+        # what the context has seen is excluded from its suffix's symbols
+        joined = joined.select("*", *sums, F.sum(F.when(n > 0, F.col("s_n")).otherwise(0)).over(w).alias("excluded"))
+        open_ = F.col("s_kinds") < SYMBOLS
+        base = F.col("s_total") - F.col("excluded") + F.when(open_, F.col("s_kinds") - kinds).otherwise(0)
+        on = F.when(open_ & (F.col("s_kinds") > kinds), F.log((F.col("s_kinds") - kinds) / base)).otherwise(0.0)
+        past = F.when(F.col("s_n") > 0, F.log(F.col("s_n") / base)).otherwise(on + F.col("s_past"))
+        # past has a meaning only for symbols that the context hasn't seen
+        joined = joined.withColumn("past", F.when(n == 0, past))
+        done = joined.select(*row, F.when(kinds == 0, F.col("s_logp")).when(n > 0, seen).otherwise(escape + F.col("past")).alias("logp"), "past")
+    return stash(done.select(F.shiftleft("context", 9).bitwiseOR(F.col("symbol").cast("long")).alias("code"), "logp"), "ppm-settled")
+
+
 def score(docs: DataFrame, params: PpmParams = PpmParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score (log10 probability by the PPM model), n_bytes."""
@@ -205,16 +291,34 @@ def score(docs: DataFrame, params: PpmParams = PpmParams(), id_col: str = "doc_i
     size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-int(size) // CHUNK_BYTES))
     chunked = named.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("long"))
-    model = docs.sparkSession.sparkContext.broadcast(train(named.where(~F.col("held_out")), params))
-    words = word_counts(chunked)
+    whole, model = params.max_contexts is None, None
+    if not whole:
+        model = docs.sparkSession.sparkContext.broadcast(train(named.where(~F.col("held_out")), params))
+    found = chunk_counts(chunked, params.order if whole else None)
+    words = word_counts(found)
     n, v = words.where("lead").agg(F.sum("c"), F.sum((F.col("c") > 0).cast("long"))).first()
     n, v = int(n or 0), int(v or 0)
-
-    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
+    looked_up = words.select("chunk", "place", "c", F.lit(None).cast("double").alias("logp"))
+    if whole:
+        looked_up = looked_up.unionByName(found.where("code IS NOT NULL").select("chunk", "place", "code").join(settled(found, params.order), "code")
+                                          .select("chunk", "place", F.lit(None).cast("long").alias("c"), "logp"))
+
+    def ppm_scores(raw: list[bytes], logp: np.ndarray) -> np.ndarray:
+        if not whole:
+            return np.concatenate([model.value.score(raw[k:k + 256]) for k in range(0, len(raw), 256)] or [np.zeros(0)])
+        codes, _ = _distinct_codes(raw, np.zeros(len(raw), np.int64), params.order)
+        return np.concatenate([np.add.reduceat(logp[np.searchsorted(codes, code)], first)
+                               for _, _, code, first in _codes(raw, params.order)] or [np.zeros(0)])
+
+    def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         raw = [t.translate(LOWER) for t in docs.column("text").cast(pa.binary()).to_pylist()]
         split, distinct = _split(raw)
+        words = found.filter(pc.is_valid(found.column("c")))
         c = np.zeros(len(distinct), np.int64)
         c[words.column("place").to_numpy()] = words.column("c").to_numpy()
+        codes = found.filter(pc.is_valid(found.column("logp")))
+        logp = np.zeros(codes.num_rows)
+        logp[codes.column("place").to_numpy()] = codes.column("logp").to_numpy()
         at = {w: k for k, w in enumerate(distinct)}
         logs = np.log10((c + 1.0) / (n + (v + 1)))
         tokens, known, base = [], [], []
@@ -224,13 +328,13 @@ def score(docs: DataFrame, params: PpmParams = PpmParams(), id_col: str = "doc_i
             tokens.append(len(d) + 1)
             known.append(int((c[ids] > 0).sum()) + int(c[0] > 0))
             base.append(float(logs[ids].sum() + logs[0]))
-        ppm = np.concatenate([model.value.score(raw[k:k + 256]) for k in range(0, len(raw), 256)] or [np.zeros(0)]) / np.log(10)
+        ppm = ppm_scores(raw, logp) / np.log(10)
         return pa.table({"doc_id": docs.column("doc_id").cast(pa.int64()), "held_out": docs.column("held_out"),
                          "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(known, pa.int64()),
                          "train_tokens": pa.array([n] * len(raw), pa.int64()), "base_score": pa.array(base, pa.float64()),
                          "score": pa.array(ppm, pa.float64()), "n_bytes": pa.array([len(t) for t in raw], pa.int64())})
 
-    return chunked.groupBy("chunk").cogroup(words.select("chunk", "place", "c").groupBy("chunk")).applyInArrow(
+    return chunked.groupBy("chunk").cogroup(looked_up.groupBy("chunk")).applyInArrow(
         run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long")
 
 

@@ -116,3 +116,31 @@ def test_probabilities_sum_to_one():
     m = ppm.Model(2, *map(np.array, zip(*rows, strict=True)))
     p = np.exp(m.logp.astype(float))
     assert np.allclose(p[:, :-1].sum(1) + p[:, -1] * (257 - (p.shape[1] - 1)), 1, atol=1e-4)
+
+
+def test_no_context_is_lost(spark, monkeypatch):
+    """More contexts than any fixed bound of a few thousand, all byte values, many chunks and slices."""
+    monkeypatch.setattr(ppm, "CHUNK_BYTES", 20_000)
+    monkeypatch.setattr(ppm, "SLICE_BYTES", 3_000)
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abcdeéüñßλж漢") for _ in range(rnd.randint(1, 6))) for _ in range(400)]
+    rows = [(k, " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 60)))) for k in range(300)] + CASES
+    check(spark, rows, docs_df(spark, rows), ppm.PpmParams(4))
+
+
+def test_the_registered_parameters_keep_every_context(spark):
+    """About 130,000 different contexts: twice what the trie of fixed size held."""
+    assert ppm.PpmParams().max_contexts is None
+    rnd = random.Random(6)
+    rows = [(k, "".join(chr(rnd.randint(33, 126)) for _ in range(700))) for k in range(80)]
+    contexts = {low(t)[max(0, i - j):i] for n, t in rows for i in range(len(t) + 1) for j in range(1, 5) if not is_held(n)}
+    assert len(contexts) > 1 << 16
+    check(spark, rows, docs_df(spark, rows), ppm.PpmParams())
+
+
+@pytest.mark.parametrize("order", [0, 1, 4])
+def test_every_symbol_of_a_level_is_seen(spark, order):
+    """Nothing is left for an escape when all 257 symbols stand after the empty context."""
+    every = "".join(chr(c) for c in range(128))
+    rows = [(k, every[k:] + "".join(chr(c) for c in range(128, 1000)) + f" {k % 5}") for k in range(12)]
+    check(spark, rows, docs_df(spark, rows), ppm.PpmParams(order))
