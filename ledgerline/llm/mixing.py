@@ -1,13 +1,13 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-The documents of a source are shuffled by hash and cut into blocks.  Block j of
-a source of weight w is released at slot floor((j-1)/w) and due at slot
-ceil(j/w); the earliest due released block takes each slot, so that after any
-number of slots a source is less than one block away from its share.  The
-schedule repeats every ``period`` slots (weights are whole parts of it), so
-one period is scheduled and every block's slot follows by arithmetic.  When a
-source runs out, a new phase begins in which the weights of the others hold.
-Every document comes exactly once.
+The documents of a source are shuffled by hash and cut into blocks.  Ideally
+each source that has blocks left is served at every moment in proportion to its
+exact weight; when one runs out the weights of the others hold.  Block j of a
+source is released in the slot in which that ideal begins to serve it and due
+in the one in which it ends; the earliest due released block takes each slot,
+so that after any number of slots a source is less than one block away from its
+share, over the whole mix.  Weights are taken as exact fractions: nothing is
+rounded to a period.  Every document comes exactly once.
 
 Ranks within a source come from a range partitioning on (source, hash) and the
 row counts of its partitions, so a source of any size is never in one task.
@@ -19,9 +19,10 @@ sources the smallest share one lane; rows that repeat entirely share a place.
 from __future__ import annotations
 
 import math
-from bisect import bisect_left
+from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from fractions import Fraction
 from heapq import heappop, heappush
 
 import pyarrow as pa
@@ -35,7 +36,8 @@ from ledgerline.llm.common import stash
 @dataclass(frozen=True)
 class MixParams:
     """``weights``: target weight by source; a source without one gets its
-    number of documents to the power ``temper``."""
+    number of documents to the power ``temper``; one with weight 0 comes after
+    the others.  ``period`` is accepted and has no effect."""
 
     weights: tuple[tuple[str, float], ...] = ()
     temper: float = 0.5
@@ -45,48 +47,64 @@ class MixParams:
     seed: int = 7
 
 
-def schedule(parts: list[int]) -> list[int]:
-    """The source of each slot of one period (sum of ``parts`` slots)."""
-    total = sum(parts)
-    releases: dict[int, list] = {}
-    for s, k in enumerate(parts):
-        for j in range(1, k + 1):
-            releases.setdefault((j - 1) * total // k, []).append((-(-j * total // k), s, j))
-    ready: list = []
-    out = []
-    for t in range(total):
-        for x in releases.get(t, ()):
-            heappush(ready, x)
-        due, s, _ = heappop(ready)
+def _served(blocks: list[int], parts: list[int]) -> Iterator[int]:
+    """``slot_sources`` for whole positive weights."""
+    ends = sorted((Fraction(n, w), n, w) for n, w in zip(blocks, parts, strict=True))     # when each source runs out
+    gone, weight = [0], [sum(parts)]                       # blocks of the first k to run out, weight of the others
+    for _, n, w in ends:
+        gone.append(gone[-1] + n)
+        weight.append(weight[-1] - w)
+    stops = [e for e, _, _ in ends]
+    phase, block = [0] * len(parts), [0] * len(parts)
+
+    def slot(s: int, j: int) -> tuple[int, int]:
+        """The slot, rounded down and up, by which j blocks of s are ideally served."""
+        k, w = phase[s], parts[s]
+        if k < len(ends) and j * ends[k][2] >= ends[k][1] * w:
+            k = phase[s] = bisect_right(stops, Fraction(j, w), k)
+        return gone[k] + weight[k] * j // w, gone[k] - (-weight[k] * j // w)
+
+    coming = [(0, s) for s in range(len(parts))]
+    ready: list[tuple[int, int]] = []
+    for t in range(sum(blocks)):
+        while coming and coming[0][0] <= t:
+            _, s = heappop(coming)
+            block[s] += 1
+            opens, due = slot(s, block[s])
+            heappush(ready, (due, s))
+            if block[s] < blocks[s]:
+                heappush(coming, (opens, s))
+        due, s = heappop(ready)
         if due <= t:
             raise AssertionError("a deadline is missed")
-        out.append(s)
-    return out
-
-
-def phases(blocks: list[int], weights: list[float], period: int) -> list[list[tuple[int, int, int, list[int]]]]:
-    """For each source its phases: (first block, first slot, period, slots of
-    a period's blocks)."""
-    left, out = list(blocks), [[] for _ in blocks]
-    done, at = [0] * len(blocks), 0
-    while active := [s for s, n in enumerate(left) if n]:
-        total = sum(weights[s] for s in active)
-        parts = [max(1, round(weights[s] / total * period)) for s in active]
-        divisor = reduce(math.gcd, parts)
-        parts = [p // divisor for p in parts]
-        size = sum(parts)
-        slots: list[list[int]] = [[] for _ in active]
-        for t, k in enumerate(schedule(parts)):
-            slots[k].append(t)
-        ends = [(left[s] - 1) // parts[k] * size + slots[k][(left[s] - 1) % parts[k]] + 1 for k, s in enumerate(active)]
-        length = min(ends)
-        for k, s in enumerate(active):
-            out[s].append((done[s], at, size, slots[k]))
-            taken = length // size * parts[k] + bisect_left(slots[k], length % size)
-            done[s] += taken
-            left[s] -= taken
-        at += length
-    return out
+        yield s
+
+
+def slot_sources(blocks: list[int], weights: list[float]) -> Iterator[int]:
+    """The source of each slot of the mix, in memory of the number of sources."""
+    if any(not 0 <= w < math.inf for w in weights):
+        raise ValueError("weights must be finite and not negative")
+    exact = [Fraction(w) for w in weights]
+    scale = math.lcm(*[w.denominator for w in exact])
+    parts = [int(w * scale) for w in exact]
+    for group, of in (([s for s, w in enumerate(parts) if w], parts), ([s for s, w in enumerate(parts) if not w], [1] * len(parts))):
+        group = [s for s in group if blocks[s]]
+        for k in _served([blocks[s] for s in group], [of[s] for s in group]):
+            yield group[k]
+
+
+def schedule(parts: list[int]) -> list[int]:
+    """The source of each slot when every source has as many blocks as its weight."""
+    return list(slot_sources(parts, parts))
+
+
+def phases(blocks: list[int], weights: list[float], period: int = 0) -> list[list[tuple[int, int, int, list[int]]]]:
+    """For each source with blocks one entry: (first block, first slot, slots
+    of the mix, slots of its blocks)."""
+    slots: list[list[int]] = [[] for _ in blocks]
+    for t, s in enumerate(slot_sources(blocks, weights)):
+        slots[s].append(t)
+    return [[(0, 0, sum(blocks), x)] if x else [] for x in slots]
 
 
 LANES = "lane int, phases array<struct<first:long,slot:long,size:long,slots:array<int>>>"

@@ -1,5 +1,6 @@
 import random
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 
@@ -100,3 +101,39 @@ def test_written_files_keep_the_order(spark, tmp_path):
     order = [r.doc_id for r in sorted(rows, key=lambda r: (r.file_name, r.row_index))]
     place = {r.doc_id: (r.slot, r.place) for r in m.positions(docs, m.MixParams(block_docs=2)).collect()}
     assert order == sorted(place, key=place.get)
+
+
+def ideal(blocks, weights):
+    """The exact share of each source after every slot, slot by slot."""
+    left, share = [Fraction(n) for n in blocks], [Fraction(0)] * len(blocks)
+    for _ in range(sum(blocks)):
+        room = Fraction(1)
+        while room:
+            total = sum(w for n, w in zip(left, weights) if n)
+            step = min(room / total, *(n / w for n, w in zip(left, weights) if n))
+            for s, w in enumerate(weights):
+                if left[s]:
+                    left[s] -= step * w
+                    share[s] += step * w
+            room -= step * total
+        yield list(share)
+
+
+@pytest.mark.parametrize("blocks,weights", [([4000, 12000], [0.23256, 0.76744]), ([3, 9000, 7000], [0.0002, 0.4999, 0.4999]),
+                                            ([40, 7, 1, 1, 300, 90], [2 ** 0.5, 0.1, 3.7, 1e-6, 1.0, 1 / 3]), ([50] * 30, [1 / 7] * 30)])
+def test_deviation_from_the_real_weights_over_the_whole_mix(blocks, weights):
+    at, exact = {}, [Fraction(w) for w in weights]
+    for s, ph in enumerate(m.phases(blocks, weights, 1000)):
+        for i, (first, slot, size, slots) in enumerate(ph):
+            for b in range(first, ph[i + 1][0] if i + 1 < len(ph) else blocks[s]):
+                at[slot + (b - first) // len(slots) * size + slots[(b - first) % len(slots)]] = s
+    done = Counter()
+    for t, share in enumerate(ideal(blocks, exact)):
+        done[at[t]] += 1
+        assert all(abs(done[s] - x) < 1 for s, x in enumerate(share))
+
+
+def test_weight_zero_comes_last():
+    assert list(m.slot_sources([3, 2, 2], [1.0, 0.0, 1.0]))[5:] == [1, 1]
+    with pytest.raises(ValueError):
+        list(m.slot_sources([1, 1], [1.0, -0.5]))
