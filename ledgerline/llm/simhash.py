@@ -205,34 +205,50 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components: more rounds are needed")
 
 
-def near_duplicate_groups(docs: DataFrame, shingle: int = 3, max_distance: int = 3,
-                          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, fp (signed) and component (the smallest
-    doc_id of its group)."""
+def _grouped(docs: DataFrame, shingle: int, max_distance: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, fp, root, component) of every row; root tells the groups apart
+    where ids repeat and two groups have the same name."""
     fps = stash(fingerprints(docs, shingle, id_col, text_col), "simhash-fp")
     nodes = stash(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
     found = components(links(nodes, max_distance)).withColumnRenamed("node", "fp")
     grouped = nodes.join(found, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     names = grouped.groupBy("root").agg(F.min("least").alias("component"))
-    label = grouped.join(names, "root").select("fp", "component")
-    return fps.join(label, "fp").select("doc_id", "fp", "component")
+    label = grouped.join(names, "root").select("fp", "root", "component")
+    return fps.join(label, "fp").select("doc_id", "fp", "root", "component")
+
+
+def near_duplicate_groups(docs: DataFrame, shingle: int = 3, max_distance: int = 3,
+                          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, fp (signed) and component (the smallest
+    doc_id of its group)."""
+    return _grouped(docs, shingle, max_distance, id_col, text_col).select("doc_id", "fp", "component")
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, max_distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each near-duplicate group: the one with
-    the smallest id (one of its rows, if they repeat).  A group without any id
-    keeps all its rows, for nothing names one of them."""
-    groups = near_duplicate_groups(docs, shingle, max_distance, id_col, text_col)
-    keep = groups.where("doc_id = component").select(F.col("doc_id").alias("_keep")).distinct()
+    the smallest id (one of its rows, if they repeat; of different texts under
+    that id, one with the smallest fingerprint).  A group without any id keeps
+    all its rows, for nothing names one of them."""
+    groups = _grouped(docs, shingle, max_distance, id_col, text_col)
+    chosen = groups.where("doc_id = component").groupBy("root").agg(F.min("component").alias("_keep"), F.min("fp").alias("_keep_fp"))
+    # ids of several fingerprints: there the id alone doesn't name the document
+    several = groups.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b").select(F.col("doc_id").alias("_id"))
+    keep = stash(chosen.join(several, F.col("_keep") == F.col("_id"), "left")
+                 .select("_keep", "_keep_fp", F.col("_id").isNotNull().alias("_several")), "simhash-keep")
     unnamed = groups.where("component IS NULL").select(F.col("fp").alias("_keep")).distinct()
-    kept = docs.join(keep, F.col(id_col) == F.col("_keep"), "left_semi").dropDuplicates([id_col])
-    if unnamed.isEmpty():
-        return kept
+    kept = docs.join(keep.where("NOT _several"), F.col(id_col) == F.col("_keep"), "left_semi").dropDuplicates([id_col])
 
     @F.pandas_udf("long")
     def fp(text: pd.Series) -> pd.Series:
         return pd.Series([np.uint64(fingerprint((t or "").encode(), shingle)).astype(np.int64) for t in text])
 
+    clashing = keep.where("_several")
+    if not clashing.isEmpty():
+        rows = docs.join(clashing.select("_keep"), F.col(id_col) == F.col("_keep"), "left_semi").withColumn("_fp", fp(F.col(text_col)))
+        kept = kept.unionByName(rows.join(clashing, (F.col(id_col) == F.col("_keep")) & (F.col("_fp") == F.col("_keep_fp")), "left_semi")
+                                .dropDuplicates([id_col, "_fp"]).drop("_fp"))
+    if unnamed.isEmpty():
+        return kept
     rest = docs.where(F.col(id_col).isNull()).withColumn("_fp", fp(F.col(text_col)))
     return kept.unionByName(rest.join(unnamed, F.col("_fp") == F.col("_keep"), "left_semi").drop("_fp"))
 

@@ -94,3 +94,10 @@ def test_keep_one(spark):
     rows = [(3, "a b c d"), (1, "a b c d"), (1, "a b c d"), (2, "something else entirely here"), (None, "a b c d"), (None, "no id here")]
     kept = s.keep_one(docs_df(spark, rows)).select("doc_id", "text").collect()
     assert sorted((tuple(r) for r in kept), key=str) == [(1, "a b c d"), (2, "something else entirely here"), (None, "no id here")]
+
+
+def test_keep_one_where_ids_clash(spark):
+    x, y, z = "first text about one thing only", "another passage on wholly different matters", "third words that match nothing else here"
+    rows = [(4, x), (4, y), (4, y), (3, y), (9, x), (4, z), (7, "alone with its own id")]
+    kept = s.keep_one(docs_df(spark, rows)).select("doc_id", "text").collect()
+    assert sorted(tuple(r) for r in kept) == sorted([(4, x), (3, y), (4, z), (7, "alone with its own id")])
