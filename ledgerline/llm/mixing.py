@@ -11,9 +11,12 @@ rounded to a period.  Every document comes exactly once.
 
 Ranks within a source come from a range partitioning on (source, hash) and the
 row counts of its partitions, so a source of any size is never in one task.
+The slots come from one task that reads a row per source and writes a row per
+block; the documents are joined to them.  Every source, however small, has a
+schedule of its own.
 
-Defined cases: a NULL source is a source of its own; beyond ``max_lanes``
-sources the smallest share one lane; rows that repeat entirely share a place.
+Defined cases: a NULL source is a source of its own; rows that repeat entirely
+share a place.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
 from heapq import heappop, heappush
+from itertools import islice
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -37,7 +41,7 @@ from ledgerline.llm.common import stash
 class MixParams:
     """``weights``: target weight by source; a source without one gets its
     number of documents to the power ``temper``; one with weight 0 comes after
-    the others.  ``period`` is accepted and has no effect."""
+    the others.  ``period`` and ``max_lanes`` are accepted and have no effect."""
 
     weights: tuple[tuple[str, float], ...] = ()
     temper: float = 0.5
@@ -107,29 +111,38 @@ def phases(blocks: list[int], weights: list[float], period: int = 0) -> list[lis
     return [[(0, 0, sum(blocks), x)] if x else [] for x in slots]
 
 
-LANES = "lane int, phases array<struct<first:long,slot:long,size:long,slots:array<int>>>"
+def block_slots(counts: DataFrame, params: MixParams) -> DataFrame:
+    """(lane, block, slot) of every block; ``counts``: lane, source and n, the
+    number of documents, a row per source."""
+    given = dict(params.weights)
+
+    def run(batches):
+        rows = [r for rb in batches for r in rb.to_pylist()]
+        rows.sort(key=lambda r: (-r["n"], r["source"] is not None, r["source"] or ""))
+        blocks = [-(-r["n"] // params.block_docs) for r in rows]
+        weights = [given.get(r["source"], r["n"] ** params.temper) for r in rows]
+        lanes, done, at = pa.array([r["lane"] for r in rows], pa.string()), [0] * len(rows), 0
+        slots = slot_sources(blocks, weights)
+        while part := list(islice(slots, 1 << 16)):
+            block = []
+            for s in part:
+                block.append(done[s])
+                done[s] += 1
+            yield pa.RecordBatch.from_arrays([lanes.take(pa.array(part)), pa.array(block, pa.int64()), pa.array(range(at, at + len(part)), pa.int64())],
+                                             ["lane", "block", "slot"])
+            at += len(part)
+
+    return counts.select("lane", "source", "n").repartition(1).mapInArrow(run, "lane string, block long, slot long")
 
 
 def positions(docs: DataFrame, params: MixParams = MixParams(), id_col: str = "doc_id", text_col: str = "text",
               source_col: str = "source") -> DataFrame:
     """(doc_id, key, source, block, slot, place): ``key`` is the hash that
     tells apart the texts of one id, (slot, place) the order of the mix."""
-    spark = docs.sparkSession
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"),
                         F.col(source_col).cast("string").alias("source")).dropDuplicates()
     named = stash(named, "mix-rows")
-    counts = named.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.orderBy(F.col("n").desc(), F.col("source").asc_nulls_first()).limit(params.max_lanes).collect()
-    rest = named.count() - sum(r.n for r in top)
-    sizes = [r.n for r in top] + ([rest] if rest else [])
-    given = dict(params.weights)
-    weights = [given.get(r.source, r.n ** params.temper) for r in top] + ([rest ** params.temper] if rest else [])
-    blocks = [-(-n // params.block_docs) for n in sizes]
-    plan = phases(blocks, weights, max(params.period, 4 * len(sizes)))
-    lanes = spark.createDataFrame([(k, p) for k, p in enumerate(plan)], LANES)          # at most max_lanes + 1 rows
-    ids = spark.createDataFrame([(r.source, k) for k, r in enumerate(top)], "l_source string, lane int")
-    laned = named.join(F.broadcast(ids), F.col("source").eqNullSafe(F.col("l_source")), "left") \
-        .withColumn("lane", F.coalesce("lane", F.lit(len(top)))).drop("l_source") \
+    laned = named.withColumn("lane", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))) \
         .withColumn("h", F.xxhash64(F.lit(params.seed), "doc_id", "key"))
     order = ["lane", "h", "doc_id", "key"]
     dealt = laned.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -146,17 +159,16 @@ def positions(docs: DataFrame, params: MixParams = MixParams(), id_col: str = "d
             yield pa.RecordBatch.from_arrays([*keep, pa.array([part] * rb.num_rows, pa.int32()), pa.array(at, pa.int64())],
                                              ["doc_id", "key", "source", "lane", "part", "at"])
 
-    numbered = stash(dealt.mapInArrow(number, "doc_id long, key long, source string, lane int, part int, at long"), "mix-numbers")
+    numbered = stash(dealt.mapInArrow(number, "doc_id long, key long, source string, lane string, part int, at long"), "mix-numbers")
     # rows of a lane in earlier partitions: a table of at most (partitions + lanes) rows
-    parts = numbered.groupBy("lane", "part").agg(F.count(F.lit(1)).alias("n"))
+    parts = numbered.groupBy("lane", "source", "part").agg(F.count(F.lit(1)).alias("n"))
     before = parts.select("lane", "part", F.coalesce(F.sum("n").over(
         Window.partitionBy("lane").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     ranked = numbered.join(before, ["lane", "part"]).withColumn("rank", F.col("at") + F.col("before")) \
-        .withColumn("block", F.floor(F.col("rank") / params.block_docs)).join(F.broadcast(lanes), "lane")
-    x = ranked.withColumn("p", F.element_at(F.filter("phases", lambda p: p["first"] <= F.col("block")), -1)) \
-        .withColumn("k", F.col("block") - F.col("p.first")).withColumn("n", F.size("p.slots"))
-    slot = F.col("p.slot") + F.floor(F.col("k") / F.col("n")) * F.col("p.size") + F.get(F.col("p.slots"), (F.col("k") % F.col("n")).cast("int"))
-    return x.select("doc_id", "key", "source", "block", slot.cast("long").alias("slot"), (F.col("rank") % params.block_docs).alias("place"))
+        .withColumn("block", F.floor(F.col("rank") / params.block_docs))
+    slots = stash(block_slots(parts.groupBy("lane", "source").agg(F.sum("n").alias("n")), params), "mix-slots")
+    return ranked.join(slots, ["lane", "block"]).select(
+        "doc_id", "key", "source", "block", "slot", (F.col("rank") % params.block_docs).alias("place"))
 
 
 def mix(docs: DataFrame, params: MixParams = MixParams(), id_col: str = "doc_id", text_col: str = "text",

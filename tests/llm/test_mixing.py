@@ -137,3 +137,12 @@ def test_weight_zero_comes_last():
     assert list(m.slot_sources([3, 2, 2], [1.0, 0.0, 1.0]))[5:] == [1, 1]
     with pytest.raises(ValueError):
         list(m.slot_sources([1, 1], [1.0, -0.5]))
+
+
+def test_every_one_of_many_sources_has_its_own_schedule(spark):
+    rows = [(k, f"t{k}", f"s{k % 650}" if k < 1500 else "big") for k in range(1700)] + [(5000, "x", "tiny"), (5001, "y", "tiny")]
+    params = m.MixParams(weights=(("tiny", 1000.0),), block_docs=1)
+    docs = small(spark, rows)
+    found = got(docs, params)
+    assert found == brute(hashed(docs, params), params)
+    assert max(slot for _, s, _, slot, _ in found if s == "tiny") < 5
