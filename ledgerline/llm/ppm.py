@@ -32,6 +32,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -200,12 +201,12 @@ def _codes(raw: list[bytes], order: int) -> Iterator[tuple[int, int, np.ndarray,
 
 def _distinct_codes(raw: list[bytes], held: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """The texts' distinct codes in order, and their counts in the training texts."""
-    found, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    found, counts = [np.zeros(0, np.int64)], [np.zeros(0)]
     for at, stop, code, first in _codes(raw, order):
         size = np.diff(np.append(first, len(code)))
-        marked, n = np.unique(code << 1 | np.repeat(held[at:stop], size), return_counts=True)
-        found.append(marked >> 1)
-        counts.append(np.where(marked & 1, 0, n))
+        where, codes = pd.factorize(code)
+        found.append(codes)
+        counts.append(np.bincount(where, np.repeat(1 - held[at:stop], size), len(codes)))
     codes, where = np.unique(np.concatenate(found), return_inverse=True)
     return codes, np.bincount(where, np.concatenate(counts), len(codes)).astype(np.int64)
 
@@ -298,17 +299,19 @@ def score(docs: DataFrame, params: PpmParams = PpmParams(), id_col: str = "doc_i
     words = word_counts(found)
     n, v = words.where("lead").agg(F.sum("c"), F.sum((F.col("c") > 0).cast("long"))).first()
     n, v = int(n or 0), int(v or 0)
-    looked_up = words.select("chunk", "place", "c", F.lit(None).cast("double").alias("logp"))
+    looked_up = words.select("chunk", F.col("place").cast("long").alias("place"), "c", F.lit(None).cast("double").alias("logp"))
     if whole:
-        looked_up = looked_up.unionByName(found.where("code IS NOT NULL").select("chunk", "place", "code").join(settled(found, params.order), "code")
-                                          .select("chunk", "place", F.lit(None).cast("long").alias("c"), "logp"))
+        looked_up = looked_up.unionByName(found.where("code IS NOT NULL").select("chunk", "code").join(settled(found, params.order), "code")
+                                          .select("chunk", F.col("code").alias("place"), F.lit(None).cast("long").alias("c"), "logp"))
 
-    def ppm_scores(raw: list[bytes], logp: np.ndarray) -> np.ndarray:
+    def ppm_scores(raw: list[bytes], codes: np.ndarray, logp: np.ndarray) -> np.ndarray:
         if not whole:
             return np.concatenate([model.value.score(raw[k:k + 256]) for k in range(0, len(raw), 256)] or [np.zeros(0)])
-        codes, _ = _distinct_codes(raw, np.zeros(len(raw), np.int64), params.order)
-        return np.concatenate([np.add.reduceat(logp[np.searchsorted(codes, code)], first)
-                               for _, _, code, first in _codes(raw, params.order)] or [np.zeros(0)])
+        out = [np.zeros(0)]
+        for _, _, code, first in _codes(raw, params.order):
+            where, distinct = pd.factorize(code)
+            out.append(np.add.reduceat(logp[np.searchsorted(codes, distinct)][where], first))
+        return np.concatenate(out)
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         raw = [t.translate(LOWER) for t in docs.column("text").cast(pa.binary()).to_pylist()]
@@ -316,9 +319,9 @@ def score(docs: DataFrame, params: PpmParams = PpmParams(), id_col: str = "doc_i
         words = found.filter(pc.is_valid(found.column("c")))
         c = np.zeros(len(distinct), np.int64)
         c[words.column("place").to_numpy()] = words.column("c").to_numpy()
-        codes = found.filter(pc.is_valid(found.column("logp")))
-        logp = np.zeros(codes.num_rows)
-        logp[codes.column("place").to_numpy()] = codes.column("logp").to_numpy()
+        coded = found.filter(pc.is_valid(found.column("logp")))
+        codes, logp = coded.column("place").to_numpy(), coded.column("logp").to_numpy()
+        by = np.argsort(codes)
         at = {w: k for k, w in enumerate(distinct)}
         logs = np.log10((c + 1.0) / (n + (v + 1)))
         tokens, known, base = [], [], []
@@ -328,7 +331,7 @@ def score(docs: DataFrame, params: PpmParams = PpmParams(), id_col: str = "doc_i
             tokens.append(len(d) + 1)
             known.append(int((c[ids] > 0).sum()) + int(c[0] > 0))
             base.append(float(logs[ids].sum() + logs[0]))
-        ppm = ppm_scores(raw, logp) / np.log(10)
+        ppm = ppm_scores(raw, codes[by], logp[by]) / np.log(10)
         return pa.table({"doc_id": docs.column("doc_id").cast(pa.int64()), "held_out": docs.column("held_out"),
                          "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(known, pa.int64()),
                          "train_tokens": pa.array([n] * len(raw), pa.int64()), "base_score": pa.array(base, pa.float64()),
