@@ -1,0 +1,91 @@
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from ledgerline.llm import minhash as m
+from ledgerline.llm.common import documents
+from tests.llm.util import SF, TOKEN, docs_df, low
+
+
+def brute(rows, percent=80, shingle=4):
+    """(doc_id, n_shingles, component_id, kept) by comparing every pair of sets."""
+    sets = []
+    for _, t in rows:
+        w = TOKEN.findall(low(t))
+        sets.append({tuple(w[k:k + shingle]) for k in range(max(1, len(w) - shingle + 1))} if w else set())
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and group[i] != group[j] and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                group = [group[j] if g == group[i] else g for g in group]
+    least = {}
+    for (i, _), g in zip(rows, group, strict=True):
+        least[g] = min((x for x in (least.get(g), i) if x is not None), default=None)
+    return Counter((i, len(x), least[g], i == least[g]) for (i, _), x, g in zip(rows, sets, group, strict=True))
+
+
+def got(df, **kw):
+    return Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in m.near_duplicates(df, **kw).collect())
+
+
+def near_copies(seed, bases, copies, words, edits):
+    """Texts around a few bases, each copy with some words replaced."""
+    rnd = random.Random(seed)
+    rows = []
+    for b in range(bases):
+        base = [f"w{rnd.randrange(500)}" for _ in range(words)]
+        for _ in range(copies):
+            t = list(base)
+            for _ in range(rnd.randrange(edits + 1)):
+                t[rnd.randrange(words)] = f"e{rnd.randrange(10**6)}"
+            rows.append((len(rows) * 7 % 1009, " ".join(t)))
+    return rows
+
+
+def test_against_brute_force_on_the_table(spark):
+    docs = documents(spark, SF)
+    want = brute([(r.doc_id, r.text) for r in docs.collect()])
+    assert got(docs) == want
+    assert any(not kept for *_, kept in want)
+
+
+def test_cases(spark):
+    long = " ".join(f"v{k}" for k in range(60000))
+    rows = [(1, "A b c d e"), (2, "a B c d E"), (2, "other words are here now"), (None, "a b\tc d e"), (5, None), (6, ""), (6, ""),
+            (7, " \n"), (None, "alone with no id at all"), (None, "alone with no id at all"), (8, "one"), (9, "ONE"), (10, long), (3, long + " x"),
+            (None, None), (12, "é Ü ñ ß"), (13, "word " * 500), (14, "word word word word")]
+    assert got(docs_df(spark, rows)) == brute(rows)
+
+
+def test_empty(spark):
+    assert got(docs_df(spark, [])) == Counter()
+    assert m.query(docs_df(spark, [])).columns == ["doc_id", "n_shingles", "component_id", "kept"]
+
+
+@pytest.mark.parametrize("few,block,stars", [(32, 2048, 3), (2, 8, 1), (2, 8, 0), (4, 2048, 0)])
+def test_large_groups_around_the_threshold(spark, monkeypatch, few, block, stars):
+    for name, value in (("FEW", few), ("BLOCK", block), ("STARS", stars)):
+        monkeypatch.setattr(m, name, value)
+    rows = near_copies(few + block + stars, 3, 60, 120, 12)
+    want = brute(rows)
+    assert got(docs_df(spark, rows)) == want
+    assert 3 < len({c for _, _, c, _ in want}) < len(rows)
+
+
+def test_other_parameters(spark):
+    rows = near_copies(5, 4, 20, 80, 8)
+    assert got(docs_df(spark, rows), shingle=2, percent=90) == brute(rows, 90, 2)
+
+
+def test_posterior_bound():
+    """The batches give up a pair only below the miss probability: of pairs at
+    the threshold none goes in 20,000 draws, of unlike ones nearly all do."""
+    least, rnd = m.least_equal(), np.random.default_rng(1)
+    shape = (20_000, m.BATCH * m.BATCHES)
+    zero = np.zeros(shape, np.uint8)
+    assert len(m.survivors(zero, (rnd.random(shape) >= 0.8).astype(np.uint8), least)[0]) == shape[0]
+    assert len(m.survivors(zero, (rnd.random(shape) >= 0.4).astype(np.uint8), least)[0]) < 20
+    assert least == sorted(least)
