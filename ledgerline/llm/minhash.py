@@ -17,8 +17,9 @@ bucket.  First every node meets its buckets' pivots (a linear number of
 pairs) and its most similar pivot is confirmed; the links found are
 contracted, and the rounds repeat with other pivots.  What is left is pairs
 between different groups inside one bucket: small buckets are joined row by
-row, large ones go as pairs of blocks to tasks that return survivors only.
-Every such pair is examined; none is capped or sampled.
+row; in large ones the nodes outside the bucket's largest group meet its
+nodes block by block, in tasks that return links only.  Every such pair is
+examined, once; none is capped or sampled.
 
 Defined cases: a text without words (or NULL) has no set and is linked with
 nothing; its component is its own id.  A row without an id links like any
@@ -47,7 +48,7 @@ BATCH, BATCHES = 16, 8    # minima of a signature
 MISS = 1e-6               # posterior probability at which a candidate is given up, over all batches
 FEW = 32                  # nodes of a bucket that are joined row by row
 BLOCK = 2048              # nodes of one block of a larger bucket
-STARS = 3                 # rounds of pivots before the pairs that are left
+STARS = 2                 # rounds of pivots before the pairs that are left
 WORDS_KEPT = 200_000      # hashes of words that a task remembers
 
 _RNG = np.random.default_rng(12)
@@ -198,60 +199,79 @@ def _sizes_fit(x: str, y: str, percent: int):
     return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
 
-def _blocks(live: DataFrame, sigs: DataFrame, percent: int, miss: float) -> DataFrame:
-    """Survivors between different groups in buckets of many nodes: each pair
-    of blocks is a task's work, a node's row in it carries its signature."""
+def _large(live: DataFrame, nodes: DataFrame, bodies: DataFrame, shingle: int, percent: int, miss: float) -> DataFrame:
+    """Links between different groups in buckets of many nodes.
+
+    In a bucket only nodes outside its largest group can lack a link, so a
+    task compares a block of those with a block of the bucket's nodes.  It
+    holds their signatures and texts, examines a pair in the first band that
+    the pair shares only, most similar first, and returns links that connect
+    groups not connected before (a forest), never all pairs."""
     least = least_equal(percent, miss)
-    cut = live.withColumn("blocks", F.ceil(F.col("held") / F.lit(BLOCK)).cast("int"))
-    cut = cut.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    cut = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "key", "node", "n", "root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
-        (F.col("own") <= F.col("other")).alias("left")).join(sigs, "node")
+    sizes = live.groupBy("key", "root").agg(F.count(F.lit(1)).alias("in_group"))
+    main = sizes.groupBy("key").agg(F.max_by("root", F.struct("in_group", "root")).alias("main"),
+                                    (F.sum("in_group") - F.max("in_group")).alias("outside"))
+    rows = live.join(main, "key").withColumns({
+        "out": F.col("root") != F.col("main"), "mblocks": F.ceil(F.col("held") / F.lit(BLOCK)).cast("int"),
+        "oblocks": F.ceil(F.col("outside") / F.lit(BLOCK)).cast("int")})
+    h = F.xxhash64("node")
+    every = rows.select("key", "node", "root", "out", F.lit(False).alias("asks"), F.pmod(h, F.col("mblocks")).cast("int").alias("m"),
+                        F.explode(F.sequence(F.lit(0), F.col("oblocks") - 1)).alias("o"))
+    asks = rows.where("out").select("key", "node", "root", "out", F.lit(True).alias("asks"),
+                                    F.explode(F.sequence(F.lit(0), F.col("mblocks") - 1)).alias("m"),
+                                    F.pmod(h, F.col("oblocks")).cast("int").alias("o"))
+    cut = every.unionByName(asks.select(every.columns)).join(nodes.select("node", "n", "sig", "keys"), "node").join(bodies, "node")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n", kind="stable").reset_index(drop=True)
-        sig, n = _matrix(pdf.sig), pdf.n.to_numpy()
-        group = pdf.root.factorize()[0]
-        left = pdf.left.to_numpy() if pdf.lo.iloc[0] != pdf.hi.iloc[0] else None
+        key, words, unpack, sets = pdf.key.iloc[0], _Words(), zstandard.ZstdDecompressor(), {}
+        asked, every = (pdf[pdf.asks == x].reset_index(drop=True) for x in (True, False))
+
+        def full(node, packed):
+            if node not in sets:
+                sets[node] = shingle_set(unpack.decompress(packed), words, shingle)
+            return sets[node]
+
+        label = pd.concat([asked.root, every.root]).factorize()[0]
+        sig, keys, n = _matrix(every.sig), np.array(every["keys"].tolist()).reshape(-1, BANDS), every.n.to_numpy()
         out = []
-        for i in range(len(n)):
-            end = int(np.searchsorted(n * percent, n[i] * 100, "right"))
-            near = np.arange(i + 1, end)
-            near = near[group[near] != group[i]]
-            if left is not None:
-                near = near[left[near] != left[i]]
-            kept, equal = survivors(np.broadcast_to(sig[i], (len(near), sig.shape[1])), sig[near], least)
-            out += [(*sorted((pdf.node[i], pdf.node[j])), e) for j, e in zip(near[kept].tolist(), equal.tolist(), strict=True)]
-        return pd.DataFrame(out, columns=["a", "b", "equal"])
+        for i, row in enumerate(asked.itertuples(index=False)):
+            near = np.flatnonzero((np.minimum(n, row.n) * 100 >= np.maximum(n, row.n) * percent) & (label[len(asked):] != label[i])
+                                  & (~every.out.to_numpy() | (every.node.to_numpy() > row.node)))
+            mine = np.array(row.keys)
+            near = near[mine[(keys[near] == mine).argmax(1)] == key]
+            kept, equal = survivors(np.broadcast_to(np.frombuffer(row.sig, np.uint8), (len(near), sig.shape[1])), sig[near], least)
+            for j in near[kept[np.argsort(-equal, kind="stable")]].tolist():
+                if label[len(asked) + j] == label[i]:
+                    continue
+                x, y = full(row.node, row.packed), full(every.node[j], every.packed[j])
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * shared >= percent * (len(x) + len(y) - shared):
+                    out.append((row.node, every.node[j]))
+                    label[label == label[i]] = label[len(asked) + j]
+        return pd.DataFrame(out, columns=["a", "b"])
 
-    return cut.groupBy("key", "lo", "hi").applyInPandas(run, "a binary, b binary, equal long")
+    return cut.groupBy("key", "m", "o").applyInPandas(run, "a binary, b binary")
 
 
-def _links(nodes: DataFrame, bodies_of, shingle: int, percent: int, miss: float) -> DataFrame | None:
-    """(a, b): confirmed links with the connected components of all links."""
+def _roots(nodes: DataFrame, bodies_of, shingle: int, percent: int, miss: float) -> DataFrame:
+    """(node, root) of every node that has a link."""
     every = nodes.select("node", "n", F.explode("keys").alias("key"))
     shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("key")
-    entries = stash(every.join(shared, "key"), "minhash-buckets", "lz4")
+    rows = stash(every.join(shared, "key").withColumn("root", F.col("node")), "minhash-buckets", "lz4")
     sigs = nodes.select("node", "sig")
-    bodies = stash(bodies_of(entries.select("node").distinct()), "minhash-texts")
-    links = None
-
-    def grouped() -> DataFrame:
-        """Entries of the buckets that hold several groups."""
-        rows = entries.withColumn("root", F.col("node"))
-        if links is not None:
-            rows = entries.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        return stash(rows, "minhash-entries", "lz4")
-
-    def add(fresh: DataFrame) -> bool:
-        nonlocal links
+    bodies = stash(bodies_of(rows.select("node").distinct()), "minhash-texts")
+    links = roots = None
+
+    def contract(fresh: DataFrame) -> bool:
+        """Adds links; True if there were any."""
+        nonlocal links, roots
         fresh = stash(fresh, "minhash-links")
         if fresh.isEmpty():
             return False
         links = fresh if links is None else links.unionByName(fresh)
+        roots = components(links)
         return True
 
-    rows = grouped()
     for k in range(STARS):
         order = F.xxhash64("node", F.lit(k))
         pivots = rows.groupBy("key").agg(F.min(F.struct(order.alias("o"), "node", "n", "root")).alias("p"),
@@ -262,19 +282,18 @@ def _links(nodes: DataFrame, bodies_of, shingle: int, percent: int, miss: float)
         # of a node's pivots the most similar one, for each end of a pair
         ends = likely.select(F.explode(F.array("a", "b")).alias("x"), "a", "b", "equal")
         best = ends.groupBy("x").agg(F.max(F.struct("equal", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
-        if not add(confirmed(best, bodies, shingle, percent)):
+        if not contract(confirmed(best, bodies, shingle, percent)):
             break
-        rows = grouped()
-    # the pairs that are left, between different groups
-    open_ = rows.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    live = stash(rows.join(open_.select("key", "held"), "key"), "minhash-open", "lz4")
+        rows = stash(rows.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "minhash-buckets", "lz4")
+    # the pairs that are left, between different groups of a bucket
+    several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("root").alias("low"), F.max("root").alias("high"))
+    live = stash(rows.join(several.where("low < high").select("key", "held"), "key"), "minhash-open", "lz4")
     x, y = live.where(F.col("held") <= FEW).alias("x"), live.where(F.col("held") <= FEW).alias("y")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
                    & _sizes_fit("x.n", "y.n", percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    left = bayes(pairs, sigs, percent, miss).unionByName(_blocks(live.where(F.col("held") > FEW), sigs, percent, miss))
-    left = stash(left.groupBy("a", "b").agg(F.max("equal").alias("equal")), "minhash-left")
-    add(confirmed(left, bodies, shingle, percent))
-    return links
+    left = confirmed(bayes(pairs, sigs, percent, miss), bodies, shingle, percent)
+    contract(left.unionByName(_large(live.where(F.col("held") > FEW), nodes, bodies, shingle, percent, miss)))
+    return roots if roots is not None else nodes.select("node", F.col("node").alias("root")).limit(0)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, miss: float = MISS,
@@ -287,12 +306,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     def bodies_of(wanted: DataFrame) -> DataFrame:
         return full.groupBy("node").agg(F.min("packed").alias("packed")).join(wanted, "node", "left_semi")
 
-    links = _links(nodes, bodies_of, shingle, percent, miss)
-    ids = full.groupBy("node").agg(F.min("doc_id").alias("least"))
-    if links is not None:
-        ids = ids.join(components(links), "node", "left")
-    else:
-        ids = ids.withColumn("root", F.lit(None).cast("binary"))
+    roots = _roots(nodes, bodies_of, shingle, percent, miss)
+    ids = full.groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left")
     ids = stash(ids.select("node", "least", F.coalesce("root", "node").alias("root")), "minhash-roots")
     names = ids.select("node", "root").join(ids.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
     out = table.select("doc_id", "n", "node").join(names, "node", "left")
