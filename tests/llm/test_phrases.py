@@ -1,0 +1,97 @@
+import re
+from collections import Counter
+
+import duckdb
+import pytest
+
+from ledgerline.llm import phrases as p
+from ledgerline.llm.common import documents
+from tests.llm.util import SF, low
+
+
+def brute(rows, least=100, top=2000, longest=5):
+    """Rows of the result from (text, lang) rows, by the rule's own words."""
+    f, n = {}, Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\x0a-\x0d]", low(text)):
+            w = re.findall("[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            for k in range(1, longest + 1):
+                for i in range(len(w) - k + 1):
+                    f[lang, tuple(w[i:i + k])] = f.get((lang, tuple(w[i:i + k])), 0) + 1
+    cand = {x: a for x, a in f.items() if a >= least and len(x[1]) > 1}
+    covered = Counter()
+    for (lang, w), a in cand.items():
+        for size in range(2, len(w)):
+            for i in range(len(w) - size + 1):
+                covered[lang, w[i:i + size]] = max(covered[lang, w[i:i + size]], a)
+    out = {}
+    for (lang, w), a in cand.items():
+        if covered[lang, w] >= a:
+            continue
+        cuts = [(1000 * a * n[lang] // (f[lang, w[:k]] * f[lang, w[k:]]), k) for k in range(1, len(w))]
+        score, k = min(cuts)
+        out.setdefault(lang, []).append((-score, -a, " ".join(w).encode(), f[lang, w[:k]], f[lang, w[k:]]))
+    return {(lang, i, x[2].decode(), -x[1], x[3], x[4], n[lang], -x[0]) for lang, xs in out.items() for i, x in enumerate(sorted(xs)[:top], 1)}
+
+
+COLUMNS = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+
+
+def got(df):
+    assert df.columns == COLUMNS
+    return {tuple(r) for r in df.collect()}
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, lang, 1, "x") for i, (t, lang) in enumerate(rows)], "doc_id long, text string, lang string, k int, phrase string")
+
+
+def test_against_brute_force_on_the_table(spark):
+    docs = documents(spark, SF)
+    rows = [(r.text, r.lang) for r in docs.collect()]
+    assert got(p.collocations(docs, least=8, top=40)) == brute(rows, 8, 40)
+    assert got(p.query(docs)) == brute(rows)
+
+
+def test_oracle_sql(spark):
+    docs = documents(spark, SF)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    assert {tuple(r) for r in con.execute(p.oracle_sql(8, 40)).fetchall()} == got(p.collocations(docs, least=8, top=40))
+
+
+CASES = [("New York\tcity is big. New york CITY", "en"), ("new york city", "en"), ("new york; city", None), ("", "en"), (None, "en"), (None, None),
+         (" \t ", "de"), ("a a a a a a a", "en"), ("Straße Ñandú  straße Ñandú\x0bstraße ñandú", "de"), ("x\r\ny x y\x0cx y", "und"), ("\x00 b \x00 b", "en"),
+         ("w " * 30_000, "fr"), ("new york city", "en")]
+
+
+@pytest.mark.parametrize("least,top", [(2, 2000), (1, 3), (3, 5)])
+def test_cases(spark, least, top):
+    assert got(p.collocations(frame(spark, CASES), least=least, top=top)) == brute(CASES, least, top)
+
+
+@pytest.mark.parametrize("chunk,bits", [(16, 1 << 25), (1 << 20, 32768)])
+def test_small_chunks_and_a_crowded_bitmap(spark, monkeypatch, chunk, bits):
+    """Chunks of one document, and a bitmap whose bits many groups share."""
+    monkeypatch.setattr(p, "CHUNK", chunk)
+    monkeypatch.setattr(p, "BITS", bits)
+    docs = documents(spark, SF)
+    rows = [(r.text, r.lang) for r in docs.collect()]
+    assert got(p.collocations(docs, least=12)) == brute(rows, 12)
+
+
+def test_empty_and_short(spark):
+    assert got(p.query(frame(spark, []))) == set()
+    assert got(p.query(frame(spark, CASES[:4]))) == set()
+    assert got(p.collocations(frame(spark, CASES), least=2, longest=2)) == brute(CASES, 2, 2000, 2)
+
+
+def test_products_beyond_64_bits(spark):
+    """The score is exact where its products pass 64 bits."""
+    from pyspark.sql import functions as F
+    big = spark.range(1).select(F.lit(10**13 + 7).alias("a"), F.lit(10**14 + 3).alias("n"), F.lit(10**13 + 9).alias("l"), F.lit(10**13 + 11).alias("r"))
+    above = F.lit(1000).cast("decimal(4,0)") * (p._whole(F.col("a")) * p._whole(F.col("n")))
+    below = p._whole(F.col("l")) * p._whole(F.col("r"))
+    assert big.select(((above - above % below) / below).cast("long")).first()[0] == 1000 * (10**13 + 7) * (10**14 + 3) // ((10**13 + 9) * (10**13 + 11))
