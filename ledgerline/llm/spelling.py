@@ -39,7 +39,8 @@ NOISE = 199
 LETTERS, OCCURRENCES, RATIO = 6, 5, 5
 COARSE, GROUPS = 3, 26    # letter groups by code point modulo GROUPS; COARSE ranges of them
 BLOCK = 50_000            # words of one task
-LEAF = 48                 # words of a node that are compared at once
+LEAF = 128                # words of a node that are compared at once
+WIDE = 40                 # code points up to which pairs are verified as rows of a matrix
 HELD = 500_000            # distinct words that a task counts before it passes them on
 
 
@@ -102,31 +103,71 @@ def _levels(codes: list[bytes]) -> np.ndarray:
     return out.astype(np.int8 if not len(out) or out.max() < 60 else np.int32)
 
 
+def _marks(levels: np.ndarray) -> np.ndarray:
+    """64 bits of a word's counts (at least 1, at least 2, the first groups'
+    at least 3): each surplus or deficit of one changes one bit at most."""
+    seen = np.concatenate((levels >= 1, levels >= 2, levels[:, :64 - 2 * GROUPS] >= 3), axis=1)
+    return np.ascontiguousarray(np.packbits(seen, axis=1, bitorder="little")).view(np.uint64)[:, 0]
+
+
 def one_edit(a: bytes, b: bytes) -> bool:
     """b is a with one code point replaced or inserted (len(a) <= len(b))."""
     i = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
     return a != b and (a[i + 1:] == b[i + 1:] if len(a) == len(b) else len(a) + 1 == len(b) and a[i:] == b[i + 1:])
 
 
+def _matrix(codes: list[bytes]) -> np.ndarray:
+    """The words' code points, a row each, cut at WIDE and padded with zeros."""
+    size = np.minimum(np.fromiter(map(len, codes), np.int64, len(codes)), WIDE)
+    out = np.zeros((len(codes), int(size.max()) + 2), np.uint8)
+    out[np.arange(out.shape[1]) < size[:, None]] = np.frombuffer(b"".join(w[:WIDE] for w in codes), np.uint8)
+    return out
+
+
+def _verified(a: np.ndarray, b: np.ndarray, longer: np.ndarray) -> np.ndarray:
+    """``one_edit`` for rows of two matrices of the same width, and the words in
+    order where they have the same length."""
+    same, rows = a == b, np.arange(len(a))
+    first = same.argmin(1)
+    moved = (a[:, :-1] == b[:, 1:]) | (np.arange(a.shape[1] - 1) < first[:, None])
+    return np.where(longer, moved.all(1), (same.sum(1) == a.shape[1] - 1) & (a[rows, first] < b[rows, first]))
+
+
 def near_pairs(asks: list[bytes], words: list[bytes]) -> list[tuple[int, int]]:
     """(i, j) with words[j] one edit from asks[i] and longer, or of the same
     length and greater, by a depth-first search of the trie of ``words``."""
     q, m = _levels(asks), _levels(words)
+    found: list[tuple[int, int]] = []
+    if not len(q) or not len(m):
+        return found
+    first = np.argsort(-m.std(0), kind="stable")              # groups that tell most words apart come first
+    q, m = q[:, first], m[:, first]
     order = np.lexsort(m.T[::-1])
     m = m[order]
-    found: list[tuple[int, int]] = []
-    stack = [(0, len(m), 0, np.arange(len(q)), np.zeros(len(q), np.int8), np.zeros(len(q), np.int8))] if len(q) and len(m) else []
+    q_marks, m_marks = _marks(q), _marks(m)
+    codes = _matrix(asks + words)
+    q_codes, m_codes = codes[:len(asks)], codes[len(asks):]
+    q_size, m_size = (np.fromiter(map(len, x), np.int64, len(x)) for x in (asks, words))
+    none = np.zeros(len(q), np.int8)
+    stack = [(0, len(m), 0, np.arange(len(q)), none, none)]
     while stack:
         lo, hi, level, ask, surplus, deficit = stack.pop()
-        if hi - lo <= LEAF or level == m.shape[1]:
-            for at in range(0, len(ask), 2048):
-                part = slice(at, at + 2048)
-                d = m[None, lo:hi, level:] - q[ask[part], None, level:]
-                more, less = np.maximum(d, 0).sum(2) + surplus[part, None], np.maximum(-d, 0).sum(2) + deficit[part, None]
-                for i, j in zip(*np.nonzero((more <= 1) & (less <= more)), strict=True):
-                    a, b = asks[ask[at + i]], words[order[lo + j]]
-                    if (len(a) < len(b) or a < b) and one_edit(a, b):
-                        found.append((int(ask[at + i]), int(order[lo + j])))
+        if hi - lo <= LEAF or level == GROUPS:
+            for at in range(0, len(ask), 4096):
+                own = ask[at:at + 4096]
+                i, j = np.nonzero(np.bitwise_count(q_marks[own, None] ^ m_marks[None, lo:hi]) <= 2)
+                i, j = own[i], j + lo
+                d = m[j].astype(np.int32) - q[i]
+                more, less = np.maximum(d, 0).sum(1), np.maximum(-d, 0).sum(1)
+                fits = (more <= 1) & (less <= more)
+                i, j = i[fits], order[j[fits]]
+                short = np.maximum(q_size[i], m_size[j]) <= WIDE
+                good = np.zeros(len(i), bool)
+                good[short] = _verified(q_codes[i[short]], m_codes[j[short]], q_size[i[short]] < m_size[j[short]])
+                for k in np.flatnonzero(~short).tolist():
+                    x, y = asks[i[k]], words[j[k]]
+                    good[k] = (len(x) < len(y) or x < y) and one_edit(x, y)
+                found += zip(i[good].tolist(), j[good].tolist(), strict=True)
             continue
         column = m[lo:hi, level]
         cuts = [0, *(np.flatnonzero(column[1:] != column[:-1]) + 1).tolist(), hi - lo]
