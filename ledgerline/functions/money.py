@@ -46,12 +46,33 @@ def exact(df: DataFrame, name: str) -> Column:
     return c.cast(BINARY)
 
 
+def narrowed(df: DataFrame, gross: str, discount: str) -> tuple[Column, Column]:
+    """The two factors of a line's net amount in types whose product has at
+    most 38 digits, so that Spark keeps every decimal of it.
+
+    A discount is a fraction: one digit before the point suffices (anything
+    larger raises).  Gross and discount keep their scales; gross keeps as many
+    digits before the point as 38 allow, 10 at least, or the types are refused.
+    """
+    g, d = df.schema[gross].dataType, df.schema[discount].dataType
+    if not isinstance(g, DecimalType) or not isinstance(d, DecimalType):
+        return F.col(gross), F.col(discount)
+    # (precision + precision + 1) of the product stays within 38: 1 - discount has two digits before the point
+    whole = min(g.precision - g.scale, 38 - 1 - (d.scale + 2) - g.scale)
+    if whole < min(10, g.precision - g.scale):
+        raise ValueError(f"{gross} {g.simpleString()} times {discount} {d.simpleString()} doesn't fit 38 digits")
+    return (F.col(gross).cast(f"decimal({whole + g.scale},{g.scale})"),
+            F.col(discount).cast(f"decimal({d.scale + 1},{d.scale})"))
+
+
 def net_amount(gross: Column | str, discount: Column | str) -> Column:
     """Net line revenue: gross x (1 - discount) as DECIMAL(38,12).
 
     Both are decimals at their source's scale (see ``exact``) and are
-    multiplied exactly; nothing is rounded before the output unless the two
-    scales add up to more than 12 places.
+    multiplied exactly.  Spark cuts a product of more than 38 digits to six
+    decimals; ``SalesTables.validate`` brings the columns to types whose
+    product fits (see ``narrowed``) and refuses those that would lose digits.
+    Only decimals beyond the twelfth of a line's net amount are rounded.
     """
     return (_col(gross) * (F.lit(Decimal(1)) - _col(discount))).cast(NET)
 

@@ -23,8 +23,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.money import RATIO_DEC, ratio, round_out
 from ledgerline.operators.revenue import orders_with_revenue
 from ledgerline.params import DEFAULTS, ConcentrationParams, WindowParams
-from ledgerline.plans.materialize import materialize_counted
-from ledgerline.plans.ordered import WindowOutputs, ordered_window
+from ledgerline.plans.ordered import WindowOutputs, fits_one_task, ordered_window
 from ledgerline.sources.model import SalesTables
 
 SHARE = "decimal(9,4)"
@@ -50,20 +49,12 @@ def customer_revenue(t: SalesTables) -> DataFrame:
 
 
 def concentration_frame(t: SalesTables, params: ConcentrationParams = DEFAULTS.concentration,
-                        window: WindowParams = DEFAULTS.window, force: str | None = None) -> DataFrame:
+                        window: WindowParams = DEFAULTS.window) -> DataFrame:
     """Decimal working frame: shares, contributions, running share, tile, row number."""
-    cr, n, bound = customer_revenue(t), None, None
-    if force is None:
-        bound = t.customers.count()          # at most one row per customer
-        if bound > window.single_task_rows:  # large: compute once, count exactly
-            cr, n = materialize_counted(cr)
-    if force == "single" or (force is None and bound <= window.single_task_rows):
-        # The ordered window will run in one task anyway: take the total in
-        # that same partition instead of a separate subquery pass.
-        force = "single"
-        total = F.sum("CustomerRevenue").over(Window.partitionBy())
-    else:
-        total = cr.select(F.sum("CustomerRevenue")).scalar()
+    cr = customer_revenue(t)
+    # A direct window gathers the customers in one task anyway: there the total needs no pass of its own.
+    total = (F.sum("CustomerRevenue").over(Window.partitionBy()) if fits_one_task(t.customers, window)
+             else cr.select(F.sum("CustomerRevenue")).scalar())
     share = revenue_share(F.col("CustomerRevenue"), total)
     shares = cr.select("CustomerID", "CompanyName", "CustomerRevenue",
                        total.alias("TotalRevenue"), share.alias("_share"))
@@ -75,13 +66,12 @@ def concentration_frame(t: SalesTables, params: ConcentrationParams = DEFAULTS.c
         shares, order_keys=[("CustomerRevenue", False)], tiebreak=[("CustomerID", True)],
         outputs=WindowOutputs(row_number="_rn", running_sums={"_acc": "_share"},
                               ntile=("_tile", params.tiles)),
-        params=window, materialize_input=False, known_rows=n, segment_bound=bound, force=force)
+        params=window, bounded_by=t.customers)
 
 
 def customer_concentration(t: SalesTables, params: ConcentrationParams = DEFAULTS.concentration,
-                           window: WindowParams = DEFAULTS.window, ordered: bool = True,
-                           force: str | None = None) -> DataFrame:
-    f = concentration_frame(t, params, window, force)
+                           window: WindowParams = DEFAULTS.window, ordered: bool = True) -> DataFrame:
+    f = concentration_frame(t, params, window)
     out = f.select(
         "CustomerID", "CompanyName",
         F.col("CustomerRevenue").cast("double").alias("CustomerRevenue"),
@@ -137,7 +127,7 @@ def hhi_summary(t: SalesTables, params: ConcentrationParams = DEFAULTS.concentra
 
 
 def pareto_cutoff(t: SalesTables, params: ConcentrationParams = DEFAULTS.concentration,
-                  window: WindowParams = DEFAULTS.window, force: str | None = None) -> DataFrame:
+                  window: WindowParams = DEFAULTS.window) -> DataFrame:
     """How many of the largest customers it takes to reach X % of revenue.
 
     For each threshold X: the position of the first customer whose shown
@@ -145,7 +135,7 @@ def pareto_cutoff(t: SalesTables, params: ConcentrationParams = DEFAULTS.concent
     position as a percentage of customers.  One aggregation pass with a
     conditional minimum per threshold.
     """
-    f = concentration_frame(t, params, window, force)
+    f = concentration_frame(t, params, window)
     acc = F.round("_acc", 2)
     aggs = [F.count(F.lit(1)).cast("long").alias("_n")]
     for i, x in enumerate(params.pareto_thresholds):

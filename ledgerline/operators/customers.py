@@ -61,8 +61,7 @@ def customer_order_stats(t: SalesTables, params: RfmParams = DEFAULTS.rfm) -> Da
 
 
 def customer_rfm(t: SalesTables, params: RfmParams = DEFAULTS.rfm,
-                 window: WindowParams = DEFAULTS.window, ordered: bool = True,
-                 force: str | None = None) -> DataFrame:
+                 window: WindowParams = DEFAULTS.window, ordered: bool = True) -> DataFrame:
     """Recency / frequency / monetary view with a ranking inside each country.
 
     Customers below ``min_orders`` are dropped before the country totals.
@@ -76,12 +75,10 @@ def customer_rfm(t: SalesTables, params: RfmParams = DEFAULTS.rfm,
     customers = t.customers.select("CustomerID", "CompanyName", "Country")
     base = (stats.join(customers, "CustomerID")
             .withColumn("DaysSinceLastPurchase", days_between("LastPurchase", reference_date(t))))
-    # A country holds at most every customer once.
-    bound = t.customers.count() if force is None else None
     ranked = ordered_window(
         base, partition_by=["Country"], order_keys=[("_total", False)], tiebreak=[("CustomerID", True)],
         outputs=WindowOutputs(segment_sums={"_ctot": "_total"}, **{params.rank_method: "RevenueRank"}),
-        params=window, segment_bound=bound, range_segments=ordered, force=force)
+        params=window, bounded_by=t.customers, range_segments=ordered)     # a country holds a customer once
     out = ranked.select(
         "CustomerID", "CompanyName", "Country",
         F.col("TotalOrders").cast("long").alias("TotalOrders"),

@@ -107,7 +107,7 @@ def _alert(growth, p: TrendParams):
 
 def product_trend(t: SalesTables, params: TrendParams = DEFAULTS.trend,
                   window: WindowParams = DEFAULTS.window, join: JoinParams = DEFAULTS.join,
-                  ordered: bool = True, force: str | None = None) -> DataFrame:
+                  ordered: bool = True) -> DataFrame:
     """Monthly product revenue with growth, running revenue, rank in category
     and month, a top-N flag and a trend alert.
 
@@ -121,37 +121,30 @@ def product_trend(t: SalesTables, params: TrendParams = DEFAULTS.trend,
     """
     if not set(params.series_by) <= {"ProductName", "CategoryName"} or "ProductName" not in params.series_by:
         raise ValueError("series_by must be ('ProductName',) or ('CategoryName', 'ProductName')")
-    base = product_month_base(t, join)
-    series = list(params.series_by)
-    bound = None
-    if force is None:
-        # One pass over the product dimension: its size bounds a (category,
-        # month) segment (one row per product at most), and whether any name
-        # spans several categories.
-        per_name = product_dimension(t, join).groupBy("ProductName").agg(
-            F.count(F.lit(1)).alias("_n"),
-            (F.coalesce(F.min("CategoryName") != F.max("CategoryName"), F.lit(False))
-             | F.count("CategoryName").between(1, F.count(F.lit(1)) - 1)).cast("int").alias("_multi"))   # NULL beside a name
-        bound, multi = per_name.agg(F.sum("_n"), F.max("_multi")).first()
-        bound = int(bound or 0)
-        if series == ["ProductName"] and not multi:
-            series = ["CategoryName", "ProductName"]     # the same series: each name has one category
+    base = _with_series(product_month_base(t, join), params)
     ranked = ordered_window(
         base, partition_by=["CategoryName", "OrderMonth"], order_keys=[("MonthlyRevenue", False)],
         tiebreak=[("ProductName", True)], outputs=WindowOutputs(dense_rank="RevenueRankInCategory"),
-        params=window, segment_bound=bound, force=force)
-    if ordered and series == ["CategoryName", "ProductName"]:
-        # Range-partitioned series also satisfy the final ordering: no
-        # separate sort shuffle.
-        ranked = ranked.repartitionByRange(F.col("CategoryName").asc(), F.col("ProductName").asc())
-    w = Window.partitionBy(*series).orderBy(F.col("OrderMonth").asc_nulls_first(),
-                                            F.col("CategoryName").asc_nulls_first())
-    ranked = ranked.withColumns({
+        params=window, bounded_by=t.products)      # a category-month holds a product once
+    out = _trend_report(ranked, params)
+    if ordered:
+        out = out.orderBy("CategoryName", "ProductName", "Year", "Month")
+    return out
+
+
+def _with_series(base: DataFrame, params: TrendParams) -> DataFrame:
+    """The previous month and the running revenue of each product's series."""
+    w = Window.partitionBy(*params.series_by).orderBy(F.col("OrderMonth").asc_nulls_first(),
+                                                      F.col("CategoryName").asc_nulls_first())
+    return base.withColumns({
         "_prev": F.lag("MonthlyRevenue").over(w),
         "_run": F.sum("MonthlyRevenue").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
     })
+
+
+def _trend_report(ranked: DataFrame, params: TrendParams) -> DataFrame:
     growth = ratio(F.col("MonthlyRevenue") - F.col("_prev"), "_prev", 2, factor=100.0)
-    out = ranked.select(
+    return ranked.select(
         year_of("OrderMonth").alias("Year"),
         month_of("OrderMonth").alias("Month"),
         "CategoryName", "ProductName",
@@ -163,11 +156,21 @@ def product_trend(t: SalesTables, params: TrendParams = DEFAULTS.trend,
         "RevenueRankInCategory",
         F.when(F.col("RevenueRankInCategory") <= params.top_n, F.lit(params.top_label)).alias("Top3Flag"),
     ).withColumn("TrendAlert", _alert(F.col("RevenueGrowthPct"), params))
+
+
+def product_top(t: SalesTables, params: TrendParams = DEFAULTS.trend, join: JoinParams = DEFAULTS.join,
+                ordered: bool = True) -> DataFrame:
+    """Only the rows in the first ``top_n`` ranks of their category and month.
+
+    The series columns come first, then the rank and its filter together, so
+    that Spark limits every (category, month) inside each task before the
+    shuffle (``WindowGroupLimit``): a category with most products sends a few
+    rows per task, not all of them, and no ordered window over it is needed.
+    """
+    base = _with_series(product_month_base(t, join), params)
+    rank = F.dense_rank().over(Window.partitionBy("CategoryName", "OrderMonth").orderBy(F.col("MonthlyRevenue").desc()))
+    top = base.withColumn("_rank", rank).where(F.col("_rank") <= params.top_n)
+    out = _trend_report(top.withColumn("RevenueRankInCategory", F.col("_rank").cast("long")), params)
     if ordered:
         out = out.orderBy("CategoryName", "ProductName", "Year", "Month")
     return out
-
-
-def product_top(t: SalesTables, params: TrendParams = DEFAULTS.trend, **kw) -> DataFrame:
-    """Only the rows flagged as top-N in their category and month."""
-    return product_trend(t, params, **kw).where(F.col("RevenueRankInCategory") <= params.top_n)

@@ -77,16 +77,16 @@ class CalendarParams:
 class WindowParams:
     """Controls for ordered windows over data whose size grows with the input.
 
-    A window segment (partition-by group, or the whole table for a global
-    order) with at most ``single_task_rows`` rows is evaluated with Spark's
-    own window operator.  Larger segments are range-partitioned into buckets
-    of about ``rows_per_bucket`` rows and stitched together with per-bucket
-    offsets, so no task ever holds an unbounded group.
+    Rows are dealt to ``buckets`` buckets by splitters from a sample of
+    ``buckets * oversample`` rows (both fixed, whatever the input), so no task
+    holds an unbounded group.  One bucket is Spark's own window, which also
+    runs where the table that bounds a group has files of at most
+    ``direct_bytes`` in all (0: never).
     """
 
-    single_task_rows: int = 2_000_000
-    rows_per_bucket: int = 1_000_000
-    max_buckets: int = 100_000
+    direct_bytes: int = 32 << 20
+    buckets: int = 512
+    oversample: int = 16
 
 
 @dataclass(frozen=True)

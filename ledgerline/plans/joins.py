@@ -31,6 +31,16 @@ def estimated_bytes(df: DataFrame) -> int | None:
         return None
 
 
+def input_bytes(df: DataFrame) -> int | None:
+    """Total size of the tables that ``df`` reads (no job runs); unlike the
+    estimate of a join it doesn't multiply them."""
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    except Exception:  # pragma: no cover - sizes unavailable
+        return None
+
+
 def row_width(df: DataFrame) -> int:
     """Default per-row width Spark assumes for the schema."""
     try:

@@ -13,28 +13,34 @@ the order ``order_keys`` + ``tiebreak`` (which together must be unique):
 * running sums (rows frame, unbounded preceding to current row),
 * ``ntile`` tiles, segment totals and the segment row count.
 
-Small inputs (largest segment <= ``WindowParams.single_task_rows``) use
-Spark's window operator directly.  Larger ones are range-partitioned on
-(segment, keys, tiebreak) into buckets of about ``rows_per_bucket`` rows; a
-hot segment or a hot key is therefore split across buckets by the unique
-tiebreak.  Each bucket runs the window locally; one small table of
-per-bucket counts, totals and boundary keys (at most buckets + segments
-rows) yields each bucket's offsets, which are joined back.  Bucket ids are
-pinned by a checkpoint so retries cannot move rows between buckets.
+Rows are dealt to buckets by splitters, a pure function of the data: the
+``buckets * oversample`` rows with the smallest hash form a sample (a bounded
+top-k, no second copy of the data), every ``oversample``-th of the sorted
+sample is a splitter, and a row's bucket is the number of splitters below its
+(segment, keys, tiebreak).  The splitters reach the rows as a scalar
+subquery.  A hot segment or a hot key is therefore split across buckets by
+the unique tiebreak.  Each bucket runs the window locally; one small table of
+per-bucket counts, totals and boundary keys (at most buckets + segments rows)
+yields each bucket's offsets, which are joined back.
+
+Nothing runs before an action: no count, no checkpoint.  A task that is run
+again computes the same buckets.  Only where the files of a table that bounds
+every segment (``bounded_by``) are below ``WindowParams.direct_bytes`` does
+Spark's own window run directly: with few rows the splitters' extra passes
+cost more than they save.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DateType, DecimalType, FractionalType, IntegralType, NumericType, TimestampType
 
-from ledgerline.params import JoinParams, WindowParams
-from ledgerline.plans.joins import join_dimension
-from ledgerline.plans.materialize import materialize, materialize_counted
+from ledgerline.params import WindowParams
+from ledgerline.plans.joins import input_bytes
 
 Key = tuple[str, bool]  # (column, ascending)
 
@@ -69,54 +75,33 @@ def ntile_from_index(rn: Column, n: Column, tiles: int) -> Column:
         r + F.floor((i - big) / q) + F.lit(1)).cast("long")
 
 
-def largest_segment(df: DataFrame, partition_by: Sequence[str]) -> int:
-    if not partition_by:
-        return df.count()
-    row = df.groupBy(*partition_by).count().agg(F.max("count")).first()
-    return int(row[0] or 0)
-
-
-def ordered_window(df: DataFrame, *, partition_by: Sequence[str] = (), order_keys: Sequence[Key],
-                   tiebreak: Sequence[Key] = (), outputs: WindowOutputs,
-                   params: WindowParams = WindowParams(), materialize_input: bool = True,
-                   known_rows: int | None = None, segment_bound: int | None = None,
-                   range_segments: bool = False, force: str | None = None) -> DataFrame:
-    """Add the requested ordered-window columns to ``df``.
-
-    ``segment_bound`` is an upper bound on the largest segment known without
-    running ``df`` (for instance the size of a dimension the segment rows
-    are drawn from); when it is within ``single_task_rows`` the window runs
-    directly, with nothing materialized.  Otherwise ``materialize_input``
-    checkpoints ``df`` so the exact size check and the query read it once;
-    pass False when ``df`` is already a cheap projection of a checkpoint
-    (and ``known_rows`` if its row count is known).  ``force`` ('single' or
-    'bucketed') overrides the size-based choice.  ``range_segments`` (single
-    task path) range-partitions by the segment columns instead of hashing
-    them: each segment still lands in one task, and a later global sort that
-    starts with the segment columns needs no further exchange.
-    """
-    part = list(partition_by)
-    if force is None and segment_bound is not None and segment_bound <= params.single_task_rows:
-        return _single(df, part, list(order_keys), list(tiebreak), outputs, range_segments)
-    if materialize_input:
-        base, total = materialize_counted(df)
-    else:
-        base, total = df, known_rows
-    if force is None:
-        if total is None:
-            total = base.count()
-        small = total <= params.single_task_rows or (
-            bool(part) and largest_segment(base, part) <= params.single_task_rows)
-        force = "single" if small else "bucketed"
-    if force == "single":
-        return _single(base, part, list(order_keys), list(tiebreak), outputs, range_segments)
-    if total is None:
-        total = base.count()
-    buckets = max(1, min(params.max_buckets, math.ceil(total / max(1, params.rows_per_bucket))))
-    return _bucketed(base, part, list(order_keys), list(tiebreak), outputs, buckets)
-
-
-def _single(df: DataFrame, part: list[str], keys: list[Key], tie: list[Key],
+def _ascending(df: DataFrame, name: str, ascending: bool) -> list[Column]:
+    """Columns whose ascending order is that of the key."""
+    kind, c = df.schema[name].dataType, F.col(name)
+    if ascending:
+        return [c]
+    if isinstance(kind, IntegralType):
+        return [c.isNull(), -c.cast("decimal(20,0)")]
+    if isinstance(kind, FractionalType) and not isinstance(kind, DecimalType):
+        return [c.isNull(), ~F.isnan(c), -c]
+    if isinstance(kind, NumericType):
+        return [c.isNull(), -c]
+    if isinstance(kind, DateType):
+        return [c.isNull(), -F.unix_date(c)]
+    if isinstance(kind, TimestampType):
+        return [c.isNull(), -F.unix_micros(c)]
+    if isinstance(kind, BooleanType):
+        return [c.isNull(), ~c]
+    raise ValueError(f"{name}: a descending {kind.simpleString()} key has no splitters")
+
+
+def fits_one_task(bounded_by: DataFrame | None, params: WindowParams) -> bool:
+    """True when the tables read for the bounding one are small (by file sizes; no job)."""
+    size = None if bounded_by is None else input_bytes(bounded_by)
+    return size is not None and size <= params.direct_bytes
+
+
+def _direct(df: DataFrame, part: list[str], keys: list[Key], tie: list[Key],
             out: WindowOutputs, range_segments: bool = False) -> DataFrame:
     if range_segments and part:
         df = df.repartitionByRange(*[F.col(p).asc() for p in part])
@@ -144,17 +129,49 @@ def _single(df: DataFrame, part: list[str], keys: list[Key], tie: list[Key],
     return df.withColumns(cols)
 
 
-def _bucketed(df: DataFrame, part: list[str], keys: list[Key], tie: list[Key],
-              out: WindowOutputs, buckets: int) -> DataFrame:
+def with_bucket(df: DataFrame, part: Sequence[str], keys: Sequence[Key], params: WindowParams, name: str) -> DataFrame:
+    """``df`` with the row's bucket: the number of splitters below it, found by
+    binary search."""
+    parts = [c for p in part for c in _ascending(df, p, True)] + [c for k, asc in keys for c in _ascending(df, k, asc)]
+    place = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(parts)])
+    if params.buckets <= 1:
+        return df.withColumn(name, F.lit(0))
+    sample = df.select(place.alias("p")).orderBy(F.xxhash64("p"), "p").limit(params.buckets * params.oversample)
+    ordered = sample.agg(F.sort_array(F.collect_list("p")).alias("s"))
+    splitters = ordered.select(F.filter("s", lambda x, i: (i + 1) % params.oversample == 0)).scalar()
+    # one subquery, carried as a column from projection to projection only
+    out, step = df.withColumns({"__place": place, "__splitters": splitters, name: F.lit(0)}), 1 << (params.buckets.bit_length() - 1)
+    while step:
+        below = F.get("__splitters", F.col(name) + (step - 1)) < F.col("__place")      # NULL beyond the last splitter
+        out = out.withColumn(name, F.col(name) + F.when(below, step).otherwise(0))
+        step >>= 1
+    return out.drop("__place", "__splitters")
+
+
+def ordered_window(df: DataFrame, *, partition_by: Sequence[str] = (), order_keys: Sequence[Key],
+                   tiebreak: Sequence[Key] = (), outputs: WindowOutputs,
+                   params: WindowParams = WindowParams(), bounded_by: DataFrame | None = None,
+                   range_segments: bool = False) -> DataFrame:
+    """Add the requested ordered-window columns to ``df`` (lazily).
+
+    ``bounded_by`` has at least a row for every row of a segment.
+    ``range_segments`` (direct windows) range-partitions by the segment columns
+    instead of hashing them: each segment still lands in one task, and a later
+    global sort that starts with them needs no further exchange.
+    """
+    part, keys, tie, out = list(partition_by), list(order_keys), list(tiebreak), outputs
+    if fits_one_task(bounded_by, params):
+        return _direct(df, part, keys, tie, out, range_segments)
     key_cols = [c for c, _ in keys]
     sums = {f"__rs_{i}": c for i, c in enumerate(out.running_sums.values())}
     seg_sums = {f"__ss_{i}": c for i, c in enumerate(out.segment_sums.values())}
 
-    # 1. Range buckets over (segment, keys, tiebreak); local window per bucket.
-    ranged = (df.repartitionByRange(buckets, *[F.col(p).asc() for p in part], *_sort(keys + tie))
-              .withColumn("__b", F.spark_partition_id()))
-    lw = Window.partitionBy("__b", *part).orderBy(*_sort(keys + tie))
-    lk = Window.partitionBy("__b", *part).orderBy(*_sort(keys))
+    # 1. Buckets over (segment, keys, tiebreak); local window per bucket.  A
+    #    struct of bucket and segment is the key of the window and of the join
+    #    below, so that NULL segments match and the rows are shuffled once.
+    ranged = with_bucket(df, part, keys + tie, params, "__bucket").withColumn("__g", F.struct(F.col("__bucket").alias("b"), *part))
+    lw = Window.partitionBy("__g").orderBy(*_sort(keys + tie))
+    lk = Window.partitionBy("__g").orderBy(*_sort(keys))
     lrun = lw.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local_cols = {
         "__lrn": F.row_number().over(lw).cast("long"),
@@ -163,7 +180,7 @@ def _bucketed(df: DataFrame, part: list[str], keys: list[Key], tie: list[Key],
     }
     for tmp, src in sums.items():
         local_cols[tmp] = F.sum(src).over(lrun)
-    local = materialize(ranged.withColumns(local_cols))   # pins bucket ids
+    local = ranged.withColumns(local_cols)
 
     # 2. One row per (bucket, segment): counts, totals and boundary keys.
     aggs = [F.count(F.lit(1)).alias("__cnt"), F.max("__ldense").alias("__dcnt"),
@@ -172,7 +189,7 @@ def _bucketed(df: DataFrame, part: list[str], keys: list[Key], tie: list[Key],
         aggs += [F.min_by(c, "__lrn").alias(f"__first_{i}"), F.max_by(c, "__lrn").alias(f"__last_{i}")]
     for tmp, src in {**sums, **seg_sums}.items():
         aggs.append(F.sum(src).alias(f"__tot{tmp}"))
-    stats = local.groupBy("__b", *part).agg(*aggs)
+    stats = local.groupBy("__g").agg(*aggs).select("*", F.col("__g.b").alias("__b"), *[F.col("__g")[p].alias(p) for p in part])
 
     # 3. Offsets: exclusive prefix over the buckets of each segment.  A tie
     #    group (equal keys) may continue from the previous bucket ("cont"):
@@ -204,15 +221,12 @@ def _bucketed(df: DataFrame, part: list[str], keys: list[Key], tie: list[Key],
         **{f"__segtot{tmp}": F.sum(f"__tot{tmp}").over(whole) for tmp in seg_sums},
     })
     stats = stats.withColumn("__carry", F.coalesce(F.max("__carry_v").over(before), F.lit(0)).cast("long"))
-    offsets, n_offsets = materialize_counted(stats.select(
-        "__b", *part, "__cont", "__off_cnt", "__off_dense", "__carry", "__seg_cnt",
-        *[f"__off{t}" for t in sums], *[f"__segtot{t}" for t in seg_sums]))
-
-    # 4. Stitch: the offsets table has at most buckets + segments rows; its
-    #    exact size decides the broadcast.
-    j = join_dimension(local, offsets, on=["__b", *part], how="inner",
-                       params=JoinParams(broadcast_max_rows=1_000_000), null_safe=True,
-                       known_rows=n_offsets)
+    offsets = stats.select("__g", "__cont", "__off_cnt", "__off_dense", "__carry", "__seg_cnt",
+                           *[f"__off{t}" for t in sums], *[f"__segtot{t}" for t in seg_sums])
+
+    # 4. Stitch: at most buckets + segments rows are joined back; adaptive
+    #    execution broadcasts them if their measured size allows.
+    j = local.join(offsets, "__g")
     rn = F.col("__off_cnt") + F.col("__lrn")
     cols: dict[str, Column] = {}
     if out.row_number:

@@ -20,13 +20,13 @@ Catalyst prunes every scan down to the columns the plan uses.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.dates import as_date
-from ledgerline.functions.money import exact
+from ledgerline.functions.money import exact, narrowed
 
 ORDER_DETAILS_COLUMNS = ("OrderID", "ProductID", "Quantity", "UnitPrice", "GrossAmount", "Discount")
 ORDERS_COLUMNS = ("OrderID", "CustomerID", "OrderDate")
@@ -48,7 +48,8 @@ class SalesTables:
     order_facts: DataFrame | None = None
 
     def validate(self) -> SalesTables:
-        """Check that every relation carries its canonical columns."""
+        """Check that every relation carries its canonical columns, and bring
+        the money columns to types whose product is exact."""
         for name, cols in (("order_details", ORDER_DETAILS_COLUMNS),
                            ("orders", ORDERS_COLUMNS),
                            ("products", PRODUCTS_COLUMNS),
@@ -61,7 +62,8 @@ class SalesTables:
         facts = {"OrderID", "CustomerID", "OrderDate", "OrderRevenue", "LineCount"}
         if self.order_facts is not None and not facts <= set(self.order_facts.columns):
             raise ValueError(f"order_facts needs columns {sorted(facts)}")
-        return self
+        gross, discount = narrowed(self.order_details, "GrossAmount", "Discount")
+        return replace(self, order_details=self.order_details.withColumns({"GrossAmount": gross, "Discount": discount}))
 
 
 def from_classic(read: Callable[[str], DataFrame]) -> SalesTables:

@@ -48,9 +48,9 @@ def test_share_rounding_chain(spark):
 
 def test_bucketed_matches_single_with_ties(spark):
     t = _tables(spark, [5, 5, 5, 9, 9, 1, 2, 3, 3, 3, 3, 8, 7, 7, 7, 7, 7, 6, 5, 4, 4, 4, 2, 1])
-    single = [tuple(r) for r in ops.customer_concentration(t, force="single").collect()]
-    wp = WindowParams(single_task_rows=0, rows_per_bucket=4)
-    bucketed = [tuple(r) for r in ops.customer_concentration(t, window=wp, force="bucketed").collect()]
+    single = [tuple(r) for r in ops.customer_concentration(t, window=WindowParams(buckets=1)).collect()]
+    wp = WindowParams(direct_bytes=0, buckets=64, oversample=1)
+    bucketed = [tuple(r) for r in ops.customer_concentration(t, window=wp).collect()]
     assert single == bucketed
 
 

@@ -70,11 +70,10 @@ def test_rfm_bucketed_path_matches_single(spark):
             lines.append(line(oid, 1, 10 * (c % 7) + 5, 1 + k % 2))
     t = make_tables(spark, lines, orders, customers=customers)
     from ledgerline.params import WindowParams
-    wp = WindowParams(single_task_rows=0, rows_per_bucket=7)
+    one, wp = WindowParams(buckets=1), WindowParams(direct_bytes=0, buckets=64, oversample=1)
     for method in ("rank", "dense_rank"):
-        single = sorted(tuple(r) for r in ops.customer_rfm(t, RfmParams(rank_method=method), force="single").collect())
-        bucketed = sorted(tuple(r) for r in ops.customer_rfm(t, RfmParams(rank_method=method), window=wp,
-                                                            force="bucketed").collect())
+        single = sorted(tuple(r) for r in ops.customer_rfm(t, RfmParams(rank_method=method), window=one).collect())
+        bucketed = sorted(tuple(r) for r in ops.customer_rfm(t, RfmParams(rank_method=method), window=wp).collect())
         assert single == bucketed
 
 

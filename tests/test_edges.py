@@ -34,7 +34,7 @@ def test_zero_revenue_gives_null_shares(spark):
 def test_bucketed_window_on_empty_input(spark):
     from ledgerline.params import WindowParams
     t = make_tables(spark, [], [], products=[], categories=[], customers=[])
-    wp = WindowParams(single_task_rows=0, rows_per_bucket=1)
-    assert ops.customer_concentration(t, window=wp, force="bucketed").count() == 0
-    assert ops.customer_rfm(t, window=wp, force="bucketed").count() == 0
-    assert ops.product_trend(t, window=wp, force="bucketed").count() == 0
+    wp = WindowParams(direct_bytes=0, buckets=64, oversample=1)
+    assert ops.customer_concentration(t, window=wp).count() == 0
+    assert ops.customer_rfm(t, window=wp).count() == 0
+    assert ops.product_trend(t, window=wp).count() == 0

@@ -77,8 +77,8 @@ def test_trend_running_revenue_ends_at_product_total(t):
         assert abs(run - total[name]) < 0.01 * 80
 
 
-def test_automatic_switch_to_buckets_keeps_results(t):
+def test_bucket_count_keeps_results(t):
     from ledgerline.params import WindowParams
-    small = WindowParams(single_task_rows=100, rows_per_bucket=300)   # forces the size checks to choose buckets
+    small = WindowParams(direct_bytes=0, buckets=7, oversample=3)
     for fn in (ops.customer_rfm, ops.customer_concentration, ops.product_trend):
         assert [tuple(r) for r in fn(t).collect()] == [tuple(r) for r in fn(t, window=small).collect()], fn.__name__

@@ -8,6 +8,7 @@ import re
 import pytest
 
 from ledgerline import operators as ops
+from ledgerline.params import WindowParams
 from ledgerline.plans.joins import broadcast_fits
 from ledgerline.sources.tpch import tpch_tables
 
@@ -122,11 +123,32 @@ def test_rfm_window_and_final_sort_share_one_exchange(spark, t):
     assert len(country) == 1 and country[0].startswith("rangepartitioning(Country"), country
 
 
-def test_trend_series_and_final_sort_share_one_exchange(spark, t):
-    df = ops.product_trend(t)
-    df.collect()
-    plan = _plan(df).split("== Initial Plan ==")[0]
-    exchanges = _exchanges(plan)
-    ranges = [e for e in exchanges if e.startswith("rangepartitioning")]
-    assert ranges and all(e.startswith("rangepartitioning(CategoryName") for e in ranges), exchanges
-    assert not [e for e in exchanges if e.startswith("hashpartitioning(ProductName")], exchanges
+def test_direct_windows_are_chosen_by_file_sizes(t):
+    from ledgerline.plans.ordered import fits_one_task
+    assert fits_one_task(t.customers, WindowParams()) and fits_one_task(t.products, WindowParams())
+    assert not fits_one_task(t.customers, WindowParams(direct_bytes=0)) and not fits_one_task(None, WindowParams())
+
+
+def test_ordered_analyses_run_nothing_before_an_action(spark, t):
+    """RFM, concentration, Pareto and the trend are plans only: no job and no
+    checkpoint; with splitters no window gathers the customers in one task."""
+    wp = WindowParams(direct_bytes=0)
+    for group, kw in (("lazy split", {"window": wp}), ("lazy direct", {})):
+        spark.sparkContext.setJobGroup(group, "ordered analyses")
+        frames = [fn(t, **kw) for fn in (ops.customer_rfm, ops.customer_concentration, ops.pareto_cutoff)]
+        assert list(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) == [], group
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for df in frames:
+            df.collect()
+            plan = _plan(df).split("== Initial Plan ==")[0]
+            assert "CheckpointRDD" not in plan
+            for line in plan.splitlines():
+                if kw and "Window [" in line:      # by bucket, or over the table of buckets
+                    assert "windowspecdefinition(__g" in line or "__b" in line, line
+
+
+def test_top_products_are_limited_before_the_shuffle(t):
+    plan = _plan(ops.product_top(t))
+    assert "WindowGroupLimit" in plan and "Partial" in plan.split("WindowGroupLimit")[-1] + plan
+    trend = {tuple(r) for r in ops.product_trend(t).where("RevenueRankInCategory <= 3").collect()}
+    assert {tuple(r) for r in ops.product_top(t).collect()} == trend

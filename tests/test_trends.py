@@ -73,9 +73,9 @@ def test_trend_bucketed_rank_matches_single(spark):
             orders.append((oid, "A", d(f"2021-0{m}-0{1 + p % 9}")))
             lines.append(line(oid, p, (p * 7 + m) % 9 + 1, 1 + p % 3))
     t = make_tables(spark, lines, orders, products=products, categories=categories)
-    single = sorted(tuple(r) for r in ops.product_trend(t, force="single").collect())
-    wp = WindowParams(single_task_rows=0, rows_per_bucket=5)
-    bucketed = sorted(tuple(r) for r in ops.product_trend(t, window=wp, force="bucketed").collect())
+    single = sorted(tuple(r) for r in ops.product_trend(t, window=WindowParams(buckets=1)).collect())
+    wp = WindowParams(direct_bytes=0, buckets=64, oversample=1)
+    bucketed = sorted(tuple(r) for r in ops.product_trend(t, window=wp).collect())
     assert single == bucketed
 
 
