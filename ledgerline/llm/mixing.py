@@ -15,8 +15,8 @@ The slots come from one task that reads a row per source and writes a row per
 block; the documents are joined to them.  Every source, however small, has a
 schedule of its own.
 
-Defined cases: a NULL source is a source of its own; rows that repeat entirely
-share a place.
+Defined cases: a NULL source is a source of its own; rows that repeat are
+documents of their own, each with its place; columns of any name are kept.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import stash
+from ledgerline.llm.common import stash, unused
 
 
 @dataclass(frozen=True)
@@ -137,14 +137,17 @@ def block_slots(counts: DataFrame, params: MixParams) -> DataFrame:
 
 def positions(docs: DataFrame, params: MixParams = MixParams(), id_col: str = "doc_id", text_col: str = "text",
               source_col: str = "source") -> DataFrame:
-    """(doc_id, key, source, block, slot, place): ``key`` is the hash that
-    tells apart the texts of one id, (slot, place) the order of the mix."""
+    """(doc_id, key, source, copy, block, slot, place) of every row: ``key`` is
+    the hash that tells apart the texts of one id, ``copy`` numbers rows that
+    repeat (0 where there is one), (slot, place) is the order of the mix."""
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"),
-                        F.col(source_col).cast("string").alias("source")).dropDuplicates()
-    named = stash(named, "mix-rows")
+                        F.col(source_col).cast("string").alias("source"))
+    counted = named.groupBy("doc_id", "key", "source").agg(F.count(F.lit(1)).alias("rows"))
+    copies = F.when(F.col("rows") > 1, F.sequence(F.lit(1), F.col("rows"))).otherwise(F.array(F.lit(0).cast("long")))
+    named = stash(counted.select("doc_id", "key", "source", F.explode(copies).alias("copy")), "mix-rows")
     laned = named.withColumn("lane", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))) \
         .withColumn("h", F.xxhash64(F.lit(params.seed), "doc_id", "key"))
-    order = ["lane", "h", "doc_id", "key"]
+    order = ["lane", "h", "doc_id", "key", "copy"]
     dealt = laned.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def number(batches):
@@ -155,11 +158,11 @@ def positions(docs: DataFrame, params: MixParams = MixParams(), id_col: str = "d
                 n = n + 1 if x == lane else 0
                 lane = x
                 at.append(n)
-            keep = [rb.column(rb.schema.get_field_index(c)) for c in ("doc_id", "key", "source", "lane")]
+            keep = [rb.column(rb.schema.get_field_index(c)) for c in ("doc_id", "key", "source", "copy", "lane")]
             yield pa.RecordBatch.from_arrays([*keep, pa.array([part] * rb.num_rows, pa.int32()), pa.array(at, pa.int64())],
-                                             ["doc_id", "key", "source", "lane", "part", "at"])
+                                             ["doc_id", "key", "source", "copy", "lane", "part", "at"])
 
-    numbered = stash(dealt.mapInArrow(number, "doc_id long, key long, source string, lane string, part int, at long"), "mix-numbers")
+    numbered = stash(dealt.mapInArrow(number, "doc_id long, key long, source string, copy long, lane string, part int, at long"), "mix-numbers")
     # rows of a lane in earlier partitions: a table of at most (partitions + lanes) rows
     parts = numbered.groupBy("lane", "source", "part").agg(F.count(F.lit(1)).alias("n"))
     before = parts.select("lane", "part", F.coalesce(F.sum("n").over(
@@ -168,21 +171,29 @@ def positions(docs: DataFrame, params: MixParams = MixParams(), id_col: str = "d
         .withColumn("block", F.floor(F.col("rank") / params.block_docs))
     slots = stash(block_slots(parts.groupBy("lane", "source").agg(F.sum("n").alias("n")), params), "mix-slots")
     return ranked.join(slots, ["lane", "block"]).select(
-        "doc_id", "key", "source", "block", "slot", (F.col("rank") % params.block_docs).alias("place"))
+        "doc_id", "key", "source", "copy", "block", "slot", (F.col("rank") % params.block_docs).alias("place"))
 
 
 def mix(docs: DataFrame, params: MixParams = MixParams(), id_col: str = "doc_id", text_col: str = "text",
         source_col: str = "source") -> DataFrame:
     """All documents with their columns, in the order of the mix (partitions
     in order, rows in order within them)."""
-    at = positions(docs, params, id_col, text_col, source_col).select(
-        F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("source").alias("_source"), F.col("slot").alias("_slot"),
-        F.col("place").alias("_place"))
-    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    joined = docs.join(at, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (key == F.col("_key"))
-                       & F.col(source_col).cast("string").eqNullSafe(F.col("_source")))
-    ordered = joined.repartitionByRange("_slot", "_place").sortWithinPartitions("_slot", "_place")
-    return ordered.select(*[F.col(f"`{c}`") for c in docs.columns])
+    at = stash(positions(docs, params, id_col, text_col, source_col), "mix-places").select(F.struct("*").alias("m"))
+    name = unused(docs, "mixed")
+    identity = F.struct(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"),
+                        F.col(source_col).cast("string").alias("source"))
+    rows = docs.select(F.struct("*").alias("row"), identity.alias("of"))
+    same = F.col("of.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("of.key") == F.col("m.key")) & F.col("of.source").eqNullSafe(F.col("m.source"))
+    joined = rows.join(at.where("m.copy = 0"), same)
+    # rows that repeat are numbered, in an order that only equal rows share, and take a place each
+    repeated = at.where("m.copy = 1")
+    again = rows.join(repeated, same, "left_semi").withColumn(
+        "copy", F.row_number().over(Window.partitionBy("of").orderBy(F.xxhash64("row"))).cast("long"))
+    again = again.join(at.where("m.copy > 0"), same & (F.col("copy") == F.col("m.copy")))
+    both = joined.select("row", "m").unionByName(again.select("row", "m"))
+    out = both.select("row.*", F.struct("m.slot", "m.place").alias(name))
+    ordered = out.repartitionByRange(f"{name}.slot", f"{name}.place").sortWithinPartitions(f"{name}.slot", f"{name}.place")
+    return ordered.drop(name)
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ def brute(rows, params):
 def hashed(docs, params):
     from pyspark.sql import functions as F
 
-    d = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "source").distinct()
+    d = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "source")
     return [tuple(r) for r in d.withColumn("h", F.xxhash64(F.lit(params.seed), "doc_id", "key")).collect()]
 
 
@@ -146,3 +146,13 @@ def test_every_one_of_many_sources_has_its_own_schedule(spark):
     found = got(docs, params)
     assert found == brute(hashed(docs, params), params)
     assert max(slot for _, s, _, slot, _ in found if s == "tiny") < 5
+
+
+def test_rows_that_repeat_each_have_a_place(spark):
+    rows = [(1, "a", "s"), (1, "a", "s"), (2, "b", "s"), (2, "b", "s"), (2, "b", "t"), (None, None, None), (None, None, None)]
+    docs = spark.createDataFrame([(*r, i % 2, "y") for i, r in enumerate(rows)], "doc_id long, text string, source string, _slot int, mixed string")
+    got = m.query(docs).collect()
+    assert len(got) == len(rows) and len({r.position for r in got}) == len(rows)
+    out = m.mix(docs)
+    assert out.columns == docs.columns
+    assert sorted(map(str, out.collect())) == sorted(map(str, docs.collect()))
