@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import LOWER, id_text, pieces, stash, texts
+from ledgerline.llm.common import LOWER, id_text, pieces, stash, texts, unused
 
 SEED = 42
 SEGMENTS = 8
@@ -230,27 +230,36 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_distance: int = 3, id_col: s
     that id, one with the smallest fingerprint).  A group without any id keeps
     all its rows, for nothing names one of them."""
     groups = _grouped(docs, shingle, max_distance, id_col, text_col)
-    chosen = groups.where("doc_id = component").groupBy("root").agg(F.min("component").alias("_keep"), F.min("fp").alias("_keep_fp"))
+    k, k_fp, own = unused(docs, "keep"), unused(docs, "keep_fp"), unused(docs, "own_fp")
+    chosen = groups.where("doc_id = component").groupBy("root").agg(F.min("component").alias(k), F.min("fp").alias(k_fp))
     # ids of several fingerprints: there the id alone doesn't name the document
-    several = groups.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b").select(F.col("doc_id").alias("_id"))
-    keep = stash(chosen.join(several, F.col("_keep") == F.col("_id"), "left")
-                 .select("_keep", "_keep_fp", F.col("_id").isNotNull().alias("_several")), "simhash-keep")
-    unnamed = groups.where("component IS NULL").select(F.col("fp").alias("_keep")).distinct()
-    kept = docs.join(keep.where("NOT _several"), F.col(id_col) == F.col("_keep"), "left_semi").dropDuplicates([id_col])
+    several = groups.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b").select("doc_id")
+    keep = stash(chosen.join(several, F.col(k) == F.col("doc_id"), "left").select(k, k_fp, F.col("doc_id").isNotNull().alias("several")), "simhash-keep")
+    unnamed = groups.where("component IS NULL").select(F.col("fp").alias(k)).distinct()
+    kept = docs.join(keep.where("NOT several").select(k), F.col(id_col) == F.col(k), "left_semi")
+    kept = _one_row(kept, [id_col], text_col)
 
     @F.pandas_udf("long")
     def fp(text: pd.Series) -> pd.Series:
         return pd.Series([np.uint64(fingerprint((t or "").encode(), shingle)).astype(np.int64) for t in text])
 
-    clashing = keep.where("_several")
+    clashing = keep.where("several").select(k, k_fp)
     if not clashing.isEmpty():
-        rows = docs.join(clashing.select("_keep"), F.col(id_col) == F.col("_keep"), "left_semi").withColumn("_fp", fp(F.col(text_col)))
-        kept = kept.unionByName(rows.join(clashing, (F.col(id_col) == F.col("_keep")) & (F.col("_fp") == F.col("_keep_fp")), "left_semi")
-                                .dropDuplicates([id_col, "_fp"]).drop("_fp"))
+        rows = docs.join(clashing.select(k), F.col(id_col) == F.col(k), "left_semi").withColumn(own, fp(F.col(text_col)))
+        rows = rows.join(clashing, (F.col(id_col) == F.col(k)) & (F.col(own) == F.col(k_fp)), "left_semi")
+        kept = kept.unionByName(_one_row(rows, [id_col, own], text_col).drop(own))
     if unnamed.isEmpty():
         return kept
-    rest = docs.where(F.col(id_col).isNull()).withColumn("_fp", fp(F.col(text_col)))
-    return kept.unionByName(rest.join(unnamed, F.col("_fp") == F.col("_keep"), "left_semi").drop("_fp"))
+    rest = docs.where(F.col(id_col).isNull()).withColumn(own, fp(F.col(text_col)))
+    return kept.unionByName(rest.join(unnamed, F.col(own) == F.col(k), "left_semi").drop(own))
+
+
+def _one_row(rows: DataFrame, by: list[str], text_col: str) -> DataFrame:
+    """One row for each key, the same one in every run: the least by the hash
+    of its text, then of the whole row (rows equal in both are the same)."""
+    order = F.struct(F.xxhash64(text_col).alias("t"), F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]).alias("h"))
+    picked = rows.groupBy(*by).agg(F.min(F.struct(order.alias("o"), F.struct("*").alias("r"))).alias("p"))
+    return picked.select("p.r.*")
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -101,3 +101,13 @@ def test_keep_one_where_ids_clash(spark):
     rows = [(4, x), (4, y), (4, y), (3, y), (9, x), (4, z), (7, "alone with its own id")]
     kept = s.keep_one(docs_df(spark, rows)).select("doc_id", "text").collect()
     assert sorted(tuple(r) for r in kept) == sorted([(4, x), (3, y), (4, z), (7, "alone with its own id")])
+
+
+def test_keep_one_with_clashing_names_and_repeated_ids(spark):
+    rows = [(1, "a b c d", 5, "x"), (1, "a b c d", 4, "y"), (2, "A B C D", 3, "z"), (3, "something else entirely now", 1, "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _keep int, keep string")
+    out = s.keep_one(docs)
+    assert out.columns == docs.columns
+    got = sorted(tuple(r) for r in out.collect())
+    assert [r[0] for r in got] == [1, 3]
+    assert got == sorted(tuple(r) for r in s.keep_one(docs.repartition(3)).collect())
