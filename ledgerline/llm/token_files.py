@@ -42,7 +42,7 @@ ESCAPE = 15
 BLOCK = 4096
 SEGMENT = 1 << 18        # a segment closes after the document that reaches so many ids
 ODD_SPACE = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\f", "\v")
-KEPT = 900_000           # words whose ids a worker remembers
+KEPT = 250_000           # words whose ids a worker remembers (two generations of about 60 MB)
 
 
 def _widths(ids: np.ndarray) -> np.ndarray:
