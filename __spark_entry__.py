@@ -80,6 +80,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dim_category": _run(lambda s, t: ops.dim_category(t)),
         "dim_date": _run(lambda s, t: ops.calendar_for(t)),
         "orphan_customers": _run(lambda s, t: ops.orphan_customers(t)),
+        "distinct_by_period": _run(lambda s, t: ops.distinct_by_period(t)),
+        "orders_without_lines": _run(lambda s, t: ops.orders_without_lines(t)),
         "star_rollup": _run(lambda s, t: ops.star_rollup(t)),
         "star_rollup_sql": _run(lambda s, t: ops.star_rollup_sql(s, t, prefix="ledgerline_")),
         **LLM_QUERIES,
@@ -330,6 +332,13 @@ SELECT o.CustomerID, CAST(COUNT(*) AS BIGINT) AS Orders, MIN(o.OrderDate) AS Fir
        MAX(o.OrderDate) AS LastOrderDate
 FROM o WHERE NOT EXISTS (SELECT 1 FROM cu WHERE cu.CustomerID = o.CustomerID)
 GROUP BY o.CustomerID""",
+        "distinct_by_period": "\nUNION ALL\n".join(f"""
+SELECT '{x}' AS Level, CAST(date_trunc('{x}', o_orderdate) AS DATE) AS PeriodStart, COUNT(DISTINCT o_orderkey) AS Orders,
+       COUNT(DISTINCT o_custkey) AS Customers
+FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) GROUP BY 1, 2""" for x in ("month", "quarter", "year")),
+        "orders_without_lines": """
+SELECT o_orderkey AS OrderID, o_custkey AS CustomerID, CAST(o_orderdate AS DATE) AS OrderDate
+FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey IS NOT NULL)""",
         "star_rollup": _ROLLUP,
         "star_rollup_sql": _ROLLUP,
         **LLM_ORACLE_SQL,

@@ -23,6 +23,7 @@ from ledgerline.operators.revenue import (
     orders_with_revenue,
     share_order_revenue,
 )
+from ledgerline.operators.distinct import distinct_by_period, orders_without_lines
 from ledgerline.operators.star import (
     dim_category,
     dim_customer,
@@ -45,7 +46,7 @@ __all__ = [
     "dim_date", "calendar_for", "calendar_between", "fact_date_range", "concentration_frame",
     "customer_concentration", "customer_revenue", "hhi_summary",
     "pareto_cutoff", "customer_activity", "customer_churn", "customer_order_stats", "customer_rfm",
-    "orphan_customers", "reference_date", "net_revenue_lines", "order_revenue", "orders_with_revenue",
+    "orphan_customers", "distinct_by_period", "orders_without_lines", "reference_date", "net_revenue_lines", "order_revenue", "orders_with_revenue",
     "share_order_revenue",
     "dim_category", "dim_customer", "dim_product", "fact_sales", "fact_sales_load",
     "register_star_views", "star_rollup", "star_rollup_sql", "monthly_growth", "monthly_revenue",
