@@ -4,10 +4,21 @@ Each page's containers are scored: how much of the page's clean text (outside
 menus, headers, footers, forms, adverts, notices, comments) a container holds,
 how little else, and whether it has the headline.  A container is known by its
 generalised path, the tags and classes from the root with digits folded; a
-narrower container is preferred to one that holds little more.  Every
-page votes for its best path, Spark counts the votes of a host's pages, and
-the host's winning path is then used to extract its pages again.  A page on which that path holds
-less than half of the clean text falls back to its own best container.
+narrower container is preferred to one that holds little more, but never to one
+that has clean text of its own outside it (an introduction above the body).
+Every page votes for its best path, Spark counts the votes of a host's pages,
+and the host's winning path is then used to extract its pages again.  A page on
+which that path holds less than half of the clean text falls back to its own
+best container, and the path is widened where the page has such text around it.
+
+Names mark furniture by degrees.  A class name or id with a plain word for it
+(``STRONG``: comments, sidebar, cookie ...) does, and so does one made of
+doubtful words (``WEAK``: header, share, notice ...) and layout words alone:
+``share-bar`` is furniture, ``share-price-report`` and ``article-header`` are
+not.  A doubtful word beside others counts where half of the text is links.
+A container so named is kept all the same if it has most of the page's text
+and, for a plain word, the headline or a main element; one with a doubtful
+name, if it has the headline inside an article or main element.
 
 Defined cases: NULL or empty html gives the empty text; a page without a url
 votes with all others that have none; text outside any tag counts as a page of
@@ -43,11 +54,15 @@ SCOPES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td":
           "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
 CONTAINERS = frozenset("html body main article section div td center".split())
 NARROWING = frozenset("main article div td center".split())
-# Words of a class, id or role that mark what is not the article.
-JUNK = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu "
-                 "breadcrumb breadcrumbs header masthead footer sidebar aside widget related recommended share sharing social cookie cookies "
-                 "consent gdpr notice notices alert disclaimer comment comments commentlist disqus respond replies newsletter subscribe "
-                 "subscription signup login popup modal overlay toolbar pagination pager search skip hidden complementary contentinfo".split())
+# Words of a class, id or role that mark what is not the article: plainly, or only if nothing else is said.
+STRONG = frozenset("ad ads advert adverts advertisement advertising adsbox sponsored nav navbar navigation menu breadcrumb breadcrumbs "
+                   "masthead footer sidebar aside cookie cookies gdpr consent comment comments commentlist disqus respond replies "
+                   "newsletter pagination pager complementary contentinfo".split())
+WEAK = frozenset("sponsor promo promotion banner header widget related recommended share sharing social notice notices alert disclaimer "
+                 "subscribe subscription signup login popup modal overlay toolbar search skip hidden".split())
+LAYOUT = frozenset("site page global top bottom left right main inner outer box bar block area section container wrapper wrap list item "
+                   "items link links button buttons icon icons text message msg info warning slot unit panel strip form posts articles "
+                   "stories module group row col column small large".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)|(?=[\s/>]|\Z))""", re.I)
@@ -56,12 +71,17 @@ PARTS = re.compile(r"[^A-Za-z]+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+MIXED, DOUBTFUL, PLAIN = 1, 2, 3
+
+
 @dataclass
 class Page:
     """Flat tree: parallel lists of nodes, and text runs in page order."""
 
     parent: list[int] = field(default_factory=lambda: [-1])
     path: list[str] = field(default_factory=lambda: [""])
+    tag: list[str] = field(default_factory=lambda: [""])
+    named: list[int] = field(default_factory=lambda: [0])
     junk: list[bool] = field(default_factory=lambda: [False])
     block: list[bool] = field(default_factory=lambda: [True])
     container: list[bool] = field(default_factory=lambda: [True])
@@ -74,15 +94,63 @@ def _label(tag: str, attrs: dict[str, str]) -> str:
     return ".".join([tag, *classes])
 
 
-def _is_junk(tag: str, attrs: dict[str, str]) -> bool:
+def _is_skipped(tag: str, attrs: dict[str, str]) -> bool:
+    """Furniture or unseen by its tag or attributes, whatever its name."""
     if tag in SKIPPED:
         return True
     if not attrs or tag in ("html", "body", "article", "main"):
         return False
-    if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or HIDDEN.search(attrs.get("style", "")):
-        return True
-    names = " ".join(attrs.get(a, "") for a in ("class", "id", "role"))
-    return any(w.lower() in JUNK for w in PARTS.split(CAMEL.sub(" ", names)))
+    return "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or bool(HIDDEN.search(attrs.get("style", "")))
+
+
+def _named(tag: str, attrs: dict[str, str]) -> int:
+    """What the names say: PLAIN, DOUBTFUL, only MIXED with other words, or nothing (0)."""
+    if not attrs or tag in ("html", "body", "article", "main"):
+        return 0
+    found = 0
+    for name in " ".join(attrs.get(a, "") for a in ("class", "id", "role")).split():
+        words = {w.lower() for w in PARTS.split(CAMEL.sub(" ", name)) if w}
+        if words & STRONG:
+            return PLAIN
+        if words & WEAK:
+            found = max(found, DOUBTFUL if words <= WEAK | LAYOUT else MIXED)
+    return found
+
+
+def _settle(page: Page) -> None:
+    """Mark the named containers that are furniture, and find the headline."""
+    n = len(page.parent)
+    size, linked = np.zeros(n), np.zeros(n)
+    for node, text, link in page.runs:
+        if node >= 0 and not page.junk[node]:
+            chars = len("".join(text.split()))
+            size[node] += chars
+            linked[node] += chars if link else 0
+    head, main = np.zeros(n, bool), np.zeros(n, bool)
+    for k in range(n):
+        head[k] = page.tag[k] == "h1" and not page.junk[k]
+        main[k] = page.tag[k] == "main"
+    for k in range(n - 1, 0, -1):
+        up = page.parent[k]
+        size[up] += size[k]
+        linked[up] += linked[k]
+        head[up] |= head[k]
+        main[up] |= main[k]
+    in_article = [False] * n
+    for k in range(1, n):
+        up = page.parent[k]
+        in_article[k] = in_article[up] or page.tag[up] in ("article", "main")
+        if page.junk[up]:
+            page.junk[k] = True
+        if page.junk[k]:
+            continue
+        most = 2 * size[k] > size[0]
+        if page.named[k] == PLAIN:
+            page.junk[k] = not (most and (head[k] or main[k]))
+        elif page.named[k]:
+            kept = most or (head[k] and in_article[k])
+            page.junk[k] = not kept and (page.named[k] == DOUBTFUL or 2 * linked[k] >= size[k] > 0)
+    page.headline = next((k for k in range(n) if page.tag[k] == "h1" and not page.junk[k]), -1)
 
 
 def parse(source: str) -> Page:
@@ -154,16 +222,17 @@ def parse(source: str) -> Page:
         block = tag not in INLINE and "-" not in tag
         page.parent.append(up)
         page.path.append(f"{page.path[up]}>{_label(tag, attrs)}" if block else page.path[up])
-        page.junk.append(page.junk[up] or _is_junk(tag, attrs))
+        page.tag.append(tag)
+        page.named.append(_named(tag, attrs))
+        page.junk.append(page.junk[up] or _is_skipped(tag, attrs))
         page.block.append(block)
         page.container.append(tag in CONTAINERS)
         if block:
             page.runs.append((-1, " ", False))
-        if tag == "h1" and page.headline < 0 and not page.junk[node]:
-            page.headline = node
         if not (raw.rstrip().endswith("/") and tag == "svg"):
             stack.append((tag, node))
             links += tag == "a"
+    _settle(page)
     return page
 
 
@@ -213,6 +282,27 @@ def best_path(scores: dict[str, tuple[float, float]]) -> str:
     return max(scores, key=lambda p: (scores[p][0], p))
 
 
+def widened(page: Page, path: str) -> str:
+    """The path, or that of the widest container around it with clean text of its own.
+
+    A container's own text stands in it but in no container within it; links
+    don't count, nor do html, body and the page as a whole, which hold what
+    the rest of a site puts around its articles."""
+    near = [0] * len(page.parent)
+    for k in range(1, len(page.parent)):
+        near[k] = k if page.container[k] else near[page.parent[k]]
+    own = {near[node] for node, text, link in page.runs if node >= 0 and not link and not page.junk[node] and text.strip()}
+    wide, depth = path, path.count(">")
+    for k in range(1, len(page.parent)):
+        if page.container[k] and page.path[k] == path:
+            up = near[page.parent[k]]
+            while up and page.tag[up] not in ("html", "body"):
+                if up in own and page.path[up].count(">") < depth:
+                    wide, depth = page.path[up], page.path[up].count(">")
+                up = near[page.parent[up]]
+    return wide
+
+
 def text_at(page: Page, path: str) -> str:
     """Clean text of all containers with that path, blocks in page order."""
     inside = [False] * len(page.parent)
@@ -238,9 +328,10 @@ def winning_paths(pages: DataFrame) -> DataFrame:
         for rb in pieces(batches, "html"):
             hosts, paths, scores = [], [], []
             for h, source in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), strict=True):
-                found = container_scores(parse(source))
+                page = parse(source)
+                found = container_scores(page)
                 if found:
-                    path = best_path(found)
+                    path = widened(page, best_path(found))
                     hosts.append(h)
                     paths.append(path)
                     scores.append(round(found[path][0] * 1e6))
@@ -273,6 +364,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 scores = container_scores(page)
                 if path not in scores or scores[path][1] < 0.5:
                     path = best_path(scores) if scores else None
+                if path is not None:
+                    path = widened(page, path)
                 out.append(text_at(page, path) if path is not None else "")
                 used.append(path)
             yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), pa.array(out, pa.string()), pa.array(used, pa.string()), rb.column(3)],

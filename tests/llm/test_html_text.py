@@ -67,3 +67,46 @@ def test_large_host_tables_are_joined_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(x, "BROADCAST_BYTES", -1)
     rows = [(k, f"http://h{k}.example/", PAGE.format(k=k)) for k in range(3)]
     assert {r.page_id: r.text for r in x.query(pages_df(spark, rows)).collect()} == {k: wanted(k) for k in range(3)}
+
+
+def one(source):
+    page = x.parse(source)
+    return x.text_at(page, x.widened(page, x.best_path(x.container_scores(page))))
+
+
+BODY = "Body text with a good many words in it, more than all the rest of the page has. " * 3
+KEPT = [
+    # names that only hold a doubtful word
+    ('<article><div class="article-header"><h1>T</h1><p>Lead para.</p></div><p>Body.</p></article>', "T Lead para. Body."),
+    ('<article><div class="header"><h1>T</h1><p>Lead para.</p></div><p>Body.</p></article>', "T Lead para. Body."),
+    (f'<body><h1>T</h1><div class="share-price-report"><p>{BODY}</p></div></body>', f"T {BODY}".strip()),
+    (f'<article><h1>T</h1><p>{BODY}</p><div class="share-price">It rose.</div></article>', f"T {BODY}It rose."),
+    (f'<body><div id="content-sidebar-wrap"><h1>T</h1><p>{BODY}</p><div class="sidebar"><p>Other</p></div></div></body>', f"T {BODY}".strip()),
+    (f'<body><div class="alert"><p>{BODY}</p></div><p><a href=/>x</a></p></body>', BODY.strip()),
+    # an introduction above the body
+    (f"<body><div class=post><p>Intro words here.</p><div class=text><p>{BODY}</p></div></div></body>", f"Intro words here. {BODY}".strip()),
+    (f"<body><div class=post><p>Intro.</p><div class=a><div class=text><p>{BODY}</p></div></div></div></body>", f"Intro. {BODY}".strip()),
+]
+DROPPED = [
+    '<div class="site-header"><p>Site name</p></div>', '<div class="share-bar"><p>Share this</p></div>', '<div class="cookie-notice">We use them</div>',
+    '<div class="post-share"><a href=/>one</a> <a href=/>two</a></div>', '<div class="related-articles"><p>Else</p></div>',
+    f'<div class="comments-area"><p>{BODY * 2}</p></div>', '<div class="notice">Closed today</div>', '<div class="newsletter-teaser"><p>Sign up</p></div>',
+    '<div hidden>unseen</div>', '<div role="navigation">menu</div>']
+
+
+def test_article_text_in_containers_with_doubtful_names():
+    for source, want in KEPT:
+        assert one(source) == want, source
+
+
+def test_furniture_stays_out():
+    for junk in DROPPED:
+        for page in (f"<body><article><h1>T</h1><p>{BODY}</p>{junk}</article></body>", f"<body>{junk}<div class=post><h1>T</h1><p>{BODY}</p></div></body>"):
+            assert one(page) == f"T {BODY}".strip(), page
+
+
+def test_pages_without_article_keep_their_introduction(spark):
+    source = "<body><div class=top>Site</div><div class=post>{}<div class=text><p>" + BODY + "</p></div></div></body>"
+    rows = [(k, "http://i.example/", source.format("<p>Intro.</p>" if k == 3 else "")) for k in range(6)]
+    got = {r.page_id: r.text for r in x.query(pages_df(spark, rows)).collect()}
+    assert got == {k: ("Intro. " + BODY if k == 3 else BODY).strip() for k in range(6)}
