@@ -6,8 +6,9 @@ size fixed by ``license_texts``, so it is broadcast).  A hit votes for the
 diagonal place-in-text minus place-in-template.  Diagonals of one template that
 lie close together (words put in or left out) are merged, hits far apart on
 them are cut into spans, and a span counts if its hits, whose words are compared
-one by one, cover enough of the template's words.  Of spans that overlap
-(licences quote each other) those with the largest share stay.
+one by one, cover enough of the template's words.  Spans of a text are kept from the
+largest share down, each unless it overlaps a better one that was kept
+(licences quote each other); equally good ones that overlap all stay.
 
 Next to the method, the places of the fixed phrases are counted exactly.
 
@@ -17,6 +18,9 @@ each; a text without any hit has no labels and score 0.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -96,13 +100,32 @@ def spans(found: DataFrame, gram: int = GRAM) -> DataFrame:
                           F.lit(0), lambda a, x: a + x)
     kept = grouped.withColumn("covered", covered).withColumn("share", F.col("covered") / F.col("t_words")) \
         .where((F.col("share") >= COVER) | (F.col("covered") >= LONG_COVER))
-    order = Window.partitionBy("doc_id", "key").orderBy("start", "stop", "template")
-    reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    lumps = kept.withColumn("fresh", (F.col("start") >= F.coalesce(reach, F.lit(0))).cast("int")) \
-        .withColumn("lump", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    best = F.max(F.struct("share", "covered")).over(Window.partitionBy("doc_id", "key", "lump"))
-    return lumps.withColumn("best", best).where((F.col("share") == F.col("best.share")) & (F.col("covered") == F.col("best.covered"))) \
-        .select(*text, "label", "start", "stop", "covered", "share")
+    fields = ["start", "stop", "covered", "share", "template", "label"]
+    each = kept.groupBy("doc_id", "key").agg(F.collect_list(F.struct(*fields)).alias("spans"))
+    best = F.udf(_best_spans, "array<struct<start: int, stop: int, covered: int, share: double, template: int, label: string>>", useArrow=True)
+    return each.select("doc_id", "key", F.inline(best("spans"))).select(*text, "label", "start", "stop", "covered", "share")
+
+
+def _best_spans(spans):
+    """Greedy choice among the spans of one text (short rows, only texts with verified spans get here)."""
+    def rank(s):
+        return s["share"], s["covered"]
+
+    starts, stops, out = [], [], []      # disjoint runs taken by better spans, in order
+    for _, equal in groupby(sorted(spans, key=rank, reverse=True), rank):
+        fresh = []
+        for s in equal:
+            k = bisect_right(starts, s["stop"] - 1)
+            if k == 0 or stops[k - 1] <= s["start"]:
+                fresh.append(s)
+        for s in fresh:
+            start, stop = s["start"], s["stop"]
+            lo, hi = bisect_left(stops, start), bisect_right(starts, stop)
+            if lo < hi:
+                start, stop = min(start, starts[lo]), max(stop, stops[hi - 1])
+            starts[lo:hi], stops[lo:hi] = [start], [stop]
+        out += fresh
+    return out
 
 
 def _places(spaced: Column, phrase: str) -> tuple[Column, Column, Column]:

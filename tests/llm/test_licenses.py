@@ -1,3 +1,5 @@
+import random
+
 from ledgerline.llm import licenses as lic
 from ledgerline.llm.common import documents
 from ledgerline.llm.license_texts import PHRASES, TEMPLATES
@@ -69,3 +71,26 @@ def test_brute_force_hits(spark):
     places = lic.templates(spark, [("t", "z a b c d e"), ("u", "c d e a b")])
     got = sorted((r.doc_id, r.template, r.pos, r.t_pos) for r in lic.hits(lic.with_words(docs_df(spark, rows)), places).collect() if r.doc_id)
     assert got == [(1, 0, 0, 1), (1, 0, 1, 2), (1, 0, 5, 1), (1, 1, 2, 0), (1, 1, 3, 1), (2, 1, 0, 0)]
+
+
+def test_a_chain_of_overlapping_templates_loses_only_what_a_kept_one_covers(spark):
+    w = [f"w{k}" for k in range(300)]
+    table = [("a", " ".join(w[:100])), ("b", " ".join(w[90:190] + ["b1"] * 10)), ("c", " ".join(w[180:280] + ["c1"] * 20)), ("d", " ".join(w[:100]))]
+    rows = [(1, " ".join(w[:280])), (2, " ".join(w[180:280])), (1, " ".join(w[90:280]))]
+    got = sorted((r.doc_id, [(s.label, s.start, s.stop) for s in r.spans]) for r in lic.scan(docs_df(spark, rows), table).collect())
+    assert got == [(1, [("a", 0, 100), ("d", 0, 100), ("c", 180, 280)]), (1, [("b", 0, 100)]), (2, [("c", 0, 100)])]
+
+
+def test_best_spans_against_brute_force():
+    rng = random.Random(7)
+    for _ in range(300):
+        spans = []
+        for k in range(rng.randrange(12)):
+            a = rng.randrange(60)
+            spans.append({"start": a, "stop": a + rng.randrange(1, 25), "covered": rng.randrange(3), "share": rng.randrange(4) / 4, "template": k, "label": "x"})
+        want = []
+        for s in sorted(spans, key=lambda s: (-s["share"], -s["covered"])):
+            better = [o for o in want if (o["share"], o["covered"]) > (s["share"], s["covered"])]
+            if all(o["stop"] <= s["start"] or s["stop"] <= o["start"] for o in better):
+                want.append(s)
+        assert lic._best_spans(spans) == want
