@@ -21,7 +21,7 @@ whose deletion leaves nothing is no word; empty tables give no rows.
 
 from __future__ import annotations
 
-import re
+from array import array
 from collections import Counter
 from zlib import crc32
 
@@ -33,15 +33,17 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.common import pieces, stash
 
-RUN = re.compile("[A-Za-zÀ-ÿ]+")
-LOWER_AZ = {c: c + 32 for c in range(0x41, 0x5B)}
+# letters in Latin-1, A-Z lower-cased; all else is a blank
+RUN_BYTES = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >= 0xC0 else 0x20 for c in range(256))
 NOISE = 199
 LETTERS, OCCURRENCES, RATIO = 6, 5, 5
 COARSE, GROUPS = 3, 26    # letter groups by code point modulo GROUPS; COARSE ranges of them
 BLOCK = 50_000            # words of one task
 LEAF = 128                # words of a node that are compared at once
 WIDE = 40                 # code points up to which pairs are verified as rows of a matrix
-HELD = 500_000            # distinct words that a task counts before it passes them on
+HELD = 500_000            # distinct words that a task counts before it passes them on ...
+HELD_BYTES = 64 << 20     # ... or so many bytes of them
+SHORT = 48                # bytes of a run up to which checksums are combined in bulk
 
 
 def noisy(word: str, h: int) -> str:
@@ -52,25 +54,87 @@ def noisy(word: str, h: int) -> str:
     return word[:k] + word[k + 1:]
 
 
-def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(word, n) of all runs, lower-cased and with the planted deletions."""
+def _utf8(run: bytes) -> bytes:
+    return run if run.isascii() else run.decode("latin-1").encode()
+
+
+def _shift_tables() -> np.ndarray:
+    """[n, k, b]: what n more bytes make of a checksum's k-th byte b.  A checksum
+    is linear: crc(x + y) = shift(crc(x), len(y)) ^ crc(y)."""
+    out = np.zeros((SHORT + 1, 4, 256), np.uint32)
+    for n in range(SHORT + 1):
+        zeros = bytes(n)
+        none = crc32(zeros)
+        bits = [crc32(zeros, 1 << bit) ^ none for bit in range(32)]
+        for k in range(4):
+            for bit in range(8):
+                out[n, k, 1 << bit:2 << bit] = out[n, k, :1 << bit] ^ bits[8 * k + bit]
+    return out
+
+
+class _Runs(dict):
+    """Numbers of a task's distinct runs, with their checksums and lengths."""
+
+    def __init__(self):
+        self.crc, self.size, self.held = array("I"), array("I"), 0
+
+    def __missing__(self, run: bytes) -> int:
+        written = _utf8(run)
+        self[run] = k = len(self)
+        self.crc.append(crc32(written))
+        self.size.append(min(len(written), SHORT + 1))
+        self.held += len(run)
+        return k
+
+
+def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", letters: int = 1) -> DataFrame:
+    """(word, n) of all runs, lower-cased and with the planted deletions, that
+    have at least ``letters`` code points.
+
+    A task numbers its distinct runs; the checksums of id and run are combined
+    from those of both for a batch at once, and only runs that lose a code
+    point (or have over ``SHORT`` bytes) are looked at one by one."""
 
     def run(batches):
-        total: Counter[str] = Counter()
+        shift = _shift_tables()
+        known, counts, lost = _Runs(), np.zeros(1 << 16, np.int64), Counter()
 
         def flush():
-            rb = pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
-            total.clear()
-            return rb
+            words = [w.decode("latin-1") for w in known]
+            n = counts[:len(words)].tolist()
+            kept = [k for k, w in enumerate(words) if n[k] and len(w) >= letters]
+            found = [(w, m) for w, m in lost.items() if len(w) >= letters]
+            return pa.RecordBatch.from_arrays([pa.array([words[k] for k in kept] + [w for w, _ in found], pa.string()),
+                                               pa.array([n[k] for k in kept] + [m for _, m in found], pa.int64())], ["word", "n"])
 
         for rb in pieces(batches):
+            starts, sizes, met = [], [], array("I")
             for doc_id, text in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), strict=True):
-                start = crc32(f"{'' if doc_id is None else doc_id}:".encode())
-                for word, n in Counter(RUN.findall(text.translate(LOWER_AZ) if not text.isascii() else text.lower())).items():
-                    h = crc32(word.encode(), start)
-                    total[word if h % NOISE else noisy(word, h)] += n
-                if len(total) >= HELD:
-                    yield flush()
+                # code points over FF become '?', no letter either
+                runs = text.encode("latin-1", "replace").translate(RUN_BYTES).split()
+                starts.append(crc32(f"{'' if doc_id is None else doc_id}:".encode()))
+                sizes.append(len(runs))
+                met.extend(map(known.__getitem__, runs))
+            ids = np.frombuffer(met, np.uint32)
+            x, doc = np.array(starts, np.uint32), np.repeat(np.arange(len(starts)), sizes)
+            moved = np.zeros((len(x), SHORT + 1), np.uint32)
+            for k in range(4):
+                moved ^= shift[:, k, (x >> np.uint32(8 * k)) & np.uint32(255)].T
+            size = np.frombuffer(known.size, np.uint32)[ids]
+            long = size > SHORT
+            h = np.frombuffer(known.crc, np.uint32)[ids] ^ moved[doc, np.minimum(size, SHORT)]
+            alone = (h % np.uint32(NOISE) == 0) | long
+            if len(counts) < len(known):
+                counts = np.concatenate((counts, np.zeros(2 * len(known) - len(counts), np.int64)))
+            counts[:len(known)] += np.bincount(ids[~alone], minlength=len(known))
+            if alone.any():
+                names = list(known)
+                for k in np.flatnonzero(alone).tolist():
+                    word = names[ids[k]]
+                    lost[noisy(word.decode("latin-1"), crc32(_utf8(word), starts[doc[k]]))] += 1
+            if len(known) >= HELD or known.held >= HELD_BYTES:
+                yield flush()
+                known, counts, lost = _Runs(), np.zeros(1 << 16, np.int64), Counter()
         yield flush()
 
     clean = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -223,7 +287,7 @@ def variants(docs: DataFrame, letters: int = LETTERS, occurrences: int = OCCURRE
              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(word, form, root, n, n_near, form_n) of every word with at least
     ``letters`` code points and ``occurrences`` occurrences."""
-    words = stash(word_counts(docs, id_col, text_col).where((F.length("word") >= letters) & (F.col("n") >= occurrences)), "spelling-counts")
+    words = stash(word_counts(docs, id_col, text_col, letters).where((F.length("word") >= letters) & (F.col("n") >= occurrences)), "spelling-counts")
     table = words.join(near_words(words), "word", "left")
     has = F.col("near_n") >= ratio * F.col("n")
     table = stash(table.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(has, F.col("near")).alias("form"),

@@ -104,3 +104,26 @@ def test_empty(spark):
 def test_one_edit():
     assert s.one_edit(b"abc", b"abd") and s.one_edit(b"abc", b"abcd") and s.one_edit(b"abc", b"xabc") and s.one_edit(b"", b"a")
     assert not s.one_edit(b"abc", b"abc") and not s.one_edit(b"abc", b"acb") and not s.one_edit(b"abc", b"abcde") and not s.one_edit(b"abc", b"bacd")
+
+
+def test_combined_checksums():
+    shift = s._shift_tables()
+    for start in (0, 1, 0x80000000, 0xDEADBEEF, crc32(b"17:")):
+        for word in (b"", b"a", b"letters", "éàabc".encode(), b"x" * s.SHORT):
+            moved = 0
+            for k in range(4):
+                moved ^= int(shift[len(word), k, start >> 8 * k & 255])
+            assert moved ^ crc32(word) == crc32(word, start)
+
+
+def test_word_counts_of_long_runs_and_texts_without_letters(spark):
+    rows = [(k, t) for k in range(250) for t in ("ABCdefgh x" + "é" * 30 + " 漢字abcdefgh×y", "z" * 49 + " " + "q" * 5000, None, "漢 1")]
+    want = Counter()
+    for i, t in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            low = "".join(c.lower() if c.isascii() else c for c in run)
+            want[s.noisy(low, crc32(f"{i}:{low}".encode()))] += 1
+    got = {r.word: r.n for r in s.word_counts(docs_df(spark, rows)).collect()}
+    assert got == {w: n for w, n in want.items() if w}
+    assert s.word_counts(docs_df(spark, [(1, "1 2"), (2, None)])).count() == 0
+    assert {r.word for r in s.word_counts(docs_df(spark, rows), letters=40).collect()} == {w for w in want if len(w) >= 40}
