@@ -32,7 +32,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -44,6 +43,8 @@ END = 256                      # symbol after the last byte of a text
 SYMBOLS = 257
 CHUNK_BYTES = 4 << 20
 SLICE_BYTES = 1 << 20          # texts whose symbols are handled at a time (one text at least)
+SLICE_BITS = 20                # and at most so many bits to number them
+SPACE = np.isin(np.arange(256), (0x20, *range(0x09, 0x0E)))
 
 
 @dataclass(frozen=True)
@@ -178,39 +179,75 @@ def train(docs: DataFrame, params: PpmParams = PpmParams()) -> Model:
     return Model(params.order, col["level"], col["context"], col["symbol"], col["n"])
 
 
-def _split(raw: list[bytes]) -> tuple[list[list[bytes]], list[bytes]]:
-    """Words of each text, and the sorted distinct ones after b'' (the end token)."""
-    docs = [t.split() for t in raw]
-    return docs, sorted({b"", *(w for d in docs for w in d)})
+def _words(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """For every word of the texts: its place among the sorted distinct words
+    and the text it stands in; and the distinct words after b'' (the end
+    token, place 0)."""
+    joined = np.frombuffer(b" ".join([b"", *raw, b""]), np.uint8)
+    inside = ~SPACE[joined]
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    size = np.array([len(t) + 1 for t in raw], np.int64)
+    owner = np.searchsorted(np.cumsum(size), edge[::2] - 1, "right")
+    offsets = np.append(0, np.cumsum(edge[1::2] - edge[::2]))
+    words = pa.Array.from_buffers(pa.large_binary(), len(owner), [None, pa.py_buffer(offsets), pa.py_buffer(joined[inside])]).dictionary_encode()
+    order = pc.sort_indices(words.dictionary)
+    place = np.empty(len(order), np.int64)
+    place[order.to_numpy()] = np.arange(1, len(order) + 1)
+    distinct = pa.concat_arrays([pa.array([b""], pa.binary()), words.dictionary.take(order).cast(pa.binary())])
+    return place[words.indices.to_numpy()], owner, distinct
 
 
 def _codes(raw: list[bytes], order: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For slices of the texts: first and last text, the code (context, then
-    symbol) of every place, and the first place of each text."""
+    symbol) of every place, and the text of each place, counted in the slice.
+    The bits above a code can hold that number."""
     ends = np.cumsum([len(t) for t in raw])
-    at = 0
+    at, most = 0, 1 << min(SLICE_BITS, 54 - 8 * order)
     while at < len(raw):
         stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right")))
+        stop = min(stop, at + most)
         x, place, first = _symbols(raw[at:stop], order)
         code = np.zeros(len(place), np.int64)
         for k in range(order, 0, -1):
             code = code << 8 | x[place - k]
-        yield at, stop, code << 9 | x[place], first
+        yield at, stop, code << 9 | x[place], np.repeat(np.arange(stop - at), np.diff(np.append(first, len(place))))
         at = stop
 
 
+def _runs(ordered: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins, and the length at the end."""
+    return np.append(np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])), len(ordered)) if len(ordered) else np.zeros(1, np.int64)
+
+
 def _distinct_codes(raw: list[bytes], held: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """The texts' distinct codes in order, and their counts in the training texts."""
     found, counts = [np.zeros(0, np.int64)], [np.zeros(0)]
-    for at, stop, code, first in _codes(raw, order):
-        size = np.diff(np.append(first, len(code)))
-        where, codes = pd.factorize(code)
-        found.append(codes)
-        counts.append(np.bincount(where, np.repeat(1 - held[at:stop], size), len(codes)))
+    for at, stop, code, owner in _codes(raw, order):
+        code = code << 1 | held[at:stop][owner]
+        code.sort()
+        run = _runs(code)
+        code = code[run[:-1]]
+        found.append(code >> 1)
+        counts.append(np.diff(run) * (1 - (code & 1)))
     codes, where = np.unique(np.concatenate(found), return_inverse=True)
     return codes, np.bincount(where, np.concatenate(counts), len(codes)).astype(np.int64)
 
 
+def _ppm_scores(raw: list[bytes], order: int, codes: np.ndarray, logp: np.ndarray) -> np.ndarray:
+    """Natural log probability of each text, from the sorted codes and theirs."""
+    out = [np.zeros(0)]
+    for at, stop, code, owner in _codes(raw, order):
+        bits = (stop - at).bit_length()
+        code = code << bits | owner                      # in the order of the codes, their lookup is local
+        code.sort()
+        owner = code & ((1 << bits) - 1)
+        code >>= bits
+        run = _runs(code)
+        each = logp[np.searchsorted(codes, code[run[:-1]])]
+        out.append(np.bincount(owner, np.repeat(each, np.diff(run)), stop - at))
+    return np.concatenate(out)
+
+
 def chunk_counts(chunked: DataFrame, order: int | None) -> DataFrame:
     """(chunk, place, word, code, n) for every distinct word, then every
     distinct code (none without an order) of every chunk: its place among the
@@ -218,24 +255,20 @@ def chunk_counts(chunked: DataFrame, order: int | None) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         raw = [t.translate(LOWER) for t in table.column("text").cast(pa.binary()).to_pylist()]
-        held = table.column("held_out").to_pylist()
-        docs, words = _split(raw)
-        n = dict.fromkeys(words, 0)
-        for d, h in zip(docs, held, strict=True):
-            if not h:
-                n[b""] += 1
-                for w in d:
-                    n[w] += 1
+        held = table.column("held_out").to_numpy().astype(np.int64)
+        ids, owner, words = _words(raw)
+        n = np.bincount(ids, 1 - held[owner], len(words)).astype(np.int64)
+        n[0] = len(raw) - held.sum()
         codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if order is not None:
-            codes, counts = _distinct_codes(raw, np.array(held, np.int64), order)
+            codes, counts = _distinct_codes(raw, held, order)
         chunk = table.column("chunk")[0].as_py()
         rows = len(words) + len(codes)
         return pa.table({"chunk": pa.array(np.full(rows, chunk, np.int64)),
                          "place": pa.array(np.concatenate([np.arange(len(words)), np.arange(len(codes))]).astype(np.int32)),
-                         "word": pa.chunked_array([pa.array(words, pa.binary()), pa.nulls(len(codes), pa.binary())]).combine_chunks(),
+                         "word": pa.chunked_array([words, pa.nulls(len(codes), pa.binary())]).combine_chunks(),
                          "code": pa.chunked_array([pa.nulls(len(words), pa.int64()), pa.array(codes)]).combine_chunks(),
-                         "n": pa.array(np.concatenate([np.array([n[w] for w in words], np.int64), counts]))})
+                         "n": pa.array(np.concatenate([n, counts]))})
 
     return stash(chunked.groupBy("chunk").applyInArrow(run, "chunk long, place int, word binary, code long, n long"), "ppm-chunks")
 
@@ -245,7 +278,7 @@ def word_counts(found: DataFrame) -> DataFrame:
     training documents; lead marks one row of each word."""
     w = Window.partitionBy("word")
     counted = found.where("word IS NOT NULL").select(
-        "chunk", "place", F.sum("n").over(w).alias("c"), (F.row_number().over(w.orderBy("chunk")) == 1).alias("lead"))
+        "chunk", "place", F.sum("n").over(w).alias("c"), (F.min("chunk").over(w) == F.col("chunk")).alias("lead"))
     return stash(counted, "ppm-words")
 
 
@@ -304,38 +337,27 @@ def score(docs: DataFrame, params: PpmParams = PpmParams(), id_col: str = "doc_i
         looked_up = looked_up.unionByName(found.where("code IS NOT NULL").select("chunk", "code").join(settled(found, params.order), "code")
                                           .select("chunk", F.col("code").alias("place"), F.lit(None).cast("long").alias("c"), "logp"))
 
-    def ppm_scores(raw: list[bytes], codes: np.ndarray, logp: np.ndarray) -> np.ndarray:
-        if not whole:
-            return np.concatenate([model.value.score(raw[k:k + 256]) for k in range(0, len(raw), 256)] or [np.zeros(0)])
-        out = [np.zeros(0)]
-        for _, _, code, first in _codes(raw, params.order):
-            where, distinct = pd.factorize(code)
-            out.append(np.add.reduceat(logp[np.searchsorted(codes, distinct)][where], first))
-        return np.concatenate(out)
-
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         raw = [t.translate(LOWER) for t in docs.column("text").cast(pa.binary()).to_pylist()]
-        split, distinct = _split(raw)
+        ids, owner, distinct = _words(raw)
         words = found.filter(pc.is_valid(found.column("c")))
         c = np.zeros(len(distinct), np.int64)
         c[words.column("place").to_numpy()] = words.column("c").to_numpy()
-        coded = found.filter(pc.is_valid(found.column("logp")))
-        codes, logp = coded.column("place").to_numpy(), coded.column("logp").to_numpy()
-        by = np.argsort(codes)
-        at = {w: k for k, w in enumerate(distinct)}
         logs = np.log10((c + 1.0) / (n + (v + 1)))
-        tokens, known, base = [], [], []
-        get = at.__getitem__
-        for d in split:
-            ids = np.fromiter(map(get, d), np.int64, len(d))
-            tokens.append(len(d) + 1)
-            known.append(int((c[ids] > 0).sum()) + int(c[0] > 0))
-            base.append(float(logs[ids].sum() + logs[0]))
-        ppm = ppm_scores(raw, codes[by], logp[by]) / np.log(10)
+        tokens = np.bincount(owner, minlength=len(raw)) + 1
+        known = np.bincount(owner, c[ids] > 0, len(raw)).astype(np.int64) + int(c[0] > 0)
+        base = np.bincount(owner, logs[ids], len(raw)) + logs[0]
+        if whole:
+            coded = found.filter(pc.is_valid(found.column("logp")))
+            codes, logp = coded.column("place").to_numpy(), coded.column("logp").to_numpy()
+            by = np.argsort(codes)
+            ppm = _ppm_scores(raw, params.order, codes[by], logp[by])
+        else:
+            ppm = np.concatenate([model.value.score(raw[k:k + 256]) for k in range(0, len(raw), 256)])
         return pa.table({"doc_id": docs.column("doc_id").cast(pa.int64()), "held_out": docs.column("held_out"),
                          "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(known, pa.int64()),
                          "train_tokens": pa.array([n] * len(raw), pa.int64()), "base_score": pa.array(base, pa.float64()),
-                         "score": pa.array(ppm, pa.float64()), "n_bytes": pa.array([len(t) for t in raw], pa.int64())})
+                         "score": pa.array(ppm / np.log(10), pa.float64()), "n_bytes": pa.array([len(t) for t in raw], pa.int64())})
 
     return chunked.groupBy("chunk").cogroup(looked_up.groupBy("chunk")).applyInArrow(
         run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long")
