@@ -1,7 +1,7 @@
 """Token-ID output in Simple-8b word-aligned blocks.
 
-The library encodes each whole text (white-space words that a worker has met
-before are looked up), the end id is appended, and the ids of consecutive
+The library encodes each whole text (pre-tokens that a worker has met before
+are looked up), the end id is appended, and the ids of consecutive
 documents are packed: every 64-bit word holds a 4-bit selector and as many ids
 of the selector's width as fit in 60 bits.  An id too wide for any selector is
 an escape: the selector alone, then the id as a whole word.  Blocks of
@@ -41,8 +41,12 @@ COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 ESCAPE = 15
 BLOCK = 4096
 SEGMENT = 1 << 18        # a segment closes after the document that reaches so many ids
-ODD_SPACE = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\f", "\v")
-KEPT = 250_000           # words whose ids a worker remembers (two generations of about 60 MB)
+# Simple texts: no white space but single blanks and line ends, and beyond ASCII only letters.
+SIMPLE = regex.compile("[\n -~À-ÖØ-öø-įı-ňŊ-ǃǍ-ǯ]*").fullmatch
+ODD_SPACE = ("  ", " \n", "\n ", "\n\n")
+CONTRACTION = regex.compile("'(?:[stmd]|re|ve|ll)").search
+KIND = np.array([0 if c == 0x0A else 4 if c == 0x20 else 1 if c >= 0x80 or chr(c).isalpha() else 2 if chr(c).isdigit() else 3 for c in range(256)], np.uint8)
+KEPT = 400_000           # pre-tokens whose ids a worker remembers (two generations of about 75 MB)
 
 
 def _widths(ids: np.ndarray) -> np.ndarray:
@@ -140,8 +144,30 @@ def unpack(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     return out[:n]
 
 
+def _simple(text: str) -> bool:
+    """Whether a text's pre-tokens begin just where the kind of character changes."""
+    return SIMPLE(text) is not None and text[0] not in " \n" and text[-1] not in " \n" and not any(x in text for x in ODD_SPACE) \
+        and not ("'" in text and CONTRACTION(text))
+
+
+def _pretokens(texts: list[bytes]) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Of simple texts: the number of every pre-token among the distinct ones,
+    these, and the first place of each text (and the end).  A blank belongs to
+    what follows it; a line end stands alone."""
+    joined = np.frombuffer(b"\n".join(texts), np.uint8)
+    if not len(joined):
+        return np.zeros(0, np.int64), [], np.zeros(1, np.int64)
+    kind = KIND[joined]
+    start = np.append(0, np.flatnonzero((kind[1:] != kind[:-1]) & (joined[:-1] != 0x20)) + 1)
+    offsets = np.append(start, len(joined))
+    found = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(joined)]).dictionary_encode()
+    between = np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts])[:-1] - 1)      # the line ends between texts belong to none
+    which = np.delete(found.indices.to_numpy(), between)
+    return which, found.dictionary.cast(pa.large_string()).to_pylist(), np.concatenate([[0], between - np.arange(len(between)), [len(which)]])
+
+
 class Encoder:
-    """The ids of texts as the tokenizers library gives them, by white-space word."""
+    """The ids of texts as the tokenizers library gives them, by pre-token."""
 
     def __init__(self, path: str):
         self.path, self.tokenizer, d = path, tokenizer(path), definition(path)
@@ -163,27 +189,6 @@ class Encoder:
             self.model = BPE(vocab=m["vocab"], merges=merges, cache_capacity=0)
         self.words = Recent(KEPT)
 
-    def _units(self, text: str) -> list[str]:
-        """The looked-up units of a plain text.  Between single blanks and line
-        ends every word is one: with the blank before it, or after a line end."""
-        if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in ODD_SPACE):
-            return self.pattern.findall(text)
-        words = text.replace("\n", " \n").split(" ")
-        words[1:] = [w if w[0] == "\n" else " " + w for w in words[1:]]
-        return words
-
-    def _learn(self, fresh: list[str]) -> None:
-        """Ids of new units, by the library's model."""
-        plain, other = [], []
-        for u in fresh:
-            (plain if u[0] == " " and u[1:].isalpha() else other).append(u)
-        words = self.words
-        words.update(zip(plain, self._parts(plain), strict=True))      # a unit that is one pre-token
-        split = [self.pattern.findall(u) for u in other]
-        each = list(dict.fromkeys(chain.from_iterable(split)))
-        get = dict(zip(each, self._parts(each), strict=True)).__getitem__
-        words.update((u, b"".join(map(get, parts))) for u, parts in zip(other, split, strict=True))
-
     def _parts(self, pretokens: list[str]) -> list[bytes]:
         """Ids of single pre-tokens; one call of the model takes many."""
         out: list[bytes] = []
@@ -198,25 +203,44 @@ class Encoder:
     def _library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _mixed(self, text: str) -> list:
+        """Parts of a text in order: their ids, or their pre-tokens as a list."""
+        if not self.known_kind:
+            return [self._library(text)]
+        parts = self.special.split(text) if self.special is not None else [text]
+        marks = [np.array([self.special_ids[m]], "<u4").tobytes() for m in self.special.findall(text)] if len(parts) > 1 else []
+        out: list = []
+        for k, p in enumerate(parts):
+            if p:
+                out.append(self.pattern.findall(p) if PLAIN(p) else self._library(p))
+            if k < len(marks):
+                out.append(marks[k])
+        return out
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        made: list[list] = []                            # of each text: bytes, or a list of units
-        for t in texts:
-            if not self.known_kind:
-                made.append([self._library(t)])
-                continue
-            parts = self.special.split(t) if self.special is not None else [t]
-            marks = [np.array([self.special_ids[m]], "<u4").tobytes() for m in self.special.findall(t)] if len(parts) > 1 else []
-            out: list = []
-            for k, p in enumerate(parts):
-                if p:
-                    out.append(self._units(p) if PLAIN(p) else self._library(p))
-                if k < len(marks):
-                    out.append(marks[k])
-            made.append(out)
-        self._learn(self.words.fresh(set(chain.from_iterable(x for out in made for x in out if isinstance(x, list)))))
-        get = self.words.__getitem__
-        return [b"".join(b"".join(map(get, x)) if isinstance(x, list) else x for x in out) for out in made]
+        plain, mixed = [], {}
+        for k, t in enumerate(texts):
+            if t and self.known_kind and _simple(t) and not (self.special is not None and self.special.search(t)):
+                plain.append(k)
+            else:
+                mixed[k] = self._mixed(t)
+        which, distinct, bounds = _pretokens([texts[k].encode() for k in plain])
+        words = self.words
+        fresh = words.fresh({*distinct, *chain.from_iterable(x for parts in mixed.values() for x in parts if isinstance(x, list))})
+        words.update(zip(fresh, self._parts(fresh), strict=True))
+        get, out = words.__getitem__, [b""] * len(texts)
+        for k, parts in mixed.items():
+            out[k] = b"".join(b"".join(map(get, x)) if isinstance(x, list) else x for x in parts)
+        each = list(map(get, distinct))
+        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        first, held = np.cumsum(size) - size, size[which]
+        ends = np.append(0, np.cumsum(held))
+        ids = np.frombuffer(b"".join(each), "<u4")[np.repeat(first[which] - ends[:-1], held) + np.arange(ends[-1])].tobytes()
+        cuts = (4 * ends[bounds]).tolist()
+        for k, p, q in zip(plain, cuts, cuts[1:], strict=False):
+            out[k] = ids[p:q]
+        return out
 
     def encode(self, text: str) -> bytes:
         return self.encode_batch([text])[0]

@@ -74,10 +74,10 @@ class Recent(dict):
 
     def fresh(self, wanted: set) -> list:
         """The keys that are in neither generation; others become young."""
-        if len(self) + len(wanted) > self.kept:
-            self.old = dict(self)
-            self.clear()
         new = wanted.difference(self)
+        if len(self) + len(new) > self.kept:
+            self.old, new = dict(self), wanted
+            self.clear()
         old = self.old
         for w in new.intersection(old):
             self[w] = old[w]
