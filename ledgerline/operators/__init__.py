@@ -24,6 +24,7 @@ from ledgerline.operators.revenue import (
     share_order_revenue,
 )
 from ledgerline.operators.distinct import distinct_by_period, orders_without_lines
+from ledgerline.operators.fact_store import refresh_fact, store_fact, stored_fact
 from ledgerline.operators.star import (
     dim_category,
     dim_customer,
@@ -49,6 +50,7 @@ __all__ = [
     "orphan_customers", "distinct_by_period", "orders_without_lines", "reference_date", "net_revenue_lines", "order_revenue", "orders_with_revenue",
     "share_order_revenue",
     "dim_category", "dim_customer", "dim_product", "fact_sales", "fact_sales_load",
+    "store_fact", "refresh_fact", "stored_fact",
     "register_star_views", "star_rollup", "star_rollup_sql", "monthly_growth", "monthly_revenue",
     "product_month_base", "product_top", "product_trend", "REPORTS", "export_reports",
 ]
