@@ -264,7 +264,8 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None, end_id: int
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
                         *[k.alias(f"_order{i}") for i, k in enumerate(keys)])
     by = [F.col(f"_order{i}").asc_nulls_first() for i in range(len(keys))] + [F.col("doc_id"), F.xxhash64("text")]
-    dealt = named.repartitionByRange(*by[:len(keys)]).sortWithinPartitions(*by).select("doc_id", "text")
+    # the whole order deals the rows, so many with one id, or with none, are spread too
+    dealt = named.repartitionByRange(*by).sortWithinPartitions(*by).select("doc_id", "text")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         enc, shard, segment = encoder(path), TaskContext.get().partitionId(), 0

@@ -78,3 +78,13 @@ def test_random_strings_equal_the_library():
     for _ in range(3000):
         t = "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 60)))
         assert np.frombuffer(enc.encode(t), "<u4").tolist() == library(t), repr(t)
+
+
+def test_rows_without_an_id_are_spread(spark, tmp_path):
+    rows = [(None, f"text {k} of many") for k in range(3000)] + [(7, f"same id {k}") for k in range(3000)]
+    out = str(tmp_path / "files")
+    tf.write_tokens(docs_df(spark, rows).repartition(4), out)
+    shards = spark.read.parquet(out).groupBy("shard").sum("n_ids").collect()
+    assert len(shards) > 2
+    got = tf.read_tokens(spark, out).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None] * 3000 + [7] * 3000
