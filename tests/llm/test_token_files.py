@@ -83,7 +83,13 @@ def test_random_strings_equal_the_library():
 def test_rows_without_an_id_are_spread(spark, tmp_path):
     rows = [(None, f"text {k} of many") for k in range(3000)] + [(7, f"same id {k}") for k in range(3000)]
     out = str(tmp_path / "files")
-    tf.write_tokens(docs_df(spark, rows).repartition(4), out)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"          # small partitions are merged otherwise
+    was = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        tf.write_tokens(docs_df(spark, rows).repartition(4), out)
+    finally:
+        spark.conf.set(key, was)
     shards = spark.read.parquet(out).groupBy("shard").sum("n_ids").collect()
     assert len(shards) > 2
     got = tf.read_tokens(spark, out).orderBy("start").collect()
