@@ -9,10 +9,15 @@ from ledgerline.functions.dates import month_of, month_start, year_of
 from ledgerline.functions.money import mean_round2, net_amount, ratio, round_out
 from ledgerline.operators.revenue import orders_with_revenue
 from ledgerline.params import DEFAULTS, JoinParams, TrendParams, WindowParams
-from ledgerline.plans.joins import broadcast_fits, join_dimension
+from ledgerline.plans.joins import broadcast_fits, input_bytes, join_dimension
 from ledgerline.plans.ordered import WindowOutputs, ordered_window
+from ledgerline.session import shuffle_partitions_for
 from ledgerline.sources.model import SalesTables
 
+SPREAD_BYTES = 64 << 20        # files of the order lines beyond which steps of line grain are dealt by their size
+GROUPING_BYTES = 8 << 20       # and how much of them one task then takes
+UNKNOWN_BYTES = 1 << 60        # Spark's estimate where it knows no size
+
 
 def monthly_revenue(t: SalesTables) -> DataFrame:
     """(OrderMonth DATE, MonthlyRevenue DECIMAL) over lines that have an order."""
@@ -67,12 +72,30 @@ def _names_identify_products(products: DataFrame) -> bool:
     return products.groupBy("CategoryName", "ProductName").count().where("count > 1").limit(1).count() == 0
 
 
+def _tasks(t: SalesTables) -> int | None:
+    """Tasks for the steps that hold a row per order line, from the lines' file
+    sizes (no job); None where the lines are few or their size is unknown."""
+    size = input_bytes(t.order_details)
+    if size is None or not SPREAD_BYTES < size < UNKNOWN_BYTES:
+        return None
+    return shuffle_partitions_for(size, GROUPING_BYTES)
+
+
+def _spread(x: DataFrame, t: SalesTables, keys: list[str]) -> DataFrame:
+    """``x`` dealt by ``keys`` over ``_tasks``.  Adaptive execution merges the
+    join's partitions up to a number of compressed bytes; there the join only
+    sorts, but a grouping by order holds a row per line in two hash tables."""
+    n = _tasks(t)
+    return x if n is None else x.repartition(n, *keys)
+
+
 def product_month_base(t: SalesTables, join: JoinParams = DEFAULTS.join) -> DataFrame:
     """One row per (month, category, product name): revenue and distinct orders.
 
     Lines join orders on OrderID (both shuffled by OrderID once).  The
     per-order grouping that makes the order count distinct reuses the
-    OrderID partitioning.  The product dimension is attached
+    OrderID partitioning, or with many lines has a shuffle sized by them
+    (``_spread``).  The product dimension is attached
 
     * by broadcast when proven small;
     * otherwise, when every (category, name) pair is one product, after
@@ -87,11 +110,12 @@ def product_month_base(t: SalesTables, join: JoinParams = DEFAULTS.join) -> Data
     keys = ["OrderMonth", "CategoryName", "ProductName"]
     x = lines.join(orders, "OrderID")
     if not broadcast_fits(dims, join) and _names_identify_products(dims):
+        x = _spread(x, t, ["OrderMonth", "ProductID", "OrderID"])
         per_order = x.groupBy("OrderMonth", "ProductID", "OrderID").agg(F.sum("_net").alias("_rev"))
         per_month = per_order.groupBy("OrderMonth", "ProductID").agg(
             F.sum("_rev").alias("MonthlyRevenue"), F.count("OrderID").cast("long").alias("MonthlyOrders"))
         return per_month.join(dims, "ProductID").select(*keys, "MonthlyRevenue", "MonthlyOrders")
-    x = join_dimension(x, dims, on="ProductID", params=join)
+    x = _spread(join_dimension(x, dims, on="ProductID", params=join), t, [*keys, "OrderID"])
     per_order = x.groupBy(*keys, "OrderID").agg(F.sum("_net").alias("_rev"))
     return per_order.groupBy(*keys).agg(F.sum("_rev").alias("MonthlyRevenue"),
                                         F.count("OrderID").cast("long").alias("MonthlyOrders"))

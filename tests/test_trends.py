@@ -112,3 +112,29 @@ def test_product_base_same_when_products_cannot_be_broadcast(spark):
                       categories=categories)
     assert sorted(map(tuple, ops.product_month_base(dup, join=no_bc).collect())) == \
         sorted(map(tuple, ops.product_month_base(dup).collect()))
+
+
+def test_steps_of_line_grain_are_dealt_by_the_size_of_the_lines(spark, tmp_path, monkeypatch):
+    """Many lines: the per-order grouping gets tasks by the lines'
+    size instead of merged partitions; the rows stay."""
+    from dataclasses import replace
+
+    from ledgerline.operators import trends
+    from ledgerline.params import JoinParams
+    products = [(p, f"P{p:02d}", 1 + p % 2) for p in range(1, 21)] + [(21, "P01", 2), (22, None, 1)]
+    lines = [line(o if o % 9 else None, 1 + (o * p) % 22, o % 7 + 1, p) for o in range(1, 60) for p in range(1, 12)]
+    orders = [(o, "A", d(f"2021-{1 + o % 12:02d}-03") if o % 5 else None) for o in range(1, 60)] + [(7, "A", d("2021-08-03")), (8, "A", d("2021-01-09"))]
+    t = make_tables(spark, lines, orders, products=products, categories=[(1, "C1"), (2, "C2")])
+    t.order_details.write.parquet(str(tmp_path / "lines"))
+    t = replace(t, order_details=spark.read.parquet(str(tmp_path / "lines")))
+    frames = (lambda: ops.product_month_base(t), lambda: ops.product_month_base(t, join=JoinParams(broadcast_max_rows=0, broadcast_max_bytes=0)))
+    plain = [sorted(map(str, f().collect())) for f in frames]
+    monkeypatch.setattr(trends, "SPREAD_BYTES", 0)
+    monkeypatch.setattr(trends, "GROUPING_BYTES", 256)
+    n = trends._tasks(t)
+    assert n > 8
+    for f, rows in zip(frames, plain, strict=True):
+        df = f()
+        assert sorted(map(str, df.collect())) == rows
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert f", {n}), REPARTITION_BY_NUM" in plan
