@@ -145,7 +145,7 @@ def product_trend(t: SalesTables, params: TrendParams = DEFAULTS.trend,
     """
     if not set(params.series_by) <= {"ProductName", "CategoryName"} or "ProductName" not in params.series_by:
         raise ValueError("series_by must be ('ProductName',) or ('CategoryName', 'ProductName')")
-    base = _with_series(product_month_base(t, join), params)
+    base = _with_series(_spread(product_month_base(t, join), t, list(params.series_by)), params)
     ranked = ordered_window(
         base, partition_by=["CategoryName", "OrderMonth"], order_keys=[("MonthlyRevenue", False)],
         tiebreak=[("ProductName", True)], outputs=WindowOutputs(dense_rank="RevenueRankInCategory"),
@@ -191,7 +191,7 @@ def product_top(t: SalesTables, params: TrendParams = DEFAULTS.trend, join: Join
     shuffle (``WindowGroupLimit``): a category with most products sends a few
     rows per task, not all of them, and no ordered window over it is needed.
     """
-    base = _with_series(product_month_base(t, join), params)
+    base = _with_series(_spread(product_month_base(t, join), t, list(params.series_by)), params)
     rank = F.dense_rank().over(Window.partitionBy("CategoryName", "OrderMonth").orderBy(F.col("MonthlyRevenue").desc()))
     top = base.withColumn("_rank", rank).where(F.col("_rank") <= params.top_n)
     out = _trend_report(top.withColumn("RevenueRankInCategory", F.col("_rank").cast("long")), params)

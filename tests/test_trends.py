@@ -127,7 +127,8 @@ def test_steps_of_line_grain_are_dealt_by_the_size_of_the_lines(spark, tmp_path,
     t = make_tables(spark, lines, orders, products=products, categories=[(1, "C1"), (2, "C2")])
     t.order_details.write.parquet(str(tmp_path / "lines"))
     t = replace(t, order_details=spark.read.parquet(str(tmp_path / "lines")))
-    frames = (lambda: ops.product_month_base(t), lambda: ops.product_month_base(t, join=JoinParams(broadcast_max_rows=0, broadcast_max_bytes=0)))
+    frames = (lambda: ops.product_month_base(t), lambda: ops.product_month_base(t, join=JoinParams(broadcast_max_rows=0, broadcast_max_bytes=0)),
+              lambda: ops.product_top(t))
     plain = [sorted(map(str, f().collect())) for f in frames]
     monkeypatch.setattr(trends, "SPREAD_BYTES", 0)
     monkeypatch.setattr(trends, "GROUPING_BYTES", 256)
