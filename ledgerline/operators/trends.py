@@ -89,6 +89,12 @@ def _spread(x: DataFrame, t: SalesTables, keys: list[str]) -> DataFrame:
     return x if n is None else x.repartition(n, *keys)
 
 
+def _sorted(out: DataFrame, t: SalesTables, keys: list[str]) -> DataFrame:
+    """``out`` in the order of ``keys``, over ``_tasks`` for the same reason."""
+    n = _tasks(t)
+    return out.orderBy(*keys) if n is None else out.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+
+
 def product_month_base(t: SalesTables, join: JoinParams = DEFAULTS.join) -> DataFrame:
     """One row per (month, category, product name): revenue and distinct orders.
 
@@ -152,7 +158,7 @@ def product_trend(t: SalesTables, params: TrendParams = DEFAULTS.trend,
         params=window, bounded_by=t.products)      # a category-month holds a product once
     out = _trend_report(ranked, params)
     if ordered:
-        out = out.orderBy("CategoryName", "ProductName", "Year", "Month")
+        out = _sorted(out, t, ["CategoryName", "ProductName", "Year", "Month"])
     return out
 
 

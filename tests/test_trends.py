@@ -115,8 +115,8 @@ def test_product_base_same_when_products_cannot_be_broadcast(spark):
 
 
 def test_steps_of_line_grain_are_dealt_by_the_size_of_the_lines(spark, tmp_path, monkeypatch):
-    """Many lines: the per-order grouping gets tasks by the lines'
-    size instead of merged partitions; the rows stay."""
+    """Many lines: the per-order grouping and the final sort get tasks by the
+    lines' size instead of merged partitions; rows and their order stay."""
     from dataclasses import replace
 
     from ledgerline.operators import trends
@@ -130,6 +130,7 @@ def test_steps_of_line_grain_are_dealt_by_the_size_of_the_lines(spark, tmp_path,
     frames = (lambda: ops.product_month_base(t), lambda: ops.product_month_base(t, join=JoinParams(broadcast_max_rows=0, broadcast_max_bytes=0)),
               lambda: ops.product_top(t))
     plain = [sorted(map(str, f().collect())) for f in frames]
+    trend = ops.product_trend(t).collect()
     monkeypatch.setattr(trends, "SPREAD_BYTES", 0)
     monkeypatch.setattr(trends, "GROUPING_BYTES", 256)
     n = trends._tasks(t)
@@ -139,3 +140,8 @@ def test_steps_of_line_grain_are_dealt_by_the_size_of_the_lines(spark, tmp_path,
         assert sorted(map(str, df.collect())) == rows
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert f", {n}), REPARTITION_BY_NUM" in plan
+    df = ops.product_trend(t)
+    got = df.collect()
+    assert [(r.CategoryName, r.ProductName, r.Year, r.Month) for r in got] == [(r.CategoryName, r.ProductName, r.Year, r.Month) for r in trend]
+    assert sorted(map(str, got)) == sorted(map(str, trend))
+    assert df._jdf.queryExecution().executedPlan().toString().count(f", {n}), REPARTITION_BY_NUM") >= 2
