@@ -4,15 +4,20 @@
 documents of one language, an int32 code for every place, pieces kept apart by
 a separator's place.  A relation ``Rk`` of longer phrases holds the sorted
 places where one starts, and its group (a 64-bit hash of its words).  Each
-length is one round over written relations:
+length is one round:
 
 * merge-join: places p and p + 1 that both start a phrase of k - 1 words in
   one piece give a phrase of k words at p;
-* group-count: chunks count their groups, Spark adds them up;
+* group-count: tasks count their groups, and the counts are added up by parts
+  of the hash, packed as steps between sorted keys;
 * semi-join: only places of frequent groups are extended.  The frequent groups
   go to the tasks as a bitmap of fixed size (``BITS``), whatever the corpus: a
   group that shares a bit with a frequent one stays a while longer.
 
+Only R1 is written.  A round makes the relations before its own again from R1
+and the bitmaps, chunk by chunk, which costs less than the 12 bytes a place
+that each of them takes on disk.
+
 Hashes only prune.  The counts of the result are made once more from the words
 themselves, over all places the rounds kept, so neither the bitmap nor a clash
 of hashes changes a result.
@@ -38,7 +43,11 @@ from ledgerline.llm.common import pieces, stash, texts
 LONGEST, LEAST, TOP = 5, 100, 2000
 CHUNK = 1 << 20           # places of a chunk
 BITS = 1 << 25            # bits of a length's bitmap of frequent groups: 4 MB
-BUCKET = 32768            # bits of one row of a bitmap, as bitmap_construct_agg packs them
+PARTS = 4096              # parts of a bitmap, each counted by one task
+HELD = 1 << 21            # group counts that a task holds, beyond those of one chunk
+MOST = (1 << 32) - 1      # a task's count of a group is cut here: it only has to tell whether it is frequent
+PHRASE_PARTS = 256        # parts of a language's phrases of one length
+HELD_PHRASES = 500_000    # phrases that a task holds, beyond those of one chunk
 SALTS = 64                # parts of a language in which its first rows are looked for
 
 # A-Z to lower case, tabs to blanks, piece separators [.,;:!?\x0A-\x0D] to line feeds.
@@ -115,65 +124,124 @@ def frequent(at: np.ndarray, group: np.ndarray, bitmap: np.ndarray) -> tuple[np.
     return at[keep], group[keep]
 
 
-def _bitmap(counts: DataFrame, least: int) -> np.ndarray:
-    """The frequent groups' bits: at most BITS / BUCKET rows of 4 KB reach the driver."""
-    value = F.shiftrightunsigned("h", 20).bitwiseAND(F.lit(BITS - 1)) + 1      # the bitmap functions count from one
-    known = counts.groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least).select(value.alias("b"))
-    rows = known.groupBy(F.bitmap_bucket_number("b").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits"))
-    out = np.zeros(BITS // 8, np.uint8)
-    for r in rows.collect():
-        at = (r["bucket"] - 1) * BUCKET // 8
-        out[at:at + BUCKET // 8] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return out
+def _relation(lang: str, words: list[bytes], codes: bytes, bitmaps) -> tuple[np.ndarray, np.ndarray]:
+    """The relation of the next length of a chunk: from R1, a semi-join with the
+    frequent groups and a merge-join of neighbours for each length before."""
+    at, group = places(codes, words, lang)
+    for bitmap in bitmaps:
+        at, group = merged(*frequent(at, group, bitmap.value))
+    return at, group
 
 
-def _group_counts(relation: DataFrame) -> DataFrame:
-    """(h, c): the groups of every chunk of R2 .. with their counts."""
+def _packed(x: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers by byte planes, which compress better than rows."""
+    return pa.compress(np.ascontiguousarray(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(b: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(b, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view(np.uint32).ravel()
+
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order with the sums of their counts."""
+    key, count = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key, kind="stable")
+    key, count = key[order], count[order]
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return key[starts], np.add.reduceat(count, starts)
 
-    def run(batches):
-        for rb in batches:
-            for group in rb.column(rb.schema.get_field_index("groups")):
-                h, c = np.unique(np.frombuffer(group.as_py(), np.int64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c.astype(np.int64))], ["h", "c"])
 
-    return relation.select("groups").mapInArrow(run, "h long, c long")
+def _group_counts(r1: DataFrame, bitmaps) -> DataFrame:
+    """(part, n, keys, counts): the groups of the next length, counted by task.
 
+    A key is a bit of the bitmap and further bits of the hash: its ``PARTS``th
+    of the bitmap is the part, the other 32 bits are packed as steps in order.
+    Groups that share a key count together, which only keeps a place longer."""
+    part_bits, bits = PARTS.bit_length() - 1, BITS.bit_length() - 1
+    rest = 32 - (bits - part_bits)
+
+    def rows(held):
+        key, count = _summed([k for k, _ in held], [c for _, c in held])
+        part = (key >> np.uint64(32)).astype(np.int32)
+        starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        ends = np.append(starts[1:], len(key))
+        low = [key[a:b].astype(np.uint32) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(part[starts]), pa.array((ends - starts).astype(np.int32)),
+             pa.array([_packed(np.diff(x, prepend=np.uint32(0))) for x in low], pa.binary()),
+             pa.array([_packed(np.minimum(count[a:b], MOST)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())],
+            ["part", "n", "keys", "counts"])
 
-def _word_counts(r1: DataFrame) -> DataFrame:
     def run(batches):
+        held, size = [], 0
         for rb in batches:
             for lang, words, codes in zip(*(rb.column(c) for c in ("lang", "words", "codes")), strict=True):
-                h, c = np.unique(places(codes.as_py(), words.as_py(), lang.as_py())[1].view(np.int64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c.astype(np.int64))], ["h", "c"])
+                group = _relation(lang.as_py(), words.as_py(), codes.as_py(), bitmaps)[1]
+                key = ((group >> np.uint64(20)) & np.uint64((1 << bits) - 1)) << np.uint64(rest)
+                key |= (group >> np.uint64(45)) & np.uint64((1 << rest) - 1)
+                key, count = np.unique(key, return_counts=True)
+                held.append((key, count))
+                size += len(key)
+                if size >= HELD:
+                    yield rows(held)
+                    held, size = [], 0
+        if size:
+            yield rows(held)
 
-    return r1.select("lang", "words", "codes").mapInArrow(run, "h long, c long")
+    return r1.select("lang", "words", "codes").mapInArrow(run, "part int, n int, keys binary, counts binary")
 
 
-def _longer(relation: DataFrame, bitmap) -> DataFrame:
-    """The relation of the next length from R1 or a later one: semi-join with
-    the frequent groups, then the merge-join of neighbours."""
+def _bitmap(counts: DataFrame, least: int) -> np.ndarray:
+    """The frequent groups' bits: at most ``PARTS`` rows of BITS / 8 / PARTS bytes reach the driver."""
+    wide = BITS // PARTS                                                       # bits of a part
+    rest = 32 - (wide.bit_length() - 1)
 
     def run(batches):
+        part, keys, sums = None, [], []
+
+        def close():
+            key, total = _summed(keys, sums)
+            bits = np.zeros(wide, np.uint8)
+            bits[key[total >= least] >> np.uint32(rest)] = 1
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
+
         for rb in batches:
-            for row in range(rb.num_rows):
-                x = {c: rb.column(c)[row].as_py() for c in rb.schema.names}
-                if "codes" in x:
-                    at, group = places(x["codes"], x["words"], x["lang"])
-                else:
-                    at, group = np.frombuffer(x["places"], np.int32), np.frombuffer(x["groups"], np.uint64)
-                at, group = merged(*frequent(at, group, bitmap.value))
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array([at.tobytes()], pa.binary()), pa.array([group.tobytes()], pa.binary())], ["places", "groups"])
+            for p, n, k, c in zip(*(rb.column(x).to_pylist() for x in ("part", "n", "keys", "counts")), strict=True):
+                if p != part and keys:
+                    yield close()
+                    keys, sums = [], []
+                part = p
+                keys.append(np.cumsum(_unpacked(k, n), dtype=np.uint32))
+                sums.append(_unpacked(c, n).astype(np.int64))
+        if keys:
+            yield close()
 
-    own = ["lang", "words", "codes"] if "codes" in relation.columns else ["places", "groups"]
-    return relation.select(*own).mapInArrow(run, "places binary, groups binary")
+    out = np.zeros(BITS // 8, np.uint8)
+    for r in counts.repartition("part").sortWithinPartitions("part").mapInArrow(run, "part int, bits binary").collect():
+        out[r["part"] * wide // 8:(r["part"] + 1) * wide // 8] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out
 
 
-def _counted(r1: DataFrame, bitmaps) -> DataFrame:
-    """(lang, k, phrase, c): the phrases of every chunk at the places that the
-    rounds kept, by their words."""
+def _counted(r1: DataFrame, bitmaps, least: int) -> DataFrame:
+    """(lang, k, phrase, f): the phrases at the places that the rounds kept,
+    counted by their words: by task first, then by parts of a language's length."""
+
+    def rows(held):
+        out = []
+        for (lang, k), counts in held.items():
+            deals = {}
+            for phrase in sorted(counts):
+                deals.setdefault(crc32(phrase) % PHRASE_PARTS, []).append(phrase)
+            for part, names in deals.items():
+                out.append((lang, k, part, pa.compress(b"\n".join(names), codec="zstd", asbytes=True), sum(map(len, names)) + len(names) - 1,
+                            np.array([counts[x] for x in names], np.int64).tobytes()))
+        cols = list(zip(*out, strict=True))
+        types = (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["lang", "k", "part", "phrases", "size", "counts"])
 
     def run(batches):
+        held, size = {}, 0
         for rb in batches:
             for lang, words, codes in zip(*(rb.column(c) for c in ("lang", "words", "codes")), strict=True):
                 lang, words, codes = lang.as_py(), words.as_py(), codes.as_py()
@@ -186,37 +254,62 @@ def _counted(r1: DataFrame, bitmaps) -> DataFrame:
                     if not len(at):
                         break
                     # one place of each distinct phrase, counted by the codes of its words
-                    rows = np.stack([code[at + j] for j in range(k)], axis=1)
-                    order = np.lexsort(rows.T)
-                    rows = rows[order]
-                    new = np.ones(len(rows), bool)
-                    new[1:] = (rows[1:] != rows[:-1]).any(1)
+                    found = np.stack([code[at + j] for j in range(k)], axis=1)
+                    found = found[np.lexsort(found.T)]
+                    new = np.ones(len(found), bool)
+                    new[1:] = (found[1:] != found[:-1]).any(1)
                     starts = np.flatnonzero(new)
-                    phrases = [b" ".join([words[c - 2] for c in r]) for r in rows[starts].tolist()]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(starts), pa.string()), pa.array(np.full(len(starts), k, np.int32)),
-                         pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(np.diff(np.append(starts, len(rows))).astype(np.int64))],
-                        ["lang", "k", "phrase", "c"])
+                    own = held.setdefault((lang, k), {})
+                    size -= len(own)
+                    for r, c in zip(found[starts].tolist(), np.diff(np.append(starts, len(found))).tolist(), strict=True):
+                        phrase = b" ".join([words[x - 2] for x in r])
+                        own[phrase] = own.get(phrase, 0) + c
+                    size += len(own)
+                if size >= HELD_PHRASES:
+                    yield rows(held)
+                    held, size = {}, 0
+        if size:
+            yield rows(held)
+
+    def merge(batches):
+        key, total = None, {}
+
+        def close():
+            found = [(x, c) for x, c in total.items() if c >= least]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([key[0]] * len(found), pa.string()), pa.array([key[1]] * len(found), pa.int32()),
+                 pa.array([x for x, _ in found], pa.binary()).cast(pa.string()), pa.array([c for _, c in found], pa.int64())], ["lang", "k", "phrase", "f"])
 
-    return r1.select("lang", "words", "codes").mapInArrow(run, "lang string, k int, phrase string, c long")
+        for rb in batches:
+            for lang, k, part, names, n, counts in zip(*(c.to_pylist() for c in rb.columns), strict=True):
+                if (lang, k, part) != key and total:
+                    yield close()
+                    total = {}
+                key = lang, k, part
+                names = pa.decompress(names, decompressed_size=n, codec="zstd", asbytes=True).split(b"\n")
+                for phrase, c in zip(names, np.frombuffer(counts, np.int64).tolist(), strict=True):
+                    total[phrase] = total.get(phrase, 0) + c
+        if total:
+            yield close()
+
+    own = r1.select("lang", "words", "codes").mapInArrow(run, "lang string, k int, part int, phrases binary, size long, counts binary")
+    by = ["lang", "k", "part"]
+    return own.repartition(*by).sortWithinPartitions(*by).mapInArrow(merge, "lang string, k int, phrase string, f long")
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
     """(lang, k, phrase, f) of all phrases of 1 to ``longest`` words with
     f >= ``least``, and (lang, n), the number of words of every language."""
     spark = docs.sparkSession
-    r1 = relation = stash(occurrences(docs, text_col, lang_col), "setm-1")
+    r1 = stash(occurrences(docs, text_col, lang_col), "setm-1")
     totals = r1.groupBy("lang").agg(F.sum("n").alias("n"))
     bitmaps = []
-    for k in range(1, longest + 1):
-        bitmap = _bitmap(_word_counts(r1) if k == 1 else _group_counts(relation), least)
+    for _ in range(longest):
+        bitmap = _bitmap(_group_counts(r1, bitmaps), least)
         if not bitmap.any():
             break
         bitmaps.append(spark.sparkContext.broadcast(bitmap))
-        if k < longest:
-            relation = stash(_longer(relation, bitmaps[-1]), f"setm-{k + 1}")
-    found = _counted(r1, bitmaps).groupBy("lang", "k", "phrase").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
-    return stash(found, "setm-phrases"), totals
+    return stash(_counted(r1, bitmaps, least), "setm-phrases"), totals
 
 
 def _whole(x: Column) -> Column:

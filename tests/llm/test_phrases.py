@@ -95,3 +95,21 @@ def test_products_beyond_64_bits(spark):
     above = F.lit(1000).cast("decimal(4,0)") * (p._whole(F.col("a")) * p._whole(F.col("n")))
     below = p._whole(F.col("l")) * p._whole(F.col("r"))
     assert big.select(((above - above % below) / below).cast("long")).first()[0] == 1000 * (10**13 + 7) * (10**14 + 3) // ((10**13 + 9) * (10**13 + 11))
+
+
+def test_rounds_write_only_the_first_relation(spark, monkeypatch):
+    """Longer relations are not written, and counts travel as a row per part,
+    not per group or phrase; small buffers give the same rows."""
+    written, made = [], []
+    stash, bitmap = p.stash, p._bitmap
+    monkeypatch.setattr(p, "stash", lambda df, what: written.append(what) or stash(df, what))
+    monkeypatch.setattr(p, "_bitmap", lambda counts, least: made.append(counts) or bitmap(counts, least))
+    monkeypatch.setattr(p, "PARTS", 8)
+    rows = [(f"a b c d e w{i} x{i % 7} y{i % 11}", "en" if i % 3 else None) for i in range(400)]
+    docs = frame(spark, rows).repartition(2)
+    for held in (1 << 21, 5):
+        monkeypatch.setattr(p, "HELD", held)
+        monkeypatch.setattr(p, "HELD_PHRASES", held)
+        assert got(p.collocations(docs, least=20)) == brute(rows, 20)
+    assert written == ["setm-1", "setm-phrases"] * 2
+    assert made[0].count() <= 16
