@@ -7,10 +7,13 @@ by (first character, rank of the next suffix).  As they arrive in rank order,
 the queue keeps one first-in-first-out file per character; arrays beyond a
 memory budget go to disk.  A queue entry is a suffix and the length of its
 common prefix with the entry before it in its bucket, which is one more than
-the smallest common prefix between the two suffixes that induced them.
+the smallest common prefix between the two suffixes that induced them.  All
+that waits for a character is induced from at once, up to ``CHUNK`` entries.
 
-The leftmost-S substrings are sorted by the same induction and named; if names
-repeat, the string of names is sorted by prefix doubling.
+The leftmost-S substrings are sorted by their characters, a word of 64 bits at
+a time, and named; if names repeat, the string of names is sorted by prefix
+doubling.  The ranks of its rounds also tell how many names two neighbours
+share, which gives their common prefix.
 
 A character is a byte + 2; 1 ends a string, and a single 0 ends the shard.
 Common prefixes are counted up to ``CAP``.
@@ -31,10 +34,10 @@ QUEUE_BYTES = 256 << 20          # queued entries in memory
 class DiskQueue:
     """One first-in-first-out queue of (suffix, common prefix) per character."""
 
-    def __init__(self, characters: int, budget: int):
+    def __init__(self, characters: int, budget: int, kind: type = np.int64):
         self.held: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(characters)]
         self.spilled: list[list[tuple[int, int]]] = [[] for _ in range(characters)]
-        self.budget, self.bytes, self.file = budget, 0, None
+        self.budget, self.bytes, self.file, self.kind = budget, 0, None, np.dtype(kind)
 
     def push(self, c: int, pos: np.ndarray, lcp: np.ndarray) -> None:
         self.held[c].append((pos, lcp))
@@ -55,193 +58,239 @@ class DiskQueue:
         self.bytes = 0
 
     def pop(self, c: int) -> tuple[np.ndarray, np.ndarray] | None:
-        """The oldest array of a character's queue."""
-        if self.spilled[c]:
-            at, n = self.spilled[c].pop(0)
+        """The oldest arrays of a character's queue: one, and more up to ``CHUNK`` entries."""
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        have = taken = 0
+        for at, n in self.spilled[c]:
+            if out and have + n > CHUNK:
+                break
             self.file.seek(at)
-            return np.frombuffer(self.file.read(8 * n), np.int64), np.frombuffer(self.file.read(n), np.uint8)
-        if self.held[c]:
-            pos, lcp = self.held[c].pop(0)
-            self.bytes -= pos.nbytes + lcp.nbytes
-            return pos, lcp
-        return None
+            out.append((np.frombuffer(self.file.read(self.kind.itemsize * n), self.kind), np.frombuffer(self.file.read(n), np.uint8)))
+            have += n
+        taken = len(out)
+        if taken == len(self.spilled[c]):                  # what is held came later
+            for pos, lcp in self.held[c]:
+                if out and have + len(pos) > CHUNK:
+                    break
+                out.append((pos, lcp))
+                have += len(pos)
+                self.bytes -= pos.nbytes + lcp.nbytes
+            del self.held[c][:len(out) - taken]
+        del self.spilled[c][:taken]
+        if len(out) < 2:
+            return out[0] if out else None
+        return np.concatenate([pos for pos, _ in out]), np.concatenate([lcp for _, lcp in out])
 
 
 class Shard:
     def __init__(self, text: np.ndarray, budget: int = QUEUE_BYTES):
         """``text``: characters as unsigned 16-bit numbers, the only 0 at the end."""
-        self.t, self.n, self.budget = text, len(text), budget
+        self.n, self.budget = len(text), budget
         self.characters = 258
-        self.narrow = int(text.max()) < 256
-        raw = np.zeros(self.n + 32, np.uint16)
-        raw[:self.n] = text
-        self.words = np.ndarray(self.n + 16, ">u8", np.ascontiguousarray(raw.astype(">u2")), strides=(2,))
+        self.kind = np.int32 if self.n < 1 << 31 else np.int64
+        # the text in its smallest type, whose largest number isn't a character
+        self.t = t = text.astype(np.uint8 if int(text.max()) < 255 else np.uint16)
+        self.none = np.iinfo(t.dtype).max
+        self.per = 8 // t.itemsize                         # characters of a word
+        raw = np.zeros(self.n + 2 * self.per, t.dtype.newbyteorder(">"))
+        raw[:self.n] = t
+        self.words = np.ndarray(self.n + self.per, ">u8", raw, strides=(t.itemsize,))
         # type of each suffix: S where the next different character is larger
-        t = text
         differs = np.flatnonzero(t[:-1] != t[1:])          # the end differs from what stands before it
         s = np.ones(self.n, bool)
         s[:-1] = np.repeat(t[differs] < t[differs + 1], np.diff(np.concatenate([[-1], differs])))
         self.s = s
-        lms = np.flatnonzero(s[1:] & ~s[:-1]) + 1
-        self.lms = lms
+        self.lms = (np.flatnonzero(s[1:] & ~s[:-1]) + 1).astype(self.kind)
         self.bucket = np.concatenate([[0], np.cumsum(np.bincount(t, minlength=self.characters))])
 
-    def common(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray | int = CAP) -> np.ndarray:
-        """Characters that the suffixes at a and b share, up to ``limit``; four at a time."""
+    def word(self, at: np.ndarray) -> np.ndarray:
+        """The next characters of the suffixes, in an order-preserving number."""
+        return self.words[at].astype(np.uint64)
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Characters that the different suffixes at a and b share, up to ``CAP``; a word at a time."""
         out = np.zeros(len(a), np.int64)
-        limit = np.broadcast_to(np.asarray(limit, np.int64), len(a))
         live = np.arange(len(a))
         k = 0
         while len(live):
-            i, j = a[live] + k, b[live] + k
-            x = self.words[np.minimum(i, self.n)] ^ self.words[np.minimum(j, self.n)]
-            x = x.astype(np.uint64)
-            same = (x < 1 << 48).astype(np.int64) + (x < 1 << 32) + (x < 1 << 16) + (x == 0)
+            x = self.word(a[live] + k) ^ self.word(b[live] + k)
+            same = np.zeros(len(live), np.int64)
+            for j in range(self.per):
+                same += x < np.uint64(1 << 64 - (j + 1) * (64 // self.per))
             out[live] = k + same
-            k += 4
-            live = live[(same == 4) & (k < limit[live]) & (np.maximum(i, j) < self.n)]
-        return np.minimum(out, limit)
+            k += self.per
+            live = live[(same == self.per) & (k < CAP)]
+        return np.minimum(out, CAP)
 
-    def _scan(self, pos: np.ndarray, lcp: np.ndarray, queue: DiskQueue, pend: np.ndarray, upwards: bool, with_lcp: bool) -> None:
-        """Queue the suffixes before ``pos`` that are of the induced type."""
+    def _scan(self, pos: np.ndarray, lcp: np.ndarray, queue: DiskQueue, pend: np.ndarray, before: np.ndarray) -> None:
+        """Queue the suffixes that stand before those at ``pos``; ``before``
+        tells their first characters, or ``none`` if they aren't of the induced type."""
         for at in range(0, len(pos), CHUNK):
-            p, l = pos[at:at + CHUNK], lcp[at:at + CHUNK]
-            before = p - 1
-            ok = before >= 0
-            before = np.where(ok, before, 0)
-            ok &= self.s[before] != upwards
-            where = np.flatnonzero(ok)
-            char = self.t[before[where]]
-            if not len(where):
-                if with_lcp:
-                    pend[:] = np.minimum(pend, l.min())
-                continue
-            where = where[np.argsort(char.astype(np.uint8) if self.narrow else char, kind="stable")]
-            counts = np.bincount(char, minlength=self.characters)
-            kinds = np.flatnonzero(counts)
-            ends = np.cumsum(counts[kinds])
-            first = ends - counts[kinds]
-            least = int(l.min()) if with_lcp else 0
-            if with_lcp:
-                quiet = np.ones(self.characters, bool)
-                quiet[kinds] = False
-                pend_new = np.where(quiet, np.minimum(pend, least), pend)
-            for c, a, b in zip(kinds.tolist(), first.tolist(), ends.tolist(), strict=True):
-                mine = where[a:b]
-                if with_lcp:
-                    cuts = np.empty(len(mine), np.int64)
-                    cuts[0], cuts[1:] = 0, mine[:-1] + 1
-                    low = np.minimum.reduceat(l[:mine[-1] + 1], cuts)
-                    low[0] = min(int(low[0]), int(pend[c]))
-                    tail = l[mine[-1] + 1:]
-                    pend_new[c] = tail.min() if len(tail) else CAP
-                    value = np.minimum(low.astype(np.int64) + 1, CAP).astype(np.uint8)
-                else:
-                    value = np.zeros(len(mine), np.uint8)
-                queue.push(c, before[mine], value)
-            if with_lcp:
-                pend[:] = pend_new
-
-    def induce(self, seeds: np.ndarray, seed_lcp: np.ndarray, with_lcp: bool = True) -> tuple[np.ndarray, np.ndarray]:
-        """All suffixes in order from the sorted leftmost-S ones (grouped by
-        first character), and each one's common prefix with the one before."""
-        sa, out = np.empty(self.n, np.int64), np.zeros(self.n, np.uint8)
+            p, low = pos[at:at + CHUNK], lcp[at:at + CHUNK]
+            char = before[p]
+            where = np.flatnonzero(char != self.none)
+            char = char[where]
+            least = np.minimum(pend, low.min())
+            if len(where):
+                by = np.argsort(char, kind="stable")
+                where = where[by]
+                counts = np.bincount(char, minlength=self.characters)
+                kinds = np.flatnonzero(counts)
+                ends = np.cumsum(counts[kinds])
+                first = ends - counts[kinds]
+                since = np.empty(len(where), np.int64)     # after the entry of the same character before
+                since[1:] = where[:-1] + 1
+                since[first] = 0
+                value = _range_min(low, since, where)
+                value[first] = np.minimum(value[first], pend[kinds])
+                value = np.minimum(value, CAP - 1) + np.uint8(1)
+                tail = np.append(np.minimum.accumulate(low[::-1])[::-1], np.uint8(CAP))
+                least[kinds] = tail[where[ends - 1] + 1]
+                ready = p[where] - self.kind(1)
+                for c, a, b in zip(kinds.tolist(), first.tolist(), ends.tolist(), strict=True):
+                    queue.push(c, ready[a:b], value[a:b])
+            pend[:] = least
+
+    def induce(self, seeds: np.ndarray, seed_lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All suffixes in order from the sorted leftmost-S ones, and each
+        one's common prefix with the one before."""
+        sa, out = np.empty(self.n, self.kind), np.zeros(self.n, np.uint8)
         seed_at = np.concatenate([[0], np.cumsum(np.bincount(self.t[seeds], minlength=self.characters))])
         large = np.bincount(self.t[~self.s], minlength=self.characters)
-        none = np.zeros(0, np.uint8)
+        before = np.full(self.n, self.none, self.t.dtype)
         # upwards: L-type suffixes
-        queue, pend = DiskQueue(self.characters, self.budget), np.zeros(self.characters, np.int64)
+        before[1:] = np.where(self.s[:-1], self.none, self.t[:-1])
+        queue, pend = DiskQueue(self.characters, self.budget, self.kind), np.zeros(self.characters, np.uint8)
         for c in range(self.characters):
             at, last = int(self.bucket[c]), -1
-            fresh = True
             while (entry := queue.pop(c)) is not None:
                 pos, lcp = entry
-                if fresh:
+                if last < 0:
                     lcp = lcp.copy()
-                    lcp[0], fresh = 0, False               # the first of its bucket
+                    lcp[0] = 0                             # the first of its bucket
                 sa[at:at + len(pos)], out[at:at + len(pos)] = pos, lcp
                 at, last = at + len(pos), int(pos[-1])
-                self._scan(pos, lcp, queue, pend, True, with_lcp)
+                self._scan(pos, lcp, queue, pend, before)
             a, b = int(seed_at[c]), int(seed_at[c + 1])
             if a < b:
-                lcp = seed_lcp[a:b].copy() if with_lcp else none
-                if with_lcp:
-                    lcp[0] = 0 if last < 0 else self.common(np.array([last]), seeds[a:a + 1])[0]
-                self._scan(seeds[a:b], lcp, queue, pend, True, with_lcp)
+                lcp = seed_lcp[a:b].copy()
+                lcp[0] = 0 if last < 0 else self.common(np.array([last]), seeds[a:a + 1])[0]
+                self._scan(seeds[a:b], lcp, queue, pend, before)
         # downwards: S-type suffixes; the common prefix of an entry is that with the one above it
-        queue, pend = DiskQueue(self.characters, self.budget), np.zeros(self.characters, np.int64)
+        before[1:] = np.where(self.s[:-1], self.t[:-1], self.none)
+        queue, pend = DiskQueue(self.characters, self.budget, self.kind), np.zeros(self.characters, np.uint8)
         for c in range(self.characters - 1, -1, -1):
             low, high = int(self.bucket[c]), int(self.bucket[c + 1])
-            at, last, fresh = high, -1, True
+            at, last = high, -1
             if c == 0:                                     # the end alone is the smallest suffix
                 sa[0] = self.n - 1
             while (entry := queue.pop(c)) is not None:
                 pos, lcp = entry
-                if fresh:
+                if last < 0:
                     lcp = lcp.copy()
-                    lcp[0], fresh = 0, False
+                    lcp[0] = 0
                 m = len(pos)
                 sa[at - m:at] = pos[::-1]
-                if with_lcp:                               # entry j's value belongs to the suffix above it
-                    above = np.arange(at, at - m, -1)
-                    ok = above < high
-                    out[above[ok]] = lcp[ok]
+                # entry j's value belongs to the suffix above it
+                out[at - m + 1:min(at + 1, high)] = lcp[::-1][:m if at < high else m - 1]
                 at, last = at - m, int(pos[-1])
-                self._scan(pos, lcp, queue, pend, False, with_lcp)
+                self._scan(pos, lcp, queue, pend, before)
             m = int(large[c])
             if m:
                 pos = sa[low:low + m][::-1]
-                if with_lcp:
-                    # going down, an entry's common prefix is with the entry just seen: the value of the one above
-                    lcp = np.zeros(m, np.uint8)
-                    lcp[1:] = out[low + 1:low + m][::-1]
-                    if last >= 0:
-                        lcp[0] = self.common(np.array([last]), pos[:1])[0]
-                        out[low + m] = lcp[0]
-                else:
-                    lcp = none
-                self._scan(pos, lcp, queue, pend, False, with_lcp)
+                # going down, an entry's common prefix is with the entry just seen: the value of the one above
+                lcp = np.zeros(m, np.uint8)
+                lcp[1:] = out[low + 1:low + m][::-1]
+                if last >= 0:
+                    lcp[0] = self.common(np.array([last]), pos[:1])[0]
+                    out[low + m] = lcp[0]
+                self._scan(pos, lcp, queue, pend, before)
         return sa, out
 
+    def names(self) -> tuple[np.ndarray, np.ndarray]:
+        """Order of the leftmost-S substrings, and for each in this order
+        whether it differs from the one before.  What is compared ends with
+        the first character of the next one; where one ends and another goes
+        on, the latter goes on with an L-type suffix and is the smaller."""
+        lms = self.lms
+        length = np.append(np.diff(lms) + 1, 1)
+
+        def word(i: np.ndarray, k: int) -> np.ndarray:
+            left = np.minimum(length[i] - k, self.per)
+            beyond = np.append(~np.uint64(0) >> (np.arange(self.per) * (64 // self.per)).astype(np.uint64), np.uint64(0))
+            return self.word(lms[i] + self.kind(k)) | beyond[left]
+
+        w = word(np.arange(len(lms)), 0)
+        order = np.argsort(w)
+        w = w[order]
+        fresh = np.append(True, w[1:] != w[:-1])
+        k = self.per
+        while True:
+            # equal so far; one that has just ended may still stand beside longer ones
+            live = np.flatnonzero(~(fresh & np.append(fresh[1:], True)) & (length[order] >= k))
+            if not len(live):
+                return order, fresh
+            i, group = order[live], np.cumsum(fresh)[live]
+            w = word(i, k)
+            by = np.lexsort((w, group))
+            order[live], w, group = i[by], w[by], group[by]
+            fresh[live[1:]] |= (group[1:] == group[:-1]) & (w[1:] != w[:-1])
+            k += self.per
+
     def sort(self) -> tuple[np.ndarray, np.ndarray]:
         """(suffix array, common prefix with the suffix before, up to CAP)."""
         lms = self.lms
-        if len(lms):
-            rough = lms[np.argsort(self.t[lms], kind="stable")]
-            order, _ = self.induce(rough, np.zeros(0, np.uint8), with_lcp=False)
-            is_lms = np.zeros(self.n, bool)
-            is_lms[lms] = True
-            order = order[is_lms[order]]
-            length = np.zeros(self.n, np.int64)
-            length[lms[:-1]] = np.diff(lms) + 1
-            length[lms[-1]] = self.n - lms[-1]
-            a, b = order[:-1], order[1:]
-            equal = length[a] == length[b]
-            i = np.flatnonzero(equal)
-            equal[i] = self.common(a[i], b[i], length[a[i]]) == length[a[i]]
-            name = np.zeros(self.n, np.int64)
-            name[order] = np.cumsum(np.concatenate([[0], ~equal]))
-            names = name[lms]
-            if equal.any():
-                order = lms[_doubling(names)]
-        else:
-            order = lms
+        if not len(lms):
+            return self.induce(lms, np.zeros(0, np.uint8))
+        order, ranks = _doubling(*self.names(), self.kind)
+        # neighbours share the names up to their first different one, and some characters from there
+        a, b = order[:-1].copy(), order[1:].copy()
+        for k in range(len(ranks) - 1, -1, -1):
+            same = np.flatnonzero(ranks[k][a] == ranks[k][b])
+            a[same] += 1 << k
+            b[same] += 1 << k
         lcp = np.zeros(len(order), np.uint8)
-        if len(order) > 1:
-            lcp[1:] = self.common(order[:-1], order[1:])
-        return self.induce(order, lcp)
-
-
-def _doubling(names: np.ndarray) -> np.ndarray:
-    n, rank, step = len(names), names.copy(), 1
-    while True:
-        second = np.zeros(n, np.int64)
-        second[:max(0, n - step)] = rank[step:] + 1
-        pair = rank * (n + 2) + second
-        order = np.argsort(pair)                          # ties share a rank, so their order doesn't matter
-        fresh = np.concatenate([[0], np.cumsum(np.diff(pair[order]) != 0)])
-        rank = np.empty(n, np.int64)
-        rank[order] = fresh
-        if fresh[-1] == n - 1 or step >= n:
-            return order
+        whole = lms[a] - lms[order[:-1]]
+        open_ = np.flatnonzero(whole < CAP)
+        whole[open_] += self.common(lms[a[open_]], lms[b[open_]])
+        lcp[1:] = np.minimum(whole, CAP)
+        return self.induce(lms[order], lcp)
+
+
+def _range_min(low: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest of ``low[a]`` to ``low[b]`` for each pair, from the minima of
+    all stretches whose lengths are powers of two."""
+    level = np.frexp((b - a + 1).astype(np.float64))[1] - 1
+    table = np.empty((int(level.max()) + 1, len(low)), low.dtype)
+    table[0] = low
+    for k in range(1, len(table)):
+        half = 1 << (k - 1)
+        table[k] = table[k - 1]
+        np.minimum(table[k - 1][:-half], table[k - 1][half:], out=table[k][:-half])
+    flat, row = table.reshape(-1), level * len(low)
+    return np.minimum(flat[row + a], flat[row + b - (1 << level) + 1])
+
+
+def _doubling(order: np.ndarray, fresh: np.ndarray, kind: type = np.int64) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Order of the suffixes of a string of names, whose last name is unique,
+    from that of the names (``fresh``: whether a name differs from the one
+    before in the order); and the ranks by 1, 2, 4, ... names.  A rank is the
+    first place of its group, so only the groups of two or more are sorted."""
+    n, step = len(order), 1
+    order = order.astype(kind)
+    rank = np.empty(n, kind)
+    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    ranks = [rank]
+    live = np.flatnonzero(~(fresh & np.append(fresh[1:], True)))
+    while len(live):
+        i = order[live]
+        pair = rank[i].astype(np.int64) * n + rank[i + step]   # the last name is unique, so a group's have another name there
+        by = np.argsort(pair)                              # ties share a rank, so their order doesn't matter
+        order[live], pair = i[by], pair[by]
+        fresh = np.append(True, pair[1:] != pair[:-1])
+        rank = rank.copy()
+        rank[order[live]] = np.maximum.accumulate(np.where(fresh, live, 0))
+        ranks.append(rank)
+        live = live[~(fresh & np.append(fresh[1:], True))]
         step *= 2
+    return order, ranks
