@@ -37,7 +37,7 @@ from ledgerline.llm.induced_sort import Shard
 
 GRAM = 48
 RUN = 2048                 # windows of one run at most
-PIECE = 2 << 20            # bytes hashed at a time
+PIECE = 128 << 10          # bytes hashed at a time; the arrays (8 times that each) stay in a core's cache
 SHARD = 4 << 20            # bytes of a shard that isn't a single minimizer's
 BITS = 1 << 30             # bits of a bitmap at most
 HOT = 20_000               # different runs of a minimizer beyond which it is split
